@@ -11,6 +11,16 @@ STRONG_MATCH = "strong_match"
 POSSIBLE_MATCH = "possible_match"
 MANUAL_REVIEW_NEEDED = "manual_review_needed"
 
+# Messages of anomaly findings.
+MESSAGES = {
+    "publication_incomplete": "Publication is missing stable identifiers and publication year",
+    "publication_doi": "Publication DOI appears malformed",
+    "researcher_orcid": "Researcher ORCID appears malformed",
+    "researcher_name": "Researcher name is weak for stable matching",
+    "organization_ror": "Organization ROR identifier appears malformed",
+    "organization_name": "Organization record is missing a stable normalized name",
+}
+
 # Access values that count as open.
 OPEN_ACCESS_VALUES = ("open", "openaccess", "open access")
 
