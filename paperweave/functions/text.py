@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,7 +66,9 @@ def normalize_text(c: Column) -> Column:
     (ligatures, sharp s, fractions) are looked up only in rows that hold one.
     """
     matching, replacement, several = _fold_tables()
-    expansions = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in several.items()))
+    expansions = F.map_from_arrays(
+        F.split(F.lit("\x01".join(several)), "\x01"), F.split(F.lit("\x01".join(several.values())), "\x01")
+    )
     text = F.coalesce(c, F.lit(""))
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(expansions, x), x)), ""

@@ -54,10 +54,10 @@ def org_lineage(organization: DataFrame, max_depth: int = 100) -> DataFrame:
 
 
 def _dictionary(aliases: DataFrame, min_alias_len: int) -> list[dict]:
-    """Normalized aliases of the governed dictionary, a short hand-kept list."""
+    """Normalized aliases of the governed dictionary: a short hand-kept list, read to the driver."""
     rows = aliases.select("code", "country_code", normalize_text(F.col("alias")).alias("alias")).distinct()
     rows = rows.where((F.col("alias") != "") & (F.length("alias") >= min_alias_len))
-    return [r.asDict() for r in rows.orderBy("code", "alias").toLocalIterator()]
+    return [r.asDict() for r in rows.orderBy("code", "alias").collect()]
 
 
 def _score(name: Column, alias: Column) -> Column:

@@ -15,6 +15,21 @@ from paperweave.operators.grouping import PAIR_BLOCK, group_pairs, group_sizes
 HASH_BUCKETS = 4096
 
 
+def enrich_authorship(authorship: DataFrame, researcher: DataFrame, publication: DataFrame,
+                      organization: DataFrame, affiliation: DataFrame) -> DataFrame:
+    """Authorship with researcher, publication, primary organization and number of affiliations."""
+    people = researcher.join(
+        organization.select(F.col("organization_id").alias("primary_organization_id"), F.col("name").alias("organization_name")),
+        "primary_organization_id", "left",
+    ).join(affiliation.groupBy("researcher_id").agg(F.count("*").alias("affiliations")), "researcher_id", "left")
+    papers = publication.select("publication_id", "publication_year", "publication_date")
+    return (
+        authorship.join(people.select("researcher_id", "full_name", "display_name", "organization_name",
+                                      F.coalesce("affiliations", F.lit(0)).cast("bigint").alias("affiliations")), "researcher_id")
+        .join(papers, "publication_id")
+    )
+
+
 def coauthor_pairs(authorship: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """(publication_id, source, target): one row per publication and author pair."""
     members = (
