@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -16,6 +15,10 @@ SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _SPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]"
 
 
+# No code point from here on folds to a letter or decomposes.
+LAST_DECOMPOSED = 0x30000
+
+
 def _folded(char: str) -> str:
     """One character after NFKD, removal of combining marks and case folding."""
     kept = (c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
@@ -42,7 +45,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     those folding to several characters with a letter or digit are expansions.
     """
     single, gone, several = [], [], {}
-    for point in range(0x80, sys.maxunicode + 1):
+    for point in range(0x80, LAST_DECOMPOSED):
         if 0xD800 <= point <= 0xDFFF:
             continue
         char = chr(point)
@@ -74,8 +77,8 @@ def normalize_text(c: Column) -> Column:
         F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(expansions, x), x)), ""
     )
     holds_several = text.rlike(_regex_class(sorted(ord(k) for k in several)))
-    text = F.when(holds_several, expanded).otherwise(text)
-    text = F.when(text.rlike("[^\\x00-\\x7f]"), F.translate(text, matching, replacement)).otherwise(text)
+    plain = F.translate(F.when(holds_several, expanded).otherwise(text), matching, replacement)
+    text = F.when(text.rlike("[^\\x00-\\x7f]"), plain).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
@@ -84,13 +87,13 @@ def _nfkc_class() -> str:
     """Characters whose presence may make NFKC differ from the text itself."""
     points = []
     seconds = set()
-    for point in range(0x80, sys.maxunicode + 1):
+    for point in range(0x80, LAST_DECOMPOSED):
         if 0xD800 <= point <= 0xDFFF:
             continue
         parts = unicodedata.decomposition(chr(point)).split()
         if len(parts) == 2 and not parts[0].startswith("<"):
             seconds.add(int(parts[1], 16))
-    for point in range(0x80, sys.maxunicode + 1):
+    for point in range(0x80, LAST_DECOMPOSED):
         if 0xD800 <= point <= 0xDFFF:
             continue
         char = chr(point)

@@ -41,13 +41,14 @@ def org_lineage(organization: DataFrame, max_depth: int = 100) -> DataFrame:
     )
     out = level.drop("path")
     for depth in range(1, max_depth + 1):
-        level = rounds.cut(
+        level, seen = rounds.measure(
             level.join(parents, "ancestor_id").join(known, "parent", "left_semi")
             .where(~F.array_contains("path", F.col("parent")))
             .select("organization_id", F.col("parent").alias("ancestor_id"), F.lit(depth).alias("depth"),
-                    F.concat("path", F.array("parent")).alias("path"))
+                    F.concat("path", F.array("parent")).alias("path")),
+            rows=F.count("*"),
         )
-        if level.isEmpty():
+        if not seen["rows"]:
             break
         out = out.unionByName(level.drop("path"))
     return out

@@ -16,9 +16,9 @@ from paperweave.session import Rounds
 MAX_ROUNDS = 100
 
 
-def _fingerprint(arcs: DataFrame) -> tuple:
-    row = arcs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-    return (row["n"], row["x"])
+def _mark() -> dict:
+    """Aggregates that change whenever the set of arcs changes."""
+    return {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("hi", "lo"))}
 
 
 def _large_star(arcs: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def _large_star(arcs: DataFrame) -> DataFrame:
     root = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
         ways.where(F.col("v") > F.col("u")).join(root, "u")
-        .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     )
 
 
@@ -50,18 +50,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     which a hub is only ever on the side that can be split.
     """
     rounds = Rounds(edges.sparkSession, "components")
-    arcs = rounds.cut(
+    arcs, mark = rounds.measure(
         edges.where(F.col("source") != F.col("target"))
         .select(F.greatest("source", "target").alias("hi"), F.least("source", "target").alias("lo"))
-        .distinct()
+        .distinct(), **_mark()
     )
-    mark = _fingerprint(arcs)
+    before = None if mark["n"] else mark
     for _ in range(MAX_ROUNDS):
-        after = rounds.cut(_small_star(_large_star(arcs)))
-        rounds.drop(arcs)
-        arcs, before, mark = after, mark, _fingerprint(after)
         if mark == before:
             break
+        after, new = rounds.measure(_small_star(_large_star(arcs)), **_mark())
+        rounds.drop(arcs)
+        arcs, before, mark = after, mark, new
     else:
         raise RuntimeError("components did not settle")
     roots = arcs.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))

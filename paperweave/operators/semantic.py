@@ -71,7 +71,7 @@ def _exact_hits(vectors: DataFrame, m: int, threshold: float, block_rows: int) -
         .select("id", "embedding", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
 
-    def kernel(key, table: pa.Table) -> pa.Table:
+    def kernel(key, table):
         lo, hi = key[0].as_py(), key[1].as_py()
         ids = np.asarray(table.column("id").to_numpy(zero_copy_only=False))
         rows, own_block = _matrix(table.column("embedding")), np.asarray(table.column("own"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -57,10 +57,22 @@ class Rounds:
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write `df`, return the same rows read back with a one-scan plan."""
+        return self.measure(df)[0]
+
+    def measure(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """Like `cut`, with aggregates of the rows collected while they are written.
+
+        A lost task may be counted twice, so metrics should only steer a loop in
+        ways that stay right then (is anything left? did anything change?).
+        """
         self._step += 1
         path = f"{self.base}/{self._step:04d}"
+        schema, watch = df.schema, None
+        if metrics:
+            watch = Observation()
+            df = df.observe(watch, *[m.alias(name) for name, m in metrics.items()])
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path), (watch.get if watch else {})
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of an earlier round that no later frame reads."""
