@@ -86,7 +86,11 @@ def parse_date(v):
     )
 
 
-@query("point_id")
+@query("point_id", "document_publication", """
+    SELECT publication_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+      || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+    FROM (SELECT publication_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8')
+      || encode('publication:' || publication_id || ':provider:model:v1')) AS h FROM document_publication)""")
 def point_id(v):
     return v.document_publication().select(
         "publication_id", px.point_id(F.col("publication_id"), "provider", "model", "v1").alias("point_id")

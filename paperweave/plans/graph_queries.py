@@ -264,7 +264,15 @@ def graph_summary(v):
     return graph.graph_summary(*measured(v))
 
 
-@query("graph_version")
+@query("graph_version", USES + " researcher", """
+    SELECT sha256('' || chr(10) || string_agg(bucket, chr(10) ORDER BY b)) AS graph_version FROM (
+      SELECT b, sha256(string_agg(h || ':' || copies, chr(10) ORDER BY h || ':' || copies)) AS bucket FROM (
+        SELECT h, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 4096 AS b, count(*) AS copies FROM (
+          SELECT sha256('n{"id":' || researcher_id || coalesce(',"primary_organization_id":"' || primary_organization_id || '"', '') || '}') AS h
+            FROM researcher
+          UNION ALL SELECT sha256('e{"first_collaboration_year":' || first_collaboration_year || ',"last_collaboration_year":'
+            || last_collaboration_year || ',"source":' || source || ',"target":' || target || ',"weight":' || weight || '}') FROM edges)
+        GROUP BY 1) GROUP BY b)""", EDGES)
 def graph_version(v):
     nodes = v.researcher().select(F.col("researcher_id").alias("id"), "primary_organization_id")
     return graph.graph_version(nodes, edges_of(v))
@@ -298,7 +306,24 @@ def org_edges(v):
     return pairs.select(F.col("left").alias("source"), F.col("right").alias("target"), F.col("count").alias("weight"))
 
 
-@query("betweenness")
+SHORTEST = ORG_EDGES + """,
+    ways AS (SELECT source AS id, target AS other, weight FROM edges UNION ALL SELECT target, source, weight FROM edges),
+    ids AS (SELECT DISTINCT id FROM ways),
+    dist(s, t, d) USING KEY (s, t) AS (SELECT a.id, b.id, CASE WHEN a.id = b.id THEN 0 ELSE 1000000000 END FROM ids a, ids b
+      UNION SELECT r.s, w.other, min(r.d + w.weight) FROM dist r JOIN ways w ON w.id = r.t
+        JOIN recurring.dist c ON c.s = r.s AND c.t = w.other WHERE r.d + w.weight < c.d GROUP BY 1, 2),
+    arcs AS MATERIALIZED (SELECT a.s, a.t AS u, b.t AS v FROM dist a JOIN ways w ON w.id = a.t
+      JOIN dist b ON b.s = a.s AND b.t = w.other AND b.d = a.d + w.weight),
+    steps AS (SELECT id AS s, id AS v, CAST(1 AS DOUBLE) AS n, 0 AS hop FROM ids
+      UNION ALL SELECT p.s, arcs.v, sum(p.n), p.hop + 1 FROM steps p JOIN arcs ON arcs.s = p.s AND arcs.u = p.v GROUP BY 1, 2, 4),
+    sigma AS MATERIALIZED (SELECT dist.s, dist.t, any_value(d) AS d, sum(n) AS n FROM dist JOIN steps ON steps.s = dist.s AND steps.v = dist.t GROUP BY 1, 2),
+    through AS (SELECT a.t AS id, sum(a.n * b.n / c.n) AS total FROM sigma a JOIN sigma b ON b.s = a.t
+      JOIN sigma c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.s <> a.t AND b.t <> a.t AND a.s <> b.t GROUP BY 1)"""
+
+
+@query("betweenness", "publication_organization", """
+    SELECT ids.id, round(coalesce(total, 0) / ((SELECT count(*) FROM ids) - 1) / ((SELECT count(*) FROM ids) - 2), 9) AS betweenness
+    FROM ids LEFT JOIN through ON through.id = ids.id""", SHORTEST)
 def betweenness(v):
     edges = Rounds(v.spark, "betweenness").cut(org_edges(v))
     nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()

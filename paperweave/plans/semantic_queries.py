@@ -8,6 +8,7 @@ from paperweave.functions import payload as px
 from paperweave.operators import embeddings as em
 from paperweave.operators import graph, semantic
 from paperweave.plans import load
+from paperweave.plans.catalog_queries import NORMAL
 from paperweave.plans.registry import query
 from paperweave.plans.resolve_queries import raw_organizations, raw_publications
 from paperweave.session import checkpoint_root
@@ -176,9 +177,23 @@ def embedding_summary(v):
     return em.embedding_summary(em.embedding_plan(texts(v), known_hashes(v), CONFIG))
 
 
-@query("embedding_payload")
+@query("embedding_payload", TEXT_USES, """
+    SELECT d.publication_id, CAST(d.publication_id AS VARCHAR) AS payload_id, d.title, sha256(content_text) AS text_hash, d.doi,
+      d.doi IS NOT NULL AS has_doi, sha256(nullif(abstract, '')) AS abstract_hash,
+      (SELECT min(researcher.full_name) FROM authorship JOIN researcher USING (researcher_id)
+        WHERE authorship.publication_id = d.publication_id AND author_position = (SELECT min(author_position) FROM authorship a
+          WHERE a.publication_id = d.publication_id) AND researcher_id = (SELECT min(researcher_id) FROM authorship b
+          WHERE b.publication_id = d.publication_id AND b.author_position = authorship.author_position)) AS first_author
+    FROM document_publication d JOIN texts t ON t.publication_id = d.publication_id WHERE content_text IS NOT NULL""", TEXTS)
 def embedding_payload(v):
-    return em.embedding_payload(texts(v), v.document_publication(), v.authorship(), v.researcher())
+    payload = em.embedding_payload(texts(v), v.document_publication(), v.authorship(), v.researcher())
+    get = lambda path: F.get_json_object("payload", path)
+    return payload.select(
+        "publication_id", get("$.publication_id").alias("payload_id"), get("$.title").alias("title"),
+        F.sha2(get("$.content_text"), 256).alias("text_hash"), get("$.doi").alias("doi"),
+        F.array_contains(F.json_object_keys("payload"), "doi").alias("has_doi"),
+        F.sha2(get("$.abstract"), 256).alias("abstract_hash"), get("$.authors[0]").alias("first_author"),
+    )
 
 
 @query("embed_documents")
@@ -227,7 +242,29 @@ def load_inputs(v):
     return {"publications": pubs, "organizations": raw_organizations(v), "relations": rel}
 
 
-@query("run_load")
+LOADED = f"""m AS (SELECT publication_id AS n, doi, CASE WHEN publication_id % 10 <> 9 THEN 'doc::' || publication_id
+        ELSE 'orig::' || publication_id END AS key,
+      CASE WHEN publication_id % 10 = 8 OR trim(title) = '' THEN 'untitled' ELSE {NORMAL.format('title')} END AS title,
+      CASE WHEN publication_id % 10 = 7 THEN NULL ELSE publication_id % 25 END AS year FROM document_publication),
+    same AS (SELECT a.n AS l, b.n AS r FROM m a JOIN m b ON a.doi = b.doi
+      OR (a.title <> '' AND a.title = b.title AND a.year IS NOT DISTINCT FROM b.year)),
+    reach(n, root) USING KEY (n) AS (SELECT n, n FROM m UNION SELECT s.l, min(r.root) FROM same s JOIN reach r ON r.n = s.r
+      JOIN recurring.reach c ON c.n = s.l WHERE r.root < c.root GROUP BY s.l),
+    links AS (SELECT DISTINCT root, n % 97 AS author FROM reach),
+    newest AS (SELECT root, max(n) AS n FROM reach GROUP BY 1),
+    found AS (SELECT newest.root, s_suppkey FROM supplier JOIN newest ON newest.n = s_suppkey AND newest.n % 10 <> 9),
+    solo AS (SELECT root, min(author) AS author FROM links GROUP BY 1 HAVING count(*) = 1)"""
+
+
+@query("run_load", "document_publication", """
+    SELECT t AS table_name, CAST(0 AS BIGINT) AS rows_before, c AS rows_after, c AS delta FROM (
+      SELECT 'publication' AS t, count(DISTINCT root) AS c FROM reach
+      UNION ALL SELECT 'organization', count(*) FROM supplier
+      UNION ALL SELECT 'researcher', count(DISTINCT author) FROM links
+      UNION ALL SELECT 'publication_author', count(*) FROM links
+      UNION ALL SELECT 'publication_organization', count(*) FROM found
+      UNION ALL SELECT 'researcher_affiliation', count(*) FROM (SELECT DISTINCT author, s_suppkey FROM found JOIN solo USING (root))
+      UNION ALL SELECT 'external_identifier', 1 + count(*) + count(DISTINCT doi) FROM m)""", LOADED)
 def run_load(v):
     return load.run_load(v.spark, load_inputs(v))[1]
 
