@@ -12,9 +12,21 @@ from pyspark.sql.types import StringType
 
 # White space as Python's str.split() / str.strip() see it.
 SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-_SPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]"
 
 
+def _listed(chars: str) -> str:
+    """A Java character class of single characters."""
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+
+
+_ASCII_SPACE = _listed("".join(c for c in SPACES if c.isascii()))
+_ANY_SPACE = _listed(SPACES)
+_WIDE_SPACE = "[\\x{85}\\x{a0}\\x{1680}-\\x{3000}]"
+
+# Above U+0130, or one of the special characters of Latin-1 (accented letters are not among them).
+_WIDE = "[\\x{a0}\\x{a8}\\x{aa}\\x{af}\\x{b2}\\x{b3}\\x{b4}\\x{b5}\\x{b8}\\x{b9}\\x{ba}\\x{bc}\\x{bd}\\x{be}\\x{131}-\\x{10ffff}]"
+_NOT_ASCII = "[^\\x00-\\x7f]"
+
 # No code point from here on folds to a letter or decomposes.
 LAST_DECOMPOSED = 0x30000
 
@@ -66,24 +78,27 @@ def normalize_text(c: Column) -> Column:
 
     Null becomes ''. Every step acts on single characters, so one `translate`
     covers all accented letters; the few characters that expand to several
-    (ligatures, sharp s, fractions) are looked up only in rows that hold one.
+    (ligatures, fractions) are looked up only in rows that hold one.
     """
     matching, replacement, several = _fold_tables()
+    text = F.replace(F.coalesce(c, F.lit("")), F.lit("ß"), F.lit("ss"))
     expansions = F.map_from_arrays(
         F.split(F.lit("\x01".join(several)), "\x01"), F.split(F.lit("\x01".join(several.values())), "\x01")
     )
-    text = F.coalesce(c, F.lit(""))
-    expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(expansions, x), x)), ""
-    )
-    holds_several = text.rlike(_regex_class(sorted(ord(k) for k in several)))
-    plain = F.translate(F.when(holds_several, expanded).otherwise(text), matching, replacement)
-    text = F.when(text.rlike("[^\\x00-\\x7f]"), plain).otherwise(text)
+    expanded = F.array_join(F.transform(F.split(text, ""), lambda x: F.when(x < "\x80", x).otherwise(
+        F.coalesce(F.element_at(expansions, x), x))), "")
+    wide = F.when(_holds(text, sorted(ord(k) for k in several)), expanded).otherwise(text)
+    text = F.when(text.rlike(_NOT_ASCII), F.translate(wide, matching, replacement)).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def _holds(c: Column, points: list[int]) -> Column:
+    """Does the text hold one of the code points? Cheap tests first: the class has many ranges."""
+    return F.when(c.rlike(_WIDE), c.rlike(f"(?={_NOT_ASCII}){_regex_class(points)}"))
+
+
 @lru_cache(maxsize=1)
-def _nfkc_class() -> str:
+def _nfkc_points() -> list[int]:
     """Characters whose presence may make NFKC differ from the text itself."""
     points = []
     seconds = set()
@@ -101,7 +116,7 @@ def _nfkc_class() -> str:
         jamo = 0x1161 <= point <= 0x1175 or 0x11A8 <= point <= 0x11C2
         if changes or unicodedata.combining(char) or point in seconds or jamo:
             points.append(point)
-    return _regex_class(points)
+    return points
 
 
 @F.pandas_udf(StringType())
@@ -115,13 +130,15 @@ def clean_text(c: Column) -> Column:
     Spark has no Unicode normalization, so the rows that hold a character NFKC
     can change go through an Arrow UDF; all other rows reach it as null.
     """
-    normal = F.coalesce(_nfkc(F.when(c.rlike(_nfkc_class()), c)), c)
+    normal = F.coalesce(_nfkc(F.when(_holds(c, _nfkc_points()), c)), c)
     return squeeze(normal)
 
 
 def squeeze(c: Column) -> Column:
     """White space collapsed to single spaces and trimmed; blank becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(c, _SPACE_CLASS + "+", " ")), F.lit(""))
+    wide = F.regexp_replace(c, _ANY_SPACE + "+", " ")
+    flat = F.when(c.rlike(_WIDE_SPACE), wide).otherwise(F.regexp_replace(c, _ASCII_SPACE + "+", " "))
+    return F.nullif(F.trim(flat), F.lit(""))
 
 
 def strip(c: Column) -> Column:

@@ -198,7 +198,7 @@ class Views:
         digit = F.col("doc_id") % 10
         return self.table("documents").select(
             F.col("doc_id").alias("publication_id"),
-            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("text").alias("abstract"),
             F.col("lang").alias("language_code"),
             F.col("source").alias("venue_name"),
