@@ -155,12 +155,10 @@ def embedding_status(publication: DataFrame, embedding: DataFrame, config: dict[
     active = embedding
     for key in CONFIG_KEYS:
         active = active.where(F.col(key) == config[key])
-    vectors = active.agg(
+    return active.agg(
         F.count("*").alias("embedding_count"),
         F.date_format(F.max("updated_at"), "yyyy-MM-dd HH:mm:ss").alias("last_updated_at"),
-    )
-    # both sides are single rows of global aggregates
-    return publication.agg(F.count("*").alias("publication_count")).join(vectors, F.lit(True))
+    ).withColumn("publication_count", publication.agg(F.count("*")).scalar())
 
 
 def point_ids(publication: DataFrame, config: dict[str, str]) -> DataFrame:

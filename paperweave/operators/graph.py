@@ -12,8 +12,6 @@ from paperweave.functions.payload import publication_year
 from paperweave.functions.text import display_label, normalize_text
 from paperweave.operators.grouping import PAIR_BLOCK, group_pairs, group_sizes
 
-HASH_BUCKETS = 4096
-
 
 def enrich_authorship(authorship: DataFrame, researcher: DataFrame, publication: DataFrame,
                       organization: DataFrame, affiliation: DataFrame) -> DataFrame:
@@ -186,25 +184,25 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Communities are 0 on an empty graph and null when there are nodes but no
     community was found (for example, no edges).
     """
-    per_node = nodes.agg(
+    edge_count = edges.agg(F.count("*")).scalar()
+    counts = nodes.agg(
         F.count("*").alias("node_count"),
         F.count_distinct("component_id").alias("component_count"),
         F.count_distinct("community_id").alias("found"),
     )
-    per_edge = edges.agg(F.count("*").alias("edge_count"))
     communities = F.when(F.col("node_count") == 0, 0).otherwise(F.nullif(F.col("found"), F.lit(0)))
-    # both sides are single rows of global aggregates
-    return per_node.join(per_edge, F.lit(True)).select(
-        "node_count", "edge_count", "component_count", communities.cast("bigint").alias("community_count")
+    return counts.select(
+        "node_count", edge_count.alias("edge_count"), "component_count",
+        communities.cast("bigint").alias("community_count"),
     )
 
 
 def graph_version(nodes: DataFrame, edges: DataFrame, params: str = "") -> DataFrame:
     """One SHA-256 that depends on the content only, not on row order or partitioning.
 
-    Rows are hashed in place, hashes are gathered by a fixed number of buckets of
-    their own prefix and hashed again per bucket, and the bucket hashes give the
-    version. A bucket holds 1/4096 of the hashes; equal rows are counted, not listed.
+    Every row is hashed where it lies and the eight 32-bit words of the hashes are
+    added up over the graph; the sums and the row count are hashed into the
+    version. Sums are partial aggregates, so nothing but one row per task moves.
     """
     node_cols = [c for c in ("id", "primary_organization_id", "university_code", "publication_year",
                              "organization_ids") if c in nodes.columns]
@@ -215,17 +213,14 @@ def graph_version(nodes: DataFrame, edges: DataFrame, params: str = "") -> DataF
         body = F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]))
         return df.select(F.sha2(F.concat(F.lit(kind), body), 256).alias("h"))
 
-    rows = hashed(nodes, "n", node_cols).unionByName(hashed(edges, "e", edge_cols)).groupBy("h").agg(
-        F.count("*").alias("copies")
-    )
-    entry = F.concat_ws(":", F.col("h"), F.col("copies").cast("string"))
-    buckets = rows.groupBy(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(HASH_BUCKETS)).alias("b")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\n"), 256).alias("bucket")
-    )
-    listing = F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("b", "bucket"))), lambda x: x["bucket"]), "\n"
+    rows = hashed(nodes, "n", node_cols).unionByName(hashed(edges, "e", edge_cols))
+    words = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = rows.agg(F.count("*").cast("string").alias("n"), *[
+        F.coalesce(F.sum(w), F.lit(0)).cast("string").alias(f"w{i}") for i, w in enumerate(words)
+    ])
+    return sums.select(
+        F.sha2(F.concat_ws("|", F.lit(params), "n", *[f"w{i}" for i in range(8)]), 256).alias("graph_version")
     )
-    return buckets.agg(F.sha2(F.concat(F.lit(params + "\n"), listing), 256).alias("graph_version"))
 
 
 def clustering_coefficient(nodes: DataFrame, edges: DataFrame) -> DataFrame:

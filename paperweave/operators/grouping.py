@@ -61,11 +61,12 @@ def group_pairs(
     Output: grp, left, right (left < right, or <= when not strict) and every
     carried column as `<name>_left` / `<name>_right`.
 
-    One small counting job over `sizes` looks for groups above `block` rows.
-    Without any, the plan is a plain equi-join on the group. Otherwise each big
-    group is cut into ceil(n / block) blocks by a hash of the member, and every
-    (block, block) combination is its own join key: no task sees more than about
-    2 x `block` rows of one group, and every pair is produced exactly once.
+    One small counting job over `sizes` (an upper bound per group) looks for groups
+    above `block`. Without any, the plan is a plain equi-join on the group.
+    Otherwise the distinct members of those groups are counted and each group of n
+    is cut into ceil(n / block) blocks by a hash of the member; every (block, block)
+    combination is its own join key: no task sees more than about 2 x `block` rows
+    of one group, and every pair is produced exactly once.
     """
     big = sizes.where(F.col("n") > block)
     left, right = F.col("l.member"), F.col("r.member")
@@ -75,7 +76,8 @@ def group_pairs(
     meet = (F.col("l.grp") == F.col("r.grp")) & (left < right if strict else left <= right)
 
     if not big.isEmpty():
-        cells = big.select("grp", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+        exact = group_sizes(members.join(big.select("grp"), "grp", "left_semi"), "grp")
+        cells = exact.select("grp", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
         members = (
             members.join(cells, "grp", "left")
             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -87,16 +89,17 @@ def group_pairs(
 
 
 def pair_counts(
-    df: DataFrame, group: str, member: str, *, strict: bool = True, block: int = PAIR_BLOCK
+    df: DataFrame, group: str, member: str, *, strict: bool = True, block: int = PAIR_BLOCK,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """(left, right, count): how many row pairs of the same group carry both members.
 
-    Repeats inside a group are counted once and multiplied, never paired.
+    Repeats inside a group are counted once and multiplied, never paired. `sizes`
+    may give (grp, n) from a cheaper source than `df`, as an upper bound.
     """
     members = member_counts(df, group, member)
-    pairs = group_pairs(
-        members, group_sizes(df, group), strict=strict, carry=["copies"], block=block
-    )
+    sizes = group_sizes(df, group) if sizes is None else sizes
+    pairs = group_pairs(members, sizes, strict=strict, carry=["copies"], block=block)
     return pairs.groupBy("left", "right").agg(
         F.sum(F.col("copies_left") * F.col("copies_right")).alias("count")
     )

@@ -87,11 +87,10 @@ def ingestion_status(counts: DataFrame, runs: DataFrame, source: str | None = No
     """Table counts beside the status and start of the latest run."""
     if source is not None:
         runs = runs.where(F.col("source") == source)
-    last = runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(1).select(
-        F.col("run_id").alias("last_run_id"), F.col("status").alias("last_run_status")
-    )
-    # one row at most on the right side, made by limit 1
-    return counts.join(F.broadcast(last), F.lit(True), "left")
+    last = runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
+    return counts.withColumns({
+        "last_run_id": last.select("run_id").scalar(), "last_run_status": last.select("status").scalar(),
+    })
 
 
 def run_registry(rows: Mapping[str, object], registry: DataFrame) -> DataFrame:

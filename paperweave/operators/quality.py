@@ -141,21 +141,13 @@ def run_summary(changed: Mapping[str, DataFrame], findings: DataFrame) -> DataFr
     Candidates found by an exact identifier are listed as findings but not counted
     in `findings_count`; `identifier_findings` counts them.
     """
-    def changed_rows(entity: str) -> DataFrame:
-        name = f"normalized_{entity}s"
-        if entity not in changed:
-            return findings.sparkSession.range(1).select(F.lit(0).cast("bigint").alias(name))
-        return changed[entity].agg(F.count_if(F.col("changed")).alias(name))
-
-    merged = [
-        F.count_if(F.col("auto_applied") & (F.col("entity_type") == e)).alias(f"auto_merged_{e}s")
-        for e in ("publication", "researcher", "organization")
-    ]
+    entities = ("publication", "researcher", "organization")
     totals = findings.agg(
-        *merged,
+        *[F.count_if(F.col("auto_applied") & (F.col("entity_type") == e)).alias(f"auto_merged_{e}s") for e in entities],
         F.count_if(~F.col("by_identifier")).alias("findings_count"),
         F.count_if(F.col("by_identifier")).alias("identifier_findings"),
     )
-    frames = [changed_rows(e) for e in ("publication", "researcher", "organization")] + [totals]
-    # every frame is the single row of a global aggregate
-    return reduce(lambda a, b: a.join(b, F.lit(True)), frames)
+    return totals.withColumns({
+        f"normalized_{e}s": changed[e].agg(F.count_if("changed")).scalar() if e in changed else F.lit(0).cast("bigint")
+        for e in entities
+    })

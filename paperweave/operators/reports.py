@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.operators.grouping import pair_counts
+from paperweave.operators.grouping import group_sizes, pair_counts
 
 
 def org_label() -> Column:
@@ -186,15 +186,17 @@ def country_network(organizations: DataFrame, relations: DataFrame, strict: bool
     located = organizations.where(F.col("country").isNotNull()).select(
         F.col("id").alias("source"), F.col("country.code").alias("country")
     )
-    members = relations_named(relations, "isParticipant").select("source", "target").join(located, "source")
-    return pair_counts(members, "target", "country", strict=strict).orderBy(F.desc("count"), "left", "right")
+    links = relations_named(relations, "isParticipant").select("source", "target")
+    pairs = pair_counts(links.join(located, "source"), "target", "country", strict=strict, sizes=group_sizes(links, "target"))
+    return pairs.orderBy(F.desc("count"), "left", "right")
 
 
 def org_pairs(organizations: DataFrame, relations: DataFrame, rel_name: str) -> DataFrame:
     """Organization name pairs linked to the same project or paper by `rel_name`."""
     named = organizations.select(F.col("id").alias("source"), org_label().alias("organization"))
-    members = relations_named(relations, rel_name).select("source", "target").join(named, "source")
-    return pair_counts(members, "target", "organization").orderBy(F.desc("count"), "left", "right")
+    links = relations_named(relations, rel_name).select("source", "target")
+    pairs = pair_counts(links.join(named, "source"), "target", "organization", sizes=group_sizes(links, "target"))
+    return pairs.orderBy(F.desc("count"), "left", "right")
 
 
 def access_by_year(results: DataFrame) -> DataFrame:

@@ -264,15 +264,16 @@ def graph_summary(v):
     return graph.graph_summary(*measured(v))
 
 
-@query("graph_version", USES + " researcher", """
-    SELECT sha256('' || chr(10) || string_agg(bucket, chr(10) ORDER BY b)) AS graph_version FROM (
-      SELECT b, sha256(string_agg(h || ':' || copies, chr(10) ORDER BY h || ':' || copies)) AS bucket FROM (
-        SELECT h, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 4096 AS b, count(*) AS copies FROM (
-          SELECT sha256('n{"id":' || researcher_id || coalesce(',"primary_organization_id":"' || primary_organization_id || '"', '') || '}') AS h
-            FROM researcher
-          UNION ALL SELECT sha256('e{"first_collaboration_year":' || first_collaboration_year || ',"last_collaboration_year":'
-            || last_collaboration_year || ',"source":' || source || ',"target":' || target || ',"weight":' || weight || '}') FROM edges)
-        GROUP BY 1) GROUP BY b)""", EDGES)
+WORD_SUMS = " || '|' || ".join(
+    f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query("graph_version", USES + " researcher", f"""
+    SELECT sha256('' || '|' || count(*) || '|' || {WORD_SUMS}) AS graph_version FROM (
+      SELECT sha256('n{{"id":' || researcher_id || coalesce(',"primary_organization_id":"' || primary_organization_id || '"', '') || '}}') AS h
+        FROM researcher
+      UNION ALL SELECT sha256('e{{"first_collaboration_year":' || first_collaboration_year || ',"last_collaboration_year":'
+        || last_collaboration_year || ',"source":' || source || ',"target":' || target || ',"weight":' || weight || '}}') FROM edges)""", EDGES)
 def graph_version(v):
     nodes = v.researcher().select(F.col("researcher_id").alias("id"), "primary_organization_id")
     return graph.graph_version(nodes, edges_of(v))

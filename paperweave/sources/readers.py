@@ -108,9 +108,8 @@ def explode_pages(pages: DataFrame, max_results: int | None = None) -> DataFrame
     items = F.filter("results", lambda r: r.isNotNull())
     sized = pages.withColumn("size", F.coalesce(F.size(items), F.lit(0)))
     wanted = F.coalesce(F.nullif(F.col("header.pageSize"), F.lit(0)), F.lit(SERVICE_PAGE))
-    # one row: the first short page, null when every page is full
-    last = sized.where(F.col("size") < wanted).agg(F.min("page_number").alias("last_page"))
-    live = sized.join(F.broadcast(last), F.col("last_page").isNull() | (F.col("page_number") <= F.col("last_page")))
+    first_short = sized.where(F.col("size") < wanted).agg(F.min("page_number")).scalar()
+    live = sized.where(F.col("page_number") <= F.coalesce(first_short, F.col("page_number")))
     out = live.select("page_number", F.posexplode(items).alias("place", "item")).select("page_number", "place", "item.*")
     return out if max_results is None else out.orderBy("page_number", "place").limit(max_results)
 
