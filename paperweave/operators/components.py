@@ -86,20 +86,17 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     """
     table = Rounds(edges.sparkSession, "labels")
     ways = table.cut(both_ways(edges, "weight"))
-    labels = table.cut(nodes.select("id", F.col("id").alias("community_id")))
-    for _ in range(rounds):
-        heard = (
+    labels = ways.select("id", F.col("id").alias("community_id")).distinct()
+    for step in range(rounds):
+        before, labels = labels, table.cut(
             ways.join(labels.withColumnRenamed("id", "other"), "other")
             .groupBy("id", "community_id").agg(F.sum("weight").alias("w"))
             .groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "community_id")).alias("best"))
-            .select("id", F.col("best.community_id").alias("heard"))
+            .select("id", F.col("best.community_id").alias("community_id"))
         )
-        after = table.cut(
-            labels.join(heard, "id", "left").select("id", F.coalesce("heard", "community_id").alias("community_id"))
-        )
-        table.drop(labels)
-        labels = after
-    return labels
+        if step:
+            table.drop(before)
+    return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("community_id", "id").alias("community_id"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:

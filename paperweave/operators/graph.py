@@ -111,13 +111,18 @@ def both_ways(edges: DataFrame, *carry: str) -> DataFrame:
 
 
 def degree_strength(nodes: DataFrame, edges: DataFrame, round_to: int | None = None) -> DataFrame:
-    """(id, degree, strength) of every node; isolated nodes have zeros."""
+    """(id, degree, strength) of every node; isolated nodes have zeros.
+
+    With `round_to`, fractional weights are added as decimals, so the result does
+    not depend on the order of the additions.
+    """
+    weight = F.col("weight") if round_to is None else F.col("weight").cast("decimal(28,9)")
     sums = both_ways(edges, "weight").groupBy("id").agg(
-        F.count("*").alias("degree"), F.sum("weight").alias("strength")
+        F.count("*").alias("degree"), F.sum(weight).alias("strength")
     )
     strength = F.coalesce("strength", F.lit(0))
     if round_to is not None:
-        strength = F.round(strength, round_to)
+        strength = F.round(strength, round_to).cast("double")
     return nodes.select("id").join(sums, "id", "left").select(
         "id", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"), strength.alias("strength")
     )

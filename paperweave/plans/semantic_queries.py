@@ -66,7 +66,7 @@ def semantic_neighbors(v):
 
 
 @query("semantic_strength", "vectors", """
-    SELECT v.id, count(w.weight) AS degree, round(coalesce(sum(w.weight), 0), 6) AS strength FROM vectors v
+    SELECT v.id, count(w.weight) AS degree, CAST(round(coalesce(sum(CAST(w.weight AS DECIMAL(28,9))), 0), 6) AS DOUBLE) AS strength FROM vectors v
     LEFT JOIN (SELECT source AS id, weight FROM pairs UNION ALL SELECT target, weight FROM pairs) w ON w.id = v.id GROUP BY 1""", KNN)
 def semantic_strength(v):
     return graph.degree_strength(v.vectors().select("id"), semantic.symmetrize(knn(v)), round_to=6)
