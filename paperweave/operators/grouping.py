@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperweave.session import Rounds
+
 PAIR_BLOCK = 2_000
 
 
@@ -89,17 +91,16 @@ def group_pairs(
 
 
 def pair_counts(
-    df: DataFrame, group: str, member: str, *, strict: bool = True, block: int = PAIR_BLOCK,
-    sizes: DataFrame | None = None,
+    df: DataFrame, group: str, member: str, *, strict: bool = True, block: int = PAIR_BLOCK
 ) -> DataFrame:
     """(left, right, count): how many row pairs of the same group carry both members.
 
-    Repeats inside a group are counted once and multiplied, never paired. `sizes`
-    may give (grp, n) from a cheaper source than `df`, as an upper bound.
+    Repeats inside a group are counted once and multiplied, never paired. The
+    collapsed rows are written once: the size check and both sides of the join
+    read them back instead of repeating what made them.
     """
-    members = member_counts(df, group, member)
-    sizes = group_sizes(df, group) if sizes is None else sizes
-    pairs = group_pairs(members, sizes, strict=strict, carry=["copies"], block=block)
+    members = Rounds(df.sparkSession, "pairs").cut(member_counts(df, group, member))
+    pairs = group_pairs(members, group_sizes(members, "grp"), strict=strict, carry=["copies"], block=block)
     return pairs.groupBy("left", "right").agg(
         F.sum(F.col("copies_left") * F.col("copies_right")).alias("count")
     )

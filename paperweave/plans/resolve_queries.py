@@ -92,7 +92,9 @@ def author_keys(v):
     LEFT JOIN unsafe u ON u.entity_id = s.entity_id AND u.candidate_entity_id = s.candidate_entity_id""",
        ", ".join([DOC_CATALOG, LINKS, PUB_STARS, UNSAFE_PUB, NAMED]))
 def publication_duplicates(v):
-    return resolve.publication_candidates(doc_catalog(v), v.authorship(), author_keys(v))
+    docs = doc_catalog(v).select(
+        "publication_id", "normalized_title", "publication_year", "journal_name", "venue_name", "created_at")
+    return resolve.publication_candidates(Rounds(v.spark, "docs").cut(docs), v.authorship(), author_keys(v))
 
 
 @query("researcher_duplicates", "authorship", """

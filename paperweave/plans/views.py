@@ -56,16 +56,16 @@ class Views:
         return (
             self.table("lineitem")
             .where((F.col("l_linenumber") == 1) & (F.col("l_quantity") > 30))
+            .select("l_partkey", "l_suppkey").distinct()
             .select(F.col("l_partkey").alias("researcher_id"), _key("S:", "l_suppkey").alias("organization_id"))
-            .distinct()
         )
 
     def publication_organization(self) -> DataFrame:
         return (
             self.table("lineitem")
-            .select(F.col("l_orderkey").alias("publication_id"), _key("S:", "l_suppkey").alias("organization_id"))
-            .distinct()
-            .withColumn("relation_type", F.lit("affiliation"))
+            .select("l_orderkey", "l_suppkey").distinct()
+            .select(F.col("l_orderkey").alias("publication_id"), _key("S:", "l_suppkey").alias("organization_id"),
+                    F.lit("affiliation").alias("relation_type"))
         )
 
     def organization(self) -> DataFrame:
@@ -92,47 +92,39 @@ class Views:
     # dump-style tables of the reports --------------------------------------------
     def organizations(self) -> DataFrame:
         """id, legalname, legalshortname, country struct<code,label>."""
-        nations = self.table("nation").select("n_nationkey", "n_name")
-        return self.table("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        nation = _key("N:", "s_nationkey")
+        return self.table("supplier").select(
             _key("S:", "s_suppkey").alias("id"),
             F.col("s_name").alias("legalname"),
             F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("Org "), (F.col("s_suppkey") % 50).cast("string")))
             .alias("legalshortname"),
-            F.when(
-                F.col("s_acctbal") > -900,
-                F.struct(F.col("n_name").alias("code"), F.col("n_name").alias("label")),
-            ).alias("country"),
+            F.when(F.col("s_acctbal") > -900, F.struct(nation.alias("code"), nation.alias("label"))).alias("country"),
         )
 
     def relations(self) -> DataFrame:
         """source, target, sourceType, targetType, reltype struct<name,type>."""
         line = self.table("lineitem")
 
-        def rel(source: Column, target: Column, name: str, kind: str, st: str, tt: str, rows: DataFrame = line):
-            return (
-                rows.select(source.alias("source"), target.alias("target"))
-                .distinct()
-                .select(
-                    "source",
-                    "target",
-                    F.lit(st).alias("sourceType"),
-                    F.lit(tt).alias("targetType"),
-                    F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type")).alias("reltype"),
-                )
+        def rel(source: str, target: str, name: str, kind: str, st: str, tt: str, rows: DataFrame = line):
+            """Distinct key pairs first, labels afterwards: the shuffle moves numbers only."""
+            (sp, sc), (tp, tc) = source.split(), target.split()
+            return rows.select(F.col(sc).alias("s"), F.col(tc).alias("t")).distinct().select(
+                _key(sp, "s").alias("source"),
+                _key(tp, "t").alias("target"),
+                F.lit(st).alias("sourceType"),
+                F.lit(tt).alias("targetType"),
+                F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type")).alias("reltype"),
             )
 
-        org, pub, part, proj = (
-            _key("S:", "l_suppkey"), _key("O:", "l_orderkey"), _key("O:", "l_partkey"), _key("P:", "l_partkey"),
-        )
-        supplement = F.concat(F.lit("O:"), (F.col("l_orderkey") + 1).cast("string"))
+        org, pub, part, proj = "S: l_suppkey", "O: l_orderkey", "O: l_partkey", "P: l_partkey"
+        first = line.where(F.col("l_linenumber") == 1).withColumn("next_order", F.col("l_orderkey") + 1)
         frames = [
             rel(org, pub, "isAuthorInstitutionOf", "affiliation", "organization", "result"),
             rel(pub, part, "Cites", "citation", "result", "result"),
             rel(part, pub, "IsCitedBy", "citation", "result", "result"),
             rel(org, proj, "isParticipant", "participation", "organization", "project"),
             rel(proj, pub, "produces", "outcome", "project", "result"),
-            rel(pub, supplement, "IsSupplementedBy", "supplement", "result", "result",
-                line.where(F.col("l_linenumber") == 1)),
+            rel(pub, "O: next_order", "IsSupplementedBy", "supplement", "result", "result", first),
         ]
         out = frames[0]
         for frame in frames[1:]:
@@ -184,13 +176,14 @@ class Views:
         part = self.table("part").select("p_partkey", "p_brand", "p_type")
         return (
             line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .select("l_orderkey", "p_brand", "p_type").distinct()
             .select(
                 _key("O:", "l_orderkey").alias("id"),
-                F.when(F.col("p_brand") == "Brand#1", "keyword").otherwise(F.col("p_brand")).alias("scheme"),
-                F.concat_ws(" ", "p_type", "p_brand").alias("value"),
+                F.struct(
+                    F.when(F.col("p_brand") == "Brand#1", "keyword").otherwise(F.col("p_brand")).alias("scheme"),
+                    F.concat_ws(" ", "p_type", "p_brand").alias("value"),
+                ).alias("subject"),
             )
-            .distinct()
-            .select("id", F.struct("scheme", "value").alias("subject"))
         )
 
     # text, records, vectors --------------------------------------------------------
@@ -240,8 +233,7 @@ VIEW_SQL = {
         UNION ALL SELECT 'R:' || r_regionkey, r_name, 'region', NULL FROM region""",
     "organizations": """SELECT 'S:' || s_suppkey AS id, s_name AS legalname,
           CASE WHEN s_acctbal >= 0 THEN 'Org ' || (s_suppkey % 50) END AS legalshortname,
-          CASE WHEN s_acctbal > -900 THEN n_name END AS country
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+          CASE WHEN s_acctbal > -900 THEN 'N:' || s_nationkey END AS country FROM supplier""",
     "relations": """SELECT DISTINCT 'S:' || l_suppkey AS source, 'O:' || l_orderkey AS target,
           'isAuthorInstitutionOf' AS rel_name, 'affiliation' AS rel_type,
           'organization' AS source_type, 'result' AS target_type FROM lineitem
