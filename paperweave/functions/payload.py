@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweave.functions import fixed_values as fv
-from paperweave.functions.text import clip_text, first_in_array, nonblank, strip
+from paperweave.functions.text import first_in_array, nonblank, strip
 
 
 def _null() -> Column:
@@ -183,8 +183,14 @@ def organization_identifier(ident: Column, pids: Column, names: Sequence[Column]
     return F.coalesce(nonblank(ident), F.concat(F.lit("ror::"), extract_pid(pids, "ror")), named)
 
 
-def clip(c: Column, n: int) -> Column:
-    return clip_text(c, n)
+def input_country_code(c: Column) -> Column:
+    """A typed-in country code: stripped, upper case, null when blank."""
+    return F.upper(nonblank(c))
+
+
+def input_identifier(c: Column) -> Column:
+    """A typed-in identifier: stripped, null when blank."""
+    return nonblank(c)
 
 
 def is_valid_doi(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from paperweave.functions.text import normalize_text
 from paperweave.session import Rounds
 
 ALIASES_PER_PASS = 500
+GRAM = 3
 
 
 def alliance_aliases(spark: SparkSession) -> DataFrame:
@@ -54,11 +56,10 @@ def org_lineage(organization: DataFrame, max_depth: int = 100) -> DataFrame:
     return out
 
 
-def _dictionary(aliases: DataFrame, min_alias_len: int) -> list[dict]:
-    """Normalized aliases of the governed dictionary: a short hand-kept list, read to the driver."""
+def _dictionary(aliases: DataFrame, min_alias_len: int) -> DataFrame:
+    """(code, country_code, alias): usable normalized aliases."""
     rows = aliases.select("code", "country_code", normalize_text(F.col("alias")).alias("alias")).distinct()
-    rows = rows.where((F.col("alias") != "") & (F.length("alias") >= min_alias_len))
-    return [r.asDict() for r in rows.orderBy("code", "alias").collect()]
+    return rows.where((F.col("alias") != "") & (F.length("alias") >= min_alias_len))
 
 
 def _score(name: Column, alias: Column) -> Column:
@@ -70,25 +71,65 @@ def _score(name: Column, alias: Column) -> Column:
     )
 
 
-def alias_match(names: DataFrame, aliases: DataFrame, min_alias_len: int = 0) -> DataFrame:
-    """(name, country_code, code, score) for each normalized name and every dictionary code it matches.
-
-    `names` has name (normalized) and country_code; equal rows are matched once.
-    The dictionary becomes a constant array inside the projection, a few hundred
-    aliases per pass, so names are scanned without a join and only matches leave.
-    """
-    distinct = names.select("name", "country_code").where(F.coalesce("name", F.lit("")) != "").distinct()
-    words = _dictionary(aliases, min_alias_len)
+def _match_constant(names: DataFrame, words: list[dict]) -> DataFrame:
+    """Matches against a short dictionary held as a constant array in the projection."""
     schema = "array<struct<code:string,country_code:string,alias:string>>"
-    out = None
+    parts = []
     for at in range(0, max(len(words), 1), ALIASES_PER_PASS):
         listed = F.from_json(F.lit(json.dumps(words[at:at + ALIASES_PER_PASS])), schema)
         hits = F.filter(listed, lambda a: _score(F.col("name"), a["alias"]) > 0)
-        part = distinct.select("name", "country_code", F.explode(hits).alias("a")).select(
+        parts.append(names.select("name", "country_code", F.explode(hits).alias("a")).select(
             "name", "country_code", F.col("a.code").alias("code"), F.col("a.country_code").alias("code_country"),
             _score(F.col("name"), F.col("a.alias")).alias("base"),
-        )
-        out = part if out is None else out.unionByName(part)
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _grams(c: Column) -> Column:
+    """Distinct substrings of one to GRAM characters."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*[F.substr(c, i, F.lit(n)) for n in range(1, GRAM + 1)])
+    )))
+
+
+def _match_join(names: DataFrame, words: DataFrame) -> DataFrame:
+    """Matches against a dictionary of any size, as equi-joins on short substrings.
+
+    If one text lies inside the other, the first characters of the inner one are a
+    substring of the outer one; pairs that share it are then scored.
+    """
+    texts = names.where(F.length("name") > 0)
+    by_alias = texts.withColumn("gram", F.explode(_grams(F.col("name")))).join(
+        words.withColumn("gram", F.substring("alias", 1, GRAM)), "gram"
+    )
+    by_name = texts.where(F.length("name") >= fv.MIN_NAME_IN_ALIAS).withColumn("gram", F.substring("name", 1, GRAM)).join(
+        words.withColumn("gram", F.explode(_grams(F.col("alias")))), "gram"
+    )
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.select(
+            "name", "country_code", "code", "code_country",
+            _score(F.col("name"), F.col("alias")).alias("base"),
+        ).where(F.col("base") > 0)
+
+    return scored(by_alias).unionByName(scored(by_name)).distinct()
+
+
+def alias_match(names: DataFrame, aliases: DataFrame, min_alias_len: int = 0, constant_up_to: int = 2_000) -> DataFrame:
+    """(name, country_code, code, score) for each normalized name and every dictionary code it matches.
+
+    `names` has name (normalized) and country_code; equal rows are matched once. A
+    dictionary of up to `constant_up_to` aliases, the governed case, becomes a
+    constant in the projection, so names are scanned without a join; a longer one
+    is matched by equi-joins.
+    """
+    distinct = names.select("name", "country_code").where(F.coalesce("name", F.lit("")) != "").distinct()
+    words = _dictionary(aliases, min_alias_len)
+    head = [r.asDict() for r in words.limit(constant_up_to + 1).collect()]
+    if len(head) <= constant_up_to:
+        out = _match_constant(distinct, head)
+    else:
+        out = _match_join(distinct, words.withColumnRenamed("country_code", "code_country"))
     adjust = (
         F.when(F.col("code_country") == F.col("country_code"), fv.SCORE_SAME_COUNTRY)
         .when((F.coalesce("code_country", F.lit("")) != "") & (F.coalesce("country_code", F.lit("")) != "")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -42,9 +43,12 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="paperweave-rounds-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    return _local_root(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"paperweave-rounds-{application}-")
 
 
 class Rounds:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,18 @@ def test_attribution_golden(spark):
         ("r1", "d"), ("r2", "c"), ("r3", "t")]
 
 
+def test_long_dictionaries_match_like_short_ones(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    names = spark.createDataFrame([(text(rng.randrange(1, 6)), rng.choice(["IT", "SE", None])) for _ in range(80)],
+                                  "name string, country_code string")
+    aliases = spark.createDataFrame([(f"c{i % 7}", rng.choice(["IT", "", None]), text(rng.randrange(1, 8))) for i in range(40)],
+                                    "code string, country_code string, alias string")
+    cols = ("name", "country_code", "code", "score")
+    short = rows(attribution.alias_match(names, aliases), *cols)
+    assert short and short == rows(attribution.alias_match(names, aliases, constant_up_to=3), *cols)
+
+
 PUBS = [
     ("p1", "First paper", "2020-01-02", "10.1/a", [("Ada Lovelace", 1, "0000-0001-0000-0001"), ("Grace Hopper", 1, None)], 1),
     ("p2", "First  Paper!", "2020-05-05", None, [("Lovelace, A.", 1, "0000-0001-0000-0001")], 2),
