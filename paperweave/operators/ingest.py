@@ -178,7 +178,8 @@ def upsert(existing: DataFrame, batch: DataFrame, assigned: DataFrame, id_col: s
 
     `overwrite` columns take the last arrival's value even when it is null,
     `first_only` columns keep what they have, all others take the last non-null
-    value. A `unique` value that another entity already owns is not taken over.
+    value. A `unique` value that another entity already owns is not taken over;
+    entities the batch does not touch have no arrival and so come first.
     """
     cols = [c for c in existing.columns if c != id_col]
     given = [c for c in cols if c in batch.columns]
@@ -204,7 +205,7 @@ def upsert(existing: DataFrame, batch: DataFrame, assigned: DataFrame, id_col: s
 
     out = existing.join(news, id_col, "full").select(
         id_col, *[merged(c).alias(c) for c in cols], *[F.col(c).alias(f"_old_{c}") for c in unique],
-        F.coalesce("_arrival", F.lit(-1)).alias("_arrival"),
+        "_arrival",
     )
     for c in unique:
         out = assign_unique(out, c, id_col, "_arrival", f"_old_{c}").drop(c).withColumnRenamed("assigned", c)
@@ -390,7 +391,7 @@ def link_embedded_orgs(embedded: DataFrame, organization: DataFrame) -> tuple[Da
         clip_text(F.coalesce("acronym", "legal_name", "org_id"), 255).alias("name"),
         clip_text(normalize_text(F.coalesce("legal_name", "acronym", "org_id")), 255).alias("normalized_name"),
         px.extract_pid(F.col("pids"), "ror").alias("ror_id"),
-        F.xxhash64("publication_id", "dedupe_key").alias("arrival"),
+        F.concat_ws("#", F.col("publication_id").cast("string"), F.col("dedupe_key")).alias("arrival"),
     )
     table, assigned = upsert_organizations(organization, batch)
     links = batch.select("publication_id", "arrival").join(assigned, "arrival").join(

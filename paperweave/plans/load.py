@@ -61,10 +61,9 @@ def run_load(spark: SparkSession, inputs: Mapping[str, DataFrame], tables: Mappi
         known = batch.join(assigned.select("arrival", "publication_id"), "arrival")
 
         authors = ingest.explode_authors(known, "publication_id").withColumnRenamed("arrival", "record_arrival")
-        width = F.lit(1_000_000)
-        authors = rounds.cut(
-            authors.withColumn("arrival", F.col("record_arrival") * width + F.col("author_index")).drop("author_index")
-        )
+        # unique and in reading order for any record number and any author list
+        place = F.col("record_arrival").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("author_index")
+        authors = rounds.cut(authors.withColumn("arrival", place.cast("decimal(32,0)")).drop("author_index"))
         people, who = ingest.upsert_researchers(out["researcher"], authors)
         who = rounds.cut(who)
         out["researcher"] = rounds.cut(people)
@@ -73,7 +72,7 @@ def run_load(spark: SparkSession, inputs: Mapping[str, DataFrame], tables: Mappi
         )
         held = out["publication_author"].select(
             "publication_id", "researcher_id", F.col("author_position").alias("rank"),
-            (F.col("author_position").cast("bigint") - F.lit(2**40)).alias("arrival"),
+            (F.col("author_position").cast("decimal(32,0)") - F.lit(2**40)).cast("decimal(32,0)").alias("arrival"),
         )
         out["publication_author"] = rounds.cut(assign_author_positions(rounds.cut(held.unionByName(linked))))
 
