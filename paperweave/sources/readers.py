@@ -78,19 +78,34 @@ def read_archives(spark: SparkSession, paths: list[str], schema: str) -> DataFra
     return parsed.select("member", "line_number", "r.*")
 
 
-def _member_lines(raw, name: str, start: int, size: int) -> Iterator[bytes]:
-    """Lines of one archive member, read and unzipped block by block."""
+def _blocks(raw, start: int, size: int) -> Iterator[bytes]:
+    """The bytes of one archive member, a megabyte at a time."""
     raw.seek(start)
-    unzip = zlib.decompressobj(wbits=zlib.MAX_WBITS | 16) if name.endswith(".gz") else None
-    rest = b""
     while size > 0 and (block := raw.read(min(size, 1 << 20))):
         size -= len(block)
-        parts = (rest + (unzip.decompress(block) if unzip else block)).split(b"\n")
+        yield block
+
+
+def _unzipped(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """Plain bytes of a gzip stream, which may be several streams end to end."""
+    unzip = zlib.decompressobj(wbits=zlib.MAX_WBITS | 16)
+    for block in blocks:
+        while block:
+            yield unzip.decompress(block)
+            block = unzip.unused_data if unzip.eof else b""
+            if unzip.eof:
+                unzip = zlib.decompressobj(wbits=zlib.MAX_WBITS | 16)
+
+
+def _member_lines(raw, name: str, start: int, size: int) -> Iterator[bytes]:
+    """Lines of one archive member, read and unzipped block by block."""
+    blocks = _blocks(raw, start, size)
+    rest = b""
+    for block in _unzipped(blocks) if name.endswith(".gz") else blocks:
+        parts = (rest + block).split(b"\n")
         rest = parts.pop()
         yield from parts
-    if unzip:
-        rest += unzip.flush()
-    yield from rest.split(b"\n")
+    yield rest
 
 
 def limit_per_input(inputs: Mapping[str, DataFrame], n: int | None) -> dict[str, DataFrame]:

@@ -204,3 +204,14 @@ def test_summary_of_empty_graphs(spark):
 def test_unknown_node_is_an_error(spark):
     with pytest.raises(LookupError):
         graph.node_detail(nodes_of(spark, [1]), 2)
+
+
+def test_edges_do_not_depend_on_how_a_big_paper_is_cut(spark):
+    rng = random.Random(11)
+    links = [(0, a) for a in range(60)] + [(rng.randrange(1, 40), rng.randrange(60)) for _ in range(120)]
+    auth = spark.createDataFrame(links, "publication_id long, researcher_id long")
+    pubs = spark.createDataFrame([(p, 2000 + p % 5, None) for p in range(40)],
+                                 "publication_id long, publication_year int, publication_date date")
+    plain = sorted(tuple(r) for r in graph.coauthor_edges(auth, pubs).collect())
+    assert plain == sorted(tuple(r) for r in graph.coauthor_edges(auth, pubs, block=4).collect())
+    assert len(plain) == 60 * 59 // 2
