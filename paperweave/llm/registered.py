@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from paperweave.llm import line_spread, url_rules
+from paperweave.llm import anchor_simhash, chat_windows, cross_parse, line_spread, pivot_index, swap_packing, url_rules
 
 QUERIES = {
+    "op2_chat_windows": chat_windows.query,
     "op3_url_rules": url_rules.query,
+    "op4_swap_packing": swap_packing.query,
+    "op5_pivot_index": pivot_index.query,
+    "op7_anchor_simhash": anchor_simhash.query,
+    "op9_cross_parse": cross_parse.query,
     "op10_line_spread": line_spread.query,
 }
 ORACLE = {
