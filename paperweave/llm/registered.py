@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from paperweave.llm import anchor_simhash, chat_windows, cross_parse, line_spread, pivot_index, swap_packing, url_rules
+from paperweave.llm import (
+    anchor_simhash,
+    chat_windows,
+    cross_parse,
+    deleted_lm,
+    line_spread,
+    pivot_index,
+    string_tiling,
+    swap_packing,
+    url_rules,
+    warc_index,
+)
 
 QUERIES = {
+    "op1_string_tiling": string_tiling.query,
     "op2_chat_windows": chat_windows.query,
     "op3_url_rules": url_rules.query,
     "op4_swap_packing": swap_packing.query,
     "op5_pivot_index": pivot_index.query,
+    "op6_warc_index": warc_index.query,
     "op7_anchor_simhash": anchor_simhash.query,
+    "op8_deleted_lm": deleted_lm.query,
     "op9_cross_parse": cross_parse.query,
     "op10_line_spread": line_spread.query,
 }
 ORACLE = {
     "op3_url_rules": url_rules.SQL,
+    "op6_warc_index": warc_index.SQL,
     "op10_line_spread": line_spread.SQL,
 }
