@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -18,13 +19,16 @@ from paperweave.session import Rounds
 SEED = 42
 THRESHOLD = 4
 BLOCK = 30_000
+BUNDLE = 16
 BATCH_TOKENS = 1_000_000
+COMPARE_AT_ONCE = 2_000_000
 
-# Parts of a fingerprint: (first bit, bits, code). The binary Golay code [23, 12] covers its space at radius 3.
-# "all" is the code of all words: radius 0.
-PARTS = ((0, 23, "golay"), (23, 23, "golay"), (46, 12, "all"))
-RADIUS = {"golay": 3, "all": 0}
+# Two perfect codes: (bits, covering radius, syndrome bits). Golay's generator polynomial, as bits.
+CODES = {"golay": (23, 3, 11), "hamming": (15, 1, 4)}
 GOLAY_GENERATOR = 0b101011100011
+# Parts of a fingerprint, as (first bit, code): a long reach in few anchors, or four even parts for wider thresholds.
+GOLAY_PARTS = ((0, "golay"), (23, "golay"), (46, "hamming"))
+HAMMING_PARTS = ((0, "hamming"), (15, "hamming"), (30, "hamming"), (45, "hamming"))
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -73,48 +77,51 @@ def simhash(texts: Sequence[str | None], words: int, seed: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: Column, words: int = 4, seed: int = SEED) -> Column:
-    """Signed 64-bit SimHash of whole texts."""
+def fingerprints(text: Column, words: int = 4, seeds: Sequence[int] = (SEED,)) -> Column:
+    """Signed 64-bit SimHashes of whole texts, one per seed."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch]
-            yield pd.Series(simhash(texts, words, seed).view(np.int64))
+            each = np.stack([simhash(texts, words, seed).view(np.int64) for seed in seeds], axis=1)
+            yield pd.Series(list(each), dtype=object)
 
     return run(text)
 
 
-def part_thresholds(threshold: int) -> list[int]:
-    """Two words at most `threshold` apart are, in one part at least, within that part's share.
+def shares(threshold: int, parts: Sequence) -> list[int]:
+    """How far apart two words may be in each part, so that words within `threshold` meet in one at least.
 
-    Shares may add up to `threshold` less the parts but one; Golay parts take them first.
+    If every part differed by more than its share, the words would differ by
+    more than the shares' sum plus one less than the number of parts.
     """
-    shares = [0] * len(PARTS)
-    for k in range(threshold - len(PARTS) + 1):
-        shares[k % 2] += 1
-    return shares
+    out = [0] * len(parts)
+    for k in range(max(0, threshold - len(parts) + 1)):
+        out[k % len(parts)] += 1
+    return out
 
 
 @lru_cache
-def golay_tables() -> tuple[np.ndarray, np.ndarray]:
-    """(syndrome of each 11-bit pattern's row, coset leader per syndrome) of the [23, 12] code."""
+def unit_syndromes(code: str) -> np.ndarray:
+    """Syndrome of each single bit."""
+    if code == "hamming":
+        return np.arange(1, 16, dtype=np.int64)
+
     def rest(word: int) -> int:
         for bit in range(22, 10, -1):
             if word >> bit & 1:
                 word ^= GOLAY_GENERATOR << (bit - 11)
         return word
 
-    unit = np.array([rest(1 << b) for b in range(23)], np.int64)
-    leader = np.full(2048, -1, np.int64)
-    for errors in ball(23, 3):
-        s = 0
-        for b in range(23):
-            if errors >> b & 1:
-                s ^= int(unit[b])
-        if leader[s] < 0:
-            leader[s] = errors
-    return unit, leader
+    return np.array([rest(1 << b) for b in range(23)], np.int64)
+
+
+def syndrome(words: np.ndarray, code: str) -> np.ndarray:
+    out = np.zeros(len(words), np.int64)
+    for b, unit in enumerate(unit_syndromes(code)):
+        out ^= np.where(words >> b & 1, unit, 0)
+    return out
 
 
 @lru_cache
@@ -128,51 +135,44 @@ def ball(bits: int, radius: int) -> tuple[int, ...]:
 
 
 @lru_cache
-def near_codewords(reach: int) -> np.ndarray:
-    """For each Golay syndrome the offsets of at most `reach` ones that lead to a codeword; -1 fills up."""
-    unit, _ = golay_tables()
-    words = np.array(ball(23, reach), np.int64)
-    syndromes = np.zeros(len(words), np.int64)
-    for b in range(23):
-        syndromes ^= np.where(words >> b & 1, unit[b], 0)
-    order = np.argsort(syndromes, kind="stable")
-    counts = np.bincount(syndromes, minlength=2048)
-    out = np.full((2048, counts.max()), -1, np.int64)
-    starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
-    for s in range(2048):
-        out[s, : counts[s]] = words[order[starts[s]:starts[s] + counts[s]]]
+def ways_to_anchors(code: str, share: int) -> np.ndarray:
+    """For each syndrome the changes that lead to a codeword within covering radius plus share.
+
+    The lightest comes first, and leads to the nearest codeword; -1 fills up.
+    """
+    bits, radius, checks = CODES[code]
+    words = np.array(ball(bits, radius + share), np.int64)
+    of = syndrome(words, code)
+    order = np.argsort(of, kind="stable")
+    counts = np.bincount(of, minlength=1 << checks)
+    out = np.full((1 << checks, counts.max()), -1, np.int64)
+    starts = np.cumsum(counts) - counts
+    for s, (at, n) in enumerate(zip(starts, counts)):
+        out[s, :n] = words[order[at:at + n]]
     return out
 
 
-def anchors_of(fps: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors_of(fps: np.ndarray, threshold: int, parts: Sequence) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per part: (part, row, anchor, is the row's nearest) of every anchor within radius and share."""
-    unit, leader = golay_tables()
-    for part, ((first, bits, code), share) in enumerate(zip(PARTS, part_thresholds(threshold))):
-        word = (fps >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        if code == "all":
-            offsets = np.array(ball(bits, share), np.int64)
-            rows = np.repeat(np.arange(len(fps)), len(offsets))
-            yield part, rows, (word[:, None] ^ offsets).ravel(), np.tile(offsets == 0, len(fps))
-            continue
-        syndrome = np.zeros(len(fps), np.int64)
-        for b in range(bits):
-            syndrome ^= np.where(word >> b & 1, unit[b], 0)
-        offsets = near_codewords(RADIUS[code] + share)[syndrome]
-        rows, at = np.nonzero(offsets >= 0)
-        offset = offsets[rows, at]
-        yield part, rows, word[rows] ^ offset, offset == leader[syndrome[rows]]
-
-
-def _place(threshold: int):
+    for part, ((first, code), share) in enumerate(zip(parts, shares(threshold, parts))):
+        word = (fps >> np.uint64(first) & np.uint64((1 << CODES[code][0]) - 1)).astype(np.int64)
+        ways = ways_to_anchors(code, share)[syndrome(word, code)]
+        rows, at = np.nonzero(ways >= 0)
+        yield part, rows, word[rows] ^ ways[rows, at], at == 0
+
+
+def _place(threshold: int, parts: Sequence):
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for lo in range(0, len(fps), 50_000):
-                own = fps[lo:lo + 50_000]
-                for part, rows, anchor, home in anchors_of(own, threshold):
-                    yield pd.DataFrame({
-                        "cell": anchor << 2 | part, "fp": own[rows].view(np.int64), "home": home,
-                    })
+            for lo in range(0, len(batch), 5_000):
+                own = batch.iloc[lo:lo + 5_000]
+                nodes, all_fps = own["node"].to_numpy(), np.array(own["fps"].tolist(), np.int64).reshape(len(own), -1)
+                for of in range(all_fps.shape[1]):
+                    for part, rows, anchor, home in anchors_of(all_fps[:, of].view(np.uint64), threshold, parts):
+                        yield pd.DataFrame({
+                            "cell": (anchor << 3 | part) << 3 | of, "node": nodes[rows], "home": home,
+                            **{f"f{k}": all_fps[rows, k] for k in range(all_fps.shape[1])},
+                        })
 
     return place
 
@@ -196,69 +196,131 @@ def star_edges(links: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.nda
     return root
 
 
-def _compare(threshold: int):
+def _linked(of: int, fps: np.ndarray, home: np.ndarray, half: np.ndarray, threshold: int, most: float):
+    """Links between the members at home and all members of one block, in chunks."""
+    own = np.ascontiguousarray(fps[:, of])
+    across = half.min() != half.max()
+    homes = np.flatnonzero(home)
+    for lo in range(0, len(homes), max(1, COMPARE_AT_ONCE // len(own))):
+        rows = homes[lo:lo + max(1, COMPARE_AT_ONCE // len(own))]
+        close = np.bitwise_count(own[rows, None] ^ own[None, :]) <= threshold
+        if across:
+            close &= half[rows, None] != half[None, :]
+        a, b = np.nonzero(close)
+        a = rows[a]
+        keep = a != b
+        if fps.shape[1] > 1:
+            keep &= np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= most
+        yield a[keep], b[keep]
+
+
+def _compare(threshold: int, count: int, most: float):
     def compare(members: pd.DataFrame) -> pd.DataFrame:
-        """Links of one block as a star per local component; pairs never leave the task."""
-        fps = members["fp"].to_numpy(np.int64).view(np.uint64)
-        half, home = members["half"].to_numpy(), members["home"].to_numpy(bool)
-        across = half.min() != half.max()
-
-        def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for i in np.flatnonzero(home):
-                close = np.bitwise_count(fps ^ fps[i]) <= threshold
-                if across:
-                    close &= half != half[i]
-                near = np.flatnonzero(close)
-                near = near[near != i]
-                if len(near):
-                    yield np.full(len(near), i), near
-
-        root = star_edges(links(), len(fps))
-        off = np.flatnonzero(root != np.arange(len(fps)))
-        signed = fps.view(np.int64)
-        return pd.DataFrame({"source": signed[off], "target": signed[root[off]]})
+        """Links of a bundle of blocks as a star per local component; pairs never leave the task."""
+        members = members.sort_values(["cell", "block"], kind="stable")
+        cell, block = members["cell"].to_numpy(), members["block"].to_numpy()
+        nodes, half, home = members["node"].to_numpy(), members["half"].to_numpy(), members["home"].to_numpy(bool)
+        fps = np.stack([members[f"f{k}"].to_numpy(np.int64).view(np.uint64) for k in range(count)], axis=1)
+        cuts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]), [True])))
+        source, target = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi - lo > 1:
+                links = _linked(int(cell[lo] & 7), fps[lo:hi], home[lo:hi], half[lo:hi], threshold, most)
+                root = star_edges(links, hi - lo)
+                off = np.flatnonzero(root != np.arange(hi - lo))
+                source.append(nodes[lo:hi][off])
+                target.append(nodes[lo:hi][root[off]])
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"source": np.concatenate(source or none), "target": np.concatenate(target or none)})
 
     return compare
 
 
-def link_fingerprints(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(fp, group): distinct 64-bit fingerprints and a group id, linked at `threshold` or fewer differing bits.
+def most_bits(similarity: float, bits: int) -> float:
+    """Differing bits of two texts of that Jaccard similarity, plus one standard error of the estimate.
+
+    A bit of two SimHashes differs with the angle between the shingle vectors
+    over pi; the cosine of sets of like size is 2 J / (1 + J).
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits * share + math.sqrt(bits * share * (1 - share))
+
+
+def link_fingerprints(
+    nodes: DataFrame, count: int, threshold: int, parts: Sequence = GOLAY_PARTS, similarity: float | None = None
+) -> DataFrame:
+    """(id, component_id) of nodes (node, fps: `count` fingerprints each).
+
+    Nodes link if, under one of the seeds, their fingerprints differ in at most
+    `threshold` bits; with `similarity`, all their bits together must also
+    speak for a Jaccard similarity of that much.
 
-    Anchors are the words of a covering code in each part of the fingerprint.
+    Anchors are the words of a covering code in each part of a fingerprint.
     A fingerprint goes to every anchor within the code's covering radius plus
     the part's share of the threshold. The nearest anchor of one of two close
     words is then an anchor of both, so comparing the members at home there
     with all its members finds every link. Blocks give back stars of their
     local components, never pairs, and a crowded anchor is cut into blocks.
     """
-    rounds = Rounds(fps.sparkSession, "anchors")
-    fps = rounds.cut(fps.select("fp").distinct())
-    placed = fps.mapInPandas(_place(threshold), "cell long, fp long, home boolean")
-    placed = meet_in_blocks(placed.withColumn("mixed", F.xxhash64("fp")), ["cell"], "mixed", rounds, BLOCK)
-    edges = placed.groupBy("cell", "block").applyInPandas(_compare(threshold), "source long, target long")
-    linked = connected_components(fps.withColumnRenamed("fp", "id"), rounds.cut(edges.distinct()))
-    return linked.select(F.col("id").alias("fp"), F.col("component_id").alias("group"))
+    rounds = Rounds(nodes.sparkSession, "anchors")
+    columns = ", ".join(f"f{k} long" for k in range(count))
+    placed = nodes.mapInPandas(_place(threshold, parts), f"cell long, node long, home boolean, {columns}")
+    placed = meet_in_blocks(placed.withColumn("mixed", F.xxhash64("node")), ["cell"], "mixed", rounds, BLOCK)
+    most = 64 * count if similarity is None else most_bits(similarity, 64 * count)
+    # Small blocks share a task call; a crowded anchor's blocks are spread.
+    bundle = F.when(F.col("parts") > 1, F.xxhash64("cell", "block")).otherwise(F.floor(F.col("cell") / (64 * BUNDLE)))
+    edges = (
+        placed.withColumn("bundle", bundle).drop("mixed", "parts").groupBy("bundle")
+        .applyInPandas(_compare(threshold, count, most), "source long, target long")
+    )
+    return connected_components(nodes.select(F.col("node").alias("id")), rounds.cut(edges.distinct()))
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 4, threshold: int = THRESHOLD, seed: int = SEED
+    docs: DataFrame, words: int = 4, threshold: int = THRESHOLD, seeds: Sequence[int] = (SEED,),
+    parts: Sequence = GOLAY_PARTS, similarity: float | None = None,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of (doc_id, text).
 
-    `component_id` is the smallest doc_id reachable over links, itself included.
-    Null and blank texts have fingerprint zero and link like any other; copies
-    meet by equality of fingerprints and are never compared. Repeated rows each
-    get their row; other columns are ignored; a null doc_id gets the group's id.
+    `component_id` is the smallest doc_id reachable over links, itself included;
+    `fingerprint` is the one of the first seed. Null and blank texts have
+    fingerprint zero and link like any other; copies meet by equality of
+    fingerprints and are never compared. Repeated rows each get their row; other
+    columns are ignored; a null doc_id gets its group's id.
     """
     rounds = Rounds(docs.sparkSession, "simhash")
-    marked = rounds.cut(docs.select("doc_id", fingerprint(F.col("text"), words, seed).alias("fp")))
-    groups = link_fingerprints(marked.select("fp"), threshold)
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp")
-    lowest = first.groupBy("group").agg(F.min("least").alias("component_id"))
-    ids = rounds.cut(first.join(lowest, "group").select("fp", "component_id"))
-    return marked.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    marked = rounds.cut(docs.select("doc_id", fingerprints(F.col("text"), words, seeds).alias("fps")))
+    nodes = rounds.cut(
+        marked.groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    )
+    groups = link_fingerprints(nodes.select("node", "fps"), len(seeds), threshold, parts, similarity)
+    first = nodes.join(groups.withColumnRenamed("id", "node"), "node")
+    lowest = first.groupBy("component_id").agg(F.min("least").alias("lowest"))
+    ids = rounds.cut(first.join(lowest, "component_id").select("fps", F.col("lowest").alias("component_id")))
+    return marked.join(ids, "fps").select(
+        "doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id; columns as they are.
+
+    Groups are linked over four fingerprints of `words`-word shingles: within
+    STAGE_THRESHOLD bits under one seed, and alike by all 256 bits. Rows without
+    doc_id stay, as nothing can name them; of rows with one doc_id one stays.
+    """
+    found = near_duplicates(docs, words, STAGE_THRESHOLD, STAGE_SEEDS, HAMMING_PARTS, similarity)
+    kept = (
+        found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_copies"))
     )
+    named = docs.join(kept, "doc_id")
+    single = named.where(F.col("_copies") == 1).drop("_copies")
+    several = named.where(F.col("_copies") > 1).drop("_copies").dropDuplicates(["doc_id"])
+    return single.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+
+
+STAGE_THRESHOLD = 7
+STAGE_SEEDS = (42, 43, 44, 45)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ def fold_of(key: Column, folds: int) -> Column:
 def meet_in_blocks(members: DataFrame, cell: Sequence[str], spread: str, rounds: Rounds, size: int) -> DataFrame:
     """Copies of the members such that every two members of a cell share a block.
 
-    Adds `block`, the pair of halves that meet there, and `half`, this row's
-    own one. A cell of at most `size` members is one block. A larger one is cut
+    Adds `block`, the pair of halves that meet there, `half`, this row's own
+    one, and `parts`, the number of halves of its cell. A cell of at most `size` members is one block. A larger one is cut
     by `spread` (a column of well mixed integers) into parts of about `size`
     that meet two by two, so no task ever holds more than two parts, whatever
     share of all rows one cell has. Only cells beyond `size` enter the join.
@@ -36,12 +36,12 @@ def meet_in_blocks(members: DataFrame, cell: Sequence[str], spread: str, rounds:
     )
     hot, seen = rounds.measure(hot, rows=F.count("*"))
     if not seen["rows"]:
-        return members.withColumns({"half": F.lit(0), "block": F.lit(0).cast("long")})
+        return members.withColumns({"half": F.lit(0), "block": F.lit(0).cast("long"), "parts": F.lit(1)})
     dealt = (
         members.join(hot, list(cell), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("half", F.pmod(F.col(spread), F.col("parts")).cast("int"))
     )
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         *members.columns, "half",
-        (F.least("half", "other").cast("long") * F.col("parts") + F.greatest("half", "other")).alias("block"),
+        (F.least("half", "other").cast("long") * F.col("parts") + F.greatest("half", "other")).alias("block"), "parts",
     )

@@ -144,7 +144,7 @@ def near_vectors(
         .withColumn("mixed", F.xxhash64("node"))
     )
     dealt = meet_in_blocks(rounds.cut(listed), ["label", "dim", "pivot"], "mixed", rounds, BLOCK)
-    found = rounds.cut(dealt.groupBy("label", "dim", "pivot", "block").applyInPandas(
+    found = rounds.cut(dealt.drop("parts", "mixed").groupBy("label", "dim", "pivot", "block").applyInPandas(
         _compare(pivots, min_shared, min_cosine), "node long, root long, links long"
     ))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
