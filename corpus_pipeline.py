@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     letters takes a phrase a letter. Learns from two thirds of the documents.
     """
     parser = cross_parse.fit(docs.where(F.coalesce(fold_of(F.col("doc_id"), 3) != 1, F.lit(False))))
-    judged = cross_parse.identify(docs, parser)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("phrase_length") >= MIN_PHRASE)).select(docs.columns)
+    known = (F.col("lang_pred") != "und") & (F.col("phrase_length") >= MIN_PHRASE)
+    return cross_parse.judged(docs, parser).where(known).select("row.*")
 
 
 def spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     leaks = string_tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaks, "doc_id", "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

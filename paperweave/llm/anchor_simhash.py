@@ -310,13 +310,11 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     doc_id stay, as nothing can name them; of rows with one doc_id one stays.
     """
     found = near_duplicates(docs, words, STAGE_THRESHOLD, STAGE_SEEDS, HAMMING_PARTS, similarity)
-    kept = (
-        found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    )
-    named = docs.join(kept, "doc_id")
-    single = named.where(F.col("_copies") == 1).drop("_copies")
-    several = named.where(F.col("_copies") > 1).drop("_copies").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    named = docs.select("doc_id", F.struct("*").alias("row")).join(kept, "doc_id")
+    single = named.where(F.col("copies") == 1).select("row.*")
+    several = named.where(F.col("copies") > 1).groupBy("doc_id").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionAll(several).unionAll(docs.where(F.col("doc_id").isNull()))
 
 
 STAGE_THRESHOLD = 7

@@ -173,8 +173,8 @@ def fit(docs: DataFrame) -> Parser:
     return Parser(edges.toPandas())
 
 
-def identify(docs: DataFrame, parser: Parser) -> DataFrame:
-    """Adds lang_pred, score and phrase_length from the whole text of each row.
+def judged(docs: DataFrame, parser: Parser) -> DataFrame:
+    """(row, lang_pred, score, phrase_length): each row as it came, judged by its whole text.
 
     The language whose automaton needs the fewest phrases wins, the first by
     name on a tie. `score` is the share of phrases it saves against the runner
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     @F.pandas_udf("lang_pred string, score double, phrase_length double")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch]
             out, start, held = [], 0, 0
@@ -196,9 +196,13 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
             out.append(shared.value.judge(texts[start:]))
             yield pd.concat(out, ignore_index=True)
 
-    return docs.withColumn("_said", judged("text")).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "phrase_length")], "_said.*"
-    )
+    return docs.select(F.struct("*").alias("row"), judge("text").alias("said")).select("row", "said.*")
+
+
+def identify(docs: DataFrame, parser: Parser) -> DataFrame:
+    """The columns of `docs` (but any of these names), then lang_pred, score, phrase_length of `judged`."""
+    said = ("lang_pred", "score", "phrase_length")
+    return judged(docs, parser).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in said], *said)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,11 +75,11 @@ def token_blocks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for kind, rows in batch.groupby("kind", sort=True):
                 ids, sizes, words, stream = [], [], {None: 0}, []
-                for doc_id, text in zip(rows["doc_id"].tolist(), rows["text"]):
+                for doc_id, no_id, text in zip(rows["doc_id"].tolist(), rows["no_id"].tolist(), rows["text"]):
                     tokens = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
                     stream += [words.setdefault(w, len(words)) for w in tokens]
                     stream.append(0)
-                    ids.append(None if doc_id != doc_id else int(doc_id))
+                    ids.append(None if no_id else doc_id)
                     sizes.append(len(tokens) + 1)
                     if len(stream) >= BLOCK_TOKENS:
                         yield pd.DataFrame([_block(ids, sizes, words, stream, int(kind))])
@@ -87,7 +87,10 @@ def token_blocks(docs: DataFrame) -> DataFrame:
                 if ids:
                     yield pd.DataFrame([_block(ids, sizes, words, stream, int(kind))])
 
-    return docs.select("doc_id", "text", "kind").mapInPandas(cut, BLOCKS)
+    # Ids reach pandas without nulls, which would turn them into floats.
+    known = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"),
+                        F.col("doc_id").isNull().alias("no_id"), "text", "kind")
+    return known.mapInPandas(cut, BLOCKS)
 
 
 class Block:

@@ -45,18 +45,8 @@ def widespread_lines(lines: DataFrame, min_sites: int = MIN_SITES, band: float =
     return sure.unionByName(near.join(exact, "key", "left_semi")).select("key", "first_doc")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """Documents without the lines that stand on at least `min_sites` sites; adds n_lines, n_removed.
-
-    A line is text between line feeds; lines are equal when equal without outer
-    blanks. A widespread line stays in the document with the smallest doc_id
-    that has it (each time it occurs there) and goes from all others, so no
-    text leaves the collection altogether. Blank lines stay.
-
-    The site of a null source is a site of its own. Null text stays null with 0
-    lines. Rows without doc_id count as evidence and stay as they are. Repeated
-    rows of one doc_id are treated alike. Extra columns pass through.
-    """
+def _cleaned(docs: DataFrame, min_sites: int, site: str) -> DataFrame:
+    """(row, text, n_lines, n_removed): each row as it came, and its text without widespread lines."""
     rounds = Rounds(docs.sparkSession, "lines")
     lines = rounds.cut(
         docs.select(
@@ -67,29 +57,50 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     wide = rounds.cut(widespread_lines(lines, min_sites))
     gone = (
         lines.join(wide, "key").where(F.col("doc_id") != F.col("first_doc"))
-        .groupBy("doc_id").agg(F.collect_set("key").alias("_gone"))
+        .groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     )
     parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(
-        F.filter(parts, lambda line: _is_blank(line) | ~F.array_contains(F.col("_gone"), _key(line))), "\n"
-    ))
-    n = lambda text: F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long")
+    kept = F.filter(parts, lambda line: _is_blank(line) | ~F.array_contains(F.col("gone"), _key(line)))
+    line_feeds = F.length("text") - F.length(F.translate("text", "\n", ""))
     return (
-        docs.join(gone, "doc_id", "left").withColumn("_kept", kept)
-        .withColumn("n_lines", n(F.col("text")))
-        .withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(
-            F.size(parts) - F.size(F.filter(parts, lambda line: _is_blank(line) | ~F.array_contains(F.col("_gone"), _key(line))))
-        ).cast("long"))
-        .withColumn("text", F.col("_kept")).drop("_gone", "_kept")
+        docs.select("doc_id", "text", F.struct("*").alias("row")).join(gone, "doc_id", "left")
+        .withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+        .select(
+            "row", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+            F.coalesce(line_feeds + 1, F.lit(0)).cast("long").alias("n_lines"),
+            F.coalesce(line_feeds + 1 - F.size("kept"), F.lit(0)).cast("long").alias("lost"), "kept",
+        )
+        .select("row", "text", "n_lines", F.when(F.col("kept").isNull(), 0).otherwise(F.col("lost")).cast("long").alias("n_removed"))
     )
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """The documents, same columns, without widespread lines; n_chars follows the text."""
-    out = remove_boilerplate(docs)
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+    """Documents without the lines that stand on at least `min_sites` sites; adds n_lines, n_removed.
+
+    A line is text between line feeds; lines are equal when equal without outer
+    blanks. A widespread line stays in the document with the smallest doc_id
+    that has it (each time it occurs there) and goes from all others, so no
+    text leaves the collection altogether. Blank lines stay.
+
+    The site of a null source is a site of its own. Null text stays null with 0
+    lines. Rows without doc_id count as evidence and stay as they are. Repeated
+    rows of one doc_id are treated alike. Extra columns pass through, but for
+    any that are named n_lines or n_removed.
+    """
+    out = _cleaned(docs, min_sites, site)
+    keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "text", "n_lines", "n_removed")
+
+
+def clean(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+    """The documents, all columns as they were, without widespread lines; n_chars follows a changed text."""
+    out = _cleaned(docs, min_sites, site)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]).cast(
+            docs.schema["n_chars"].dataType
+        )
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from paperweave.session import Rounds
 PIVOTS = 1024
 NEAREST = 10
 MIN_SHARED = 2
+SAMPLE = 4096
+MAX_PIVOT_COSINE = 0.7
 MIN_COSINE = 0.93
 BLOCK = 8_192
 ROWS_AT_ONCE = 512
@@ -28,15 +30,29 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Unit reference points per dimension: the `pivots` distinct vectors with the lowest hashes."""
+    """Unit reference points per dimension, spread out, from a bounded sample.
+
+    The sample are the SAMPLE distinct vectors with the lowest hashes. A vector
+    becomes a reference point if it is no closer than MAX_PIVOT_COSINE to an
+    earlier one, so a crowd of near copies has one, and agrees on its others.
+    """
     order = Window.partitionBy("dim").orderBy("a", "b")
     rows = (
         vectors.select("dim", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
     )
     found = vectors.join(F.broadcast(rows.select(F.struct("a", "b").alias("key"))), "key", "left_semi")
     sample = found.select("dim", "key.a", "key.b", "embedding").toPandas()
-    return {int(d): _unit(g.sort_values(["a", "b"])["embedding"]) for d, g in sample.groupby("dim")}
+    out = {}
+    for dim, group in sample.groupby("dim"):
+        points = _unit(group.sort_values(["a", "b"])["embedding"])
+        free, taken = np.ones(len(points), bool), []
+        for i in range(len(points)):
+            if free[i] and len(taken) < pivots:
+                taken.append(i)
+                free &= points @ points[i] < MAX_PIVOT_COSINE
+        out[int(dim)] = points[taken]
+    return out
 
 
 def describe(vectors: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
@@ -62,7 +78,7 @@ def describe(vectors: DataFrame, pivots: dict[int, np.ndarray], nearest: int = N
     return vectors.withColumn("near", near("embedding"))
 
 
-def _compare(pivots: int, min_shared: int, min_cosine: float):
+def _compare(min_shared: int, min_cosine: float):
     def compare(members: pd.DataFrame) -> pd.DataFrame:
         """Link counts and a star per local component of one pivot's list, or of two parts of it."""
         pivot = int(members["pivot"].iloc[0])
@@ -83,7 +99,7 @@ def _compare(pivots: int, min_shared: int, min_cosine: float):
                 # A pair counts in the list of its first shared pivot only.
                 first = before[rows] @ before.T == 0
                 shared = after[rows] @ after.T
-                candidate = first & (shared >= min_shared)
+                candidate = first & (shared >= min(min_shared, lists.shape[1]))
                 if across:
                     candidate &= half[rows, None] != half[None, :]
                 a, b = np.nonzero(candidate & (vectors[rows] @ vectors.T >= min_cosine))
@@ -108,8 +124,8 @@ def near_vectors(
     """(vec_id, n_links, component_id, kept) per row of (vec_id, label, embedding).
 
     Vectors of one label link at a cosine of `min_cosine` or more in double
-    precision, if they share `min_shared` of their `nearest` reference points
-    (equal vectors always link). Retrieval goes through one list per label and
+    precision, if they share `min_shared` of their `nearest` reference points, or
+    all where there are fewer (equal vectors always link). Retrieval goes through one list per label and
     reference point; a pair is verified and counted in the list of its first
     shared point only, so counts need no list of pairs. Equal vectors are one
     entry with its number of copies. Long lists are cut into blocks.
@@ -145,7 +161,7 @@ def near_vectors(
     )
     dealt = meet_in_blocks(rounds.cut(listed), ["label", "dim", "pivot"], "mixed", rounds, BLOCK)
     found = rounds.cut(dealt.drop("parts", "mixed").groupBy("label", "dim", "pivot", "block").applyInPandas(
-        _compare(pivots, min_shared, min_cosine), "node long, root long, links long"
+        _compare(min_shared, min_cosine), "node long, root long, links long"
     ))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("node").alias("source"), F.col("root").alias("target"))

@@ -23,7 +23,7 @@ CHUNK_PIECES = 20_000
 FULL = 0.995
 WORD_CACHE = 400_000
 BINS_PER_CHUNK = 1 << 24
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
@@ -65,7 +65,7 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut at CAPACITY.
+    """(doc_id, no_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut at CAPACITY.
 
     Null text is empty and gives END_ID alone; nothing else is added or lost.
     """
@@ -76,14 +76,17 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             rows = []
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for doc_id, ids in zip(batch["doc_id"], encoder.encode(texts)):
+            for doc_id, no_id, ids in zip(batch["doc_id"], batch["no_id"], encoder.encode(texts)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), CAPACITY * 4)):
                     part = ids[at:at + CAPACITY * 4]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, no_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    # Ids reach pandas without nulls, which would turn them into floats.
+    known = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"),
+                        F.col("doc_id").isNull().alias("no_id"), "text")
+    return known.mapInPandas(cut, PIECES)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -191,7 +194,7 @@ def _pack_chunk(capacity: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_chunk: int = CHUNK_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32) of 1 to `capacity` tokens.
+    """Adds sequence_id and offset to pieces (PIECES) of 1 to `capacity` tokens; `no_id` becomes a null doc_id.
 
     Full pieces are sequences of their own. The others are dealt by hash into
     chunks of about `per_chunk`, packed by best fit and local search. Sequences
@@ -212,7 +215,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_chunk: int = CHUNK_PIE
     loose = packed.where(F.col("fill") < FULL * capacity).select(pieces.columns)
     loose_n = loose.count()
     again = one_round(loose, loose_n, -(-seen["n"] // per_chunk) + 1)
-    return packed.where(F.col("fill") >= FULL * capacity).unionByName(again).drop("fill")
+    return packed.where(F.col("fill") >= FULL * capacity).unionByName(again).select(
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "piece", "start", "length", "ids_crc32",
+        "sequence_id", "offset",
+    )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
