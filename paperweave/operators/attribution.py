@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,11 @@ def alliance_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, name string, country_code string, alias string, spec_order int")
 
 
-def org_lineage(organization: DataFrame, max_depth: int = 100) -> DataFrame:
+def org_lineage(organization: DataFrame) -> DataFrame:
     """(organization_id, ancestor_id, depth): every organization with itself and its ancestors.
 
-    One join per level; a row carries its path, so a cycle ends where it closes.
+    One join per level, until a level is empty; a row carries its path, so a cycle
+    ends where it closes.
     """
     rounds = Rounds(organization.sparkSession, "lineage")
     parents = organization.where(F.col("parent_organization_id").isNotNull()).select(
@@ -42,7 +44,7 @@ def org_lineage(organization: DataFrame, max_depth: int = 100) -> DataFrame:
         F.array("organization_id").alias("path"),
     )
     out = level.drop("path")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         level, seen = rounds.measure(
             level.join(parents, "ancestor_id").join(known, "parent", "left_semi")
             .where(~F.array_contains("path", F.col("parent")))
@@ -51,9 +53,8 @@ def org_lineage(organization: DataFrame, max_depth: int = 100) -> DataFrame:
             rows=F.count("*"),
         )
         if not seen["rows"]:
-            break
+            return out
         out = out.unionByName(level.drop("path"))
-    return out
 
 
 def _dictionary(aliases: DataFrame, min_alias_len: int) -> DataFrame:

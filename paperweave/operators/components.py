@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from paperweave.operators.graph import both_ways, induced_subgraph
 from paperweave.session import Rounds
 
-MAX_ROUNDS = 100
-
 
 def _mark() -> dict:
     """Aggregates that change whenever the set of arcs changes."""
@@ -56,14 +54,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .distinct(), **_mark()
     )
     before = None if mark["n"] else mark
-    for _ in range(MAX_ROUNDS):
-        if mark == before:
-            break
+    while mark != before:
         after, new = rounds.measure(_small_star(_large_star(arcs)), **_mark())
         rounds.drop(arcs)
         arcs, before, mark = after, mark, new
-    else:
-        raise RuntimeError("components did not settle")
     roots = arcs.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))
     return nodes.select("id").join(roots, "id", "left").select(
         "id", F.coalesce("component_id", "id").alias("component_id")

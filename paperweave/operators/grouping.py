@@ -114,12 +114,16 @@ def sorted_sets(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 
 def member_overlap(links: DataFrame, pairs: DataFrame, entity: str, member: str) -> DataFrame:
-    """Add `overlap`: number of distinct members both `left` and `right` are linked to."""
+    """Add `overlap`: number of distinct members both `left` and `right` are linked to.
+
+    Starts from the members of `right`, the copies: many copies of one `left` then
+    cost their own members each, never those of `left` over and over.
+    """
     sets = links.select(entity, member).where(F.col(member).isNotNull()).distinct()
     wanted = pairs.select("left", "right").distinct()
     common = (
-        wanted.join(sets.withColumnRenamed(entity, "left"), "left")
-        .join(sets.withColumnRenamed(entity, "right"), ["right", member])
+        wanted.join(sets.withColumnRenamed(entity, "right"), "right")
+        .join(sets.withColumnRenamed(entity, "left"), ["left", member])
         .groupBy("left", "right")
         .agg(F.count("*").alias("overlap"))
     )

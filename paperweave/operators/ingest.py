@@ -107,19 +107,23 @@ def explode_authors(publications: DataFrame, key: str = "openaire_id") -> DataFr
 # matching and upserts ----------------------------------------------------------------
 
 
-def cascade_match(batch: DataFrame, existing: DataFrame, keys: Sequence[Sequence[str] | str], id_col: str) -> DataFrame:
+def cascade_match(batch: DataFrame, existing: DataFrame, keys: Sequence[Sequence[str] | str], id_col: str,
+                  stored: Mapping[str, str] | None = None) -> DataFrame:
     """Batch rows with `matched_id` and `match_rank` from the first key that finds an existing entity.
 
     Each key (a column, or several) is one left join against the smallest id per
-    key value. A key with a null or empty first column matches nothing.
+    key value. A key with a null or empty first column matches nothing. `stored`
+    names the column of `existing` that a batch column is looked up in, where the
+    names differ.
     """
+    of = lambda c: (stored or {}).get(c, c)
     out, found = batch, []
     for rank, key in enumerate(keys, start=1):
         cols = [key] if isinstance(key, str) else list(key)
         hit = f"_m{rank}"
         owner = (
-            existing.where(F.coalesce(F.col(cols[0]).cast("string"), F.lit("")) != "")
-            .groupBy(*[F.col(c).alias(f"_k{rank}_{c}") for c in cols]).agg(F.min(id_col).alias(hit))
+            existing.where(F.coalesce(F.col(of(cols[0])).cast("string"), F.lit("")) != "")
+            .groupBy(*[F.col(of(c)).alias(f"_k{rank}_{c}") for c in cols]).agg(F.min(id_col).alias(hit))
         )
         on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{rank}_{c}")) for c in cols])
         out = out.join(owner, on, "left").drop(*[f"_k{rank}_{c}" for c in cols])
@@ -128,15 +132,22 @@ def cascade_match(batch: DataFrame, existing: DataFrame, keys: Sequence[Sequence
     return out.withColumns({"matched_id": F.coalesce(*found), "match_rank": rank_of}).drop(*found)
 
 
-def _star_edges(rows: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
-    """(source, target) from the first arrival of every key value to its other rows."""
+def _star_edges(rows: DataFrame, keys: Sequence[Sequence[str]], stored: Mapping[str, str]) -> DataFrame:
+    """(source, target) from the first arrival that stores a key value to the later rows that look it up."""
     parts = []
     for cols in keys:
+        kept = [stored.get(c, c) for c in cols]
         live = rows.where(F.coalesce(F.col(cols[0]).cast("string"), F.lit("")) != "").select("arrival", *cols)
-        head = live.groupBy(*cols).agg(F.min("arrival").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1)
+        head = (
+            rows.where(F.coalesce(F.col(kept[0]).cast("string"), F.lit("")) != "")
+            .groupBy(*[F.col(k).alias(c) for k, c in zip(kept, cols)])
+            .agg(F.min("arrival").alias("head"), F.count("*").alias("n"))
+        )
+        if kept == cols:
+            head = head.where(F.col("n") > 1)
         on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}")) for c in cols])
         parts.append(
-            live.alias("l").join(head.alias("h"), on).where(F.col("arrival") != F.col("head")).select(
+            live.alias("l").join(head.alias("h"), on).where(F.col("arrival") > F.col("head")).select(
                 F.col("head").alias("source"), F.col("arrival").alias("target")
             )
         )
@@ -144,17 +155,18 @@ def _star_edges(rows: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
 
 
 def assign_entities(existing: DataFrame, batch: DataFrame, id_col: str, keys: Sequence[Sequence[str]],
-                    namespace: str) -> DataFrame:
+                    namespace: str, stored: Mapping[str, str] | None = None) -> DataFrame:
     """(arrival, entity id, is_new) for every batch row.
 
     A row belongs to the existing entity its first matching key finds; failing
     that, to the entity of the batch rows it shares a key with, directly or through
     others; failing that, it founds a new entity whose id is a stable hash of the
-    founding row's first key value.
+    founding row's first key value. `stored` is as in `cascade_match`.
     """
-    rows = batch.select("arrival", *dict.fromkeys(c for key in keys for c in key))
-    matched = cascade_match(rows, existing, keys, id_col)
-    groups = connected_components(rows.select(F.col("arrival").alias("id")), _star_edges(rows, keys)).select(
+    stored = stored or {}
+    rows = batch.select("arrival", *dict.fromkeys([*(c for key in keys for c in key), *stored.values()]))
+    matched = cascade_match(rows, existing, keys, id_col, stored)
+    groups = connected_components(rows.select(F.col("arrival").alias("id")), _star_edges(rows, keys, stored)).select(
         F.col("id").alias("arrival"), F.col("component_id").alias("root")
     )
     tagged = matched.join(groups, "arrival")
@@ -213,7 +225,8 @@ def upsert(existing: DataFrame, batch: DataFrame, assigned: DataFrame, id_col: s
 
 
 PUBLICATION_KEYS = (("openaire_id",), ("doi",), ("normalized_title", "publication_year"))
-ORGANIZATION_KEYS = (("openaire_id",), ("ror_id",), ("normalized_name",))
+ORGANIZATION_KEYS = (("openaire_id",), ("ror_id",), ("match_name",))
+ORGANIZATION_STORED = {"match_name": "normalized_name"}
 RESEARCHER_KEYS = (("orcid",), ("normalized_name",))
 PUBLICATION_OVERWRITE = ("title", "normalized_title", "publication_date", "publication_year", "open_access",
                          "canonical_source_record_id")
@@ -228,8 +241,14 @@ def upsert_publications(existing: DataFrame, batch: DataFrame) -> tuple[DataFram
 
 
 def upsert_organizations(existing: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(organization table, arrival -> organization_id)."""
-    assigned = assign_entities(existing, batch, "organization_id", ORGANIZATION_KEYS, "organization")
+    """(organization table, arrival -> organization_id).
+
+    A row's `match_name`, the legal name first, is looked up among the stored keys
+    of the shown names; without one, its own key is.
+    """
+    if "match_name" not in batch.columns:
+        batch = batch.withColumn("match_name", F.col("normalized_name"))
+    assigned = assign_entities(existing, batch, "organization_id", ORGANIZATION_KEYS, "organization", ORGANIZATION_STORED)
     return upsert(existing, batch, assigned, "organization_id", unique=("ror_id", "openaire_id")), assigned
 
 
@@ -389,7 +408,8 @@ def link_embedded_orgs(embedded: DataFrame, organization: DataFrame) -> tuple[Da
         "publication_id",
         F.col("org_id").alias("openaire_id"),
         clip_text(F.coalesce("acronym", "legal_name", "org_id"), 255).alias("name"),
-        clip_text(normalize_text(F.coalesce("legal_name", "acronym", "org_id")), 255).alias("normalized_name"),
+        clip_text(normalize_text(F.coalesce("acronym", "legal_name", "org_id")), 255).alias("normalized_name"),
+        clip_text(normalize_text(F.coalesce("legal_name", "acronym", "org_id")), 255).alias("match_name"),
         px.extract_pid(F.col("pids"), "ror").alias("ror_id"),
         F.concat_ws("#", F.col("publication_id").cast("string"), F.col("dedupe_key")).alias("arrival"),
     )

@@ -12,9 +12,6 @@ from paperweave.functions import fixed_values as fv
 from paperweave.functions.payload import is_valid_doi, is_valid_orcid, is_valid_ror
 from paperweave.functions.text import token_count
 
-MAX_FINDINGS = 500
-
-
 def unique_violations(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
     """(constraint, key, row_count) of every key group with more than one row.
 
@@ -128,8 +125,8 @@ def organization_anomalies(df: DataFrame, id_col: str = "organization_id") -> Da
 
 def list_findings(df: DataFrame, limit: int = 100, **filters) -> DataFrame:
     """Findings filtered by any column, newest first."""
-    if not 1 <= limit <= MAX_FINDINGS:
-        raise ValueError(f"limit must lie in 1..{MAX_FINDINGS}")
+    if limit < 1:
+        raise ValueError("limit must be positive")
     for name, value in filters.items():
         df = df.where(F.col(name) == F.lit(value))
     return df.orderBy(F.desc("created_at"), "entity_id").limit(limit)

@@ -3,8 +3,9 @@
 Candidates of a group are compared with its oldest member only, never with each
 other, so a group of n copies yields n - 1 rows. The target of a group is one
 partial aggregate joined back to the rows; the hot side of that join is the row
-side, which adaptive execution splits. All candidates are tested against the
-original target in one pass and chains of merges are resolved afterwards.
+side, which adaptive execution splits. All candidates are tested in one pass,
+against the target as the older copies would have grown it, and chains of merges
+are resolved afterwards.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from paperweave.functions import fixed_values as fv
 from paperweave.functions.text import clean_text, normalize_text
 from paperweave.operators.components import connected_components
 from paperweave.operators.grouping import member_overlap, top_k_per_key
+from paperweave.session import Rounds
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def normalize_table(df: DataFrame, spec: NormalizeSpec) -> DataFrame:
 
 def star_candidates(df: DataFrame, keys: Sequence[str], id_col: str, created: str,
                     compare: Sequence[str] = ()) -> DataFrame:
-    """(keys..., entity_id, candidate_entity_id, t_<c>, c_<c>...): each copy against its group's oldest row.
+    """(keys..., entity_id, candidate_entity_id, candidate_created, t_<c>, c_<c>...): each copy against its group's oldest row.
 
     Null-safe on every key but the first, which must be non-empty.
     """
@@ -75,6 +77,7 @@ def star_candidates(df: DataFrame, keys: Sequence[str], id_col: str, created: st
             *[F.col(f"r.{k}").alias(k) for k in keys],
             F.col("g.t.entity_id").alias("entity_id"),
             F.col(f"r.{id_col}").alias("candidate_entity_id"),
+            F.col(f"r.{created}").alias("candidate_created"),
             *[F.col(f"g.t.t_{c}").alias(f"t_{c}") for c in compare],
             *[F.col(f"r.{c}").alias(f"c_{c}") for c in compare],
         )
@@ -84,32 +87,42 @@ def star_candidates(df: DataFrame, keys: Sequence[str], id_col: str, created: st
 PAIR = ["entity_id", "candidate_entity_id"]
 
 
-def unsafe_publications(candidates: DataFrame, authorship: DataFrame) -> DataFrame:
-    """Candidate pairs in which one author position is held by different researchers."""
-    links = authorship.select("publication_id", "author_position", "researcher_id").distinct()
-    theirs = links.select(F.col("publication_id").alias("candidate_entity_id"), "author_position",
-                          F.col("researcher_id").alias("c_researcher"))
-    ours = links.withColumnRenamed("publication_id", "entity_id")
+def _clashes(candidates: DataFrame, links: DataFrame, entity: str, place: str, value: str) -> DataFrame:
+    """Candidate pairs that would put a second value in one place of the grown target.
+
+    The target claims its places first, then the copies by age. A copy that holds
+    another value than the oldest claimant of a place, or several, must not be
+    merged; so whatever is merged leaves one value per place.
+    """
+    links = links.select(F.col(entity).alias("claimant"), place, value)
+    age = F.col("candidate_created") if "candidate_created" in candidates.columns else F.lit(0)
+    copies = candidates.select("entity_id", F.col("candidate_entity_id").alias("claimant"),
+                               F.struct(F.lit(1).alias("later"), age.alias("created"), F.col("candidate_entity_id").alias("id")).alias("age"))
+    targets = candidates.select("entity_id").distinct().select(
+        "entity_id", F.col("entity_id").alias("claimant"),
+        F.struct(F.lit(0).alias("later"), F.lit(None).cast(copies.schema["age"].dataType["created"].dataType).alias("created"),
+                 F.col("entity_id").alias("id")).alias("age"))
+    claims = (
+        copies.unionByName(targets).join(links, "claimant")
+        .groupBy("entity_id", place, "claimant", "age").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    )
+    oldest = claims.groupBy("entity_id", place).agg(F.min_by(F.struct("claimant", "lo", "hi"), "age").alias("o"))
+    agree = (F.col("lo") == F.col("hi")) & (F.col("o.lo") == F.col("o.hi")) & (F.col("lo") == F.col("o.lo"))
     return (
-        candidates.select(*PAIR).distinct().join(theirs, "candidate_entity_id")
-        .join(ours, ["entity_id", "author_position"])
-        .where(F.col("researcher_id") != F.col("c_researcher"))
-        .select(*PAIR).distinct()
+        claims.where(F.col("age.later") == 1).join(oldest, ["entity_id", place])
+        .where((F.col("claimant") != F.col("o.claimant")) & ~agree)
+        .select("entity_id", F.col("claimant").alias("candidate_entity_id")).distinct()
     )
 
 
+def unsafe_publications(candidates: DataFrame, authorship: DataFrame) -> DataFrame:
+    """Candidate pairs in which an author position is held by another researcher than in the target or an older copy."""
+    return _clashes(candidates, authorship, "publication_id", "author_position", "researcher_id")
+
+
 def unsafe_researchers(candidates: DataFrame, authorship: DataFrame) -> DataFrame:
-    """Candidate pairs that share a publication at different positions."""
-    links = authorship.select("publication_id", "author_position", "researcher_id").distinct()
-    theirs = links.select("publication_id", F.col("author_position").alias("c_position"),
-                          F.col("researcher_id").alias("candidate_entity_id"))
-    ours = links.withColumnRenamed("researcher_id", "entity_id")
-    return (
-        candidates.select(*PAIR).distinct().join(theirs, "candidate_entity_id")
-        .join(ours, ["entity_id", "publication_id"])
-        .where(F.col("author_position") != F.col("c_position"))
-        .select(*PAIR).distinct()
-    )
+    """Candidate pairs that hold a publication at another position than the target or an older copy."""
+    return _clashes(candidates, authorship, "researcher_id", "publication_id", "author_position")
 
 
 def with_safety(candidates: DataFrame, unsafe: DataFrame | None) -> DataFrame:
@@ -144,7 +157,8 @@ def publication_candidates(publication: DataFrame, authorship: DataFrame, author
     """
     venue = normalize_text(F.coalesce(F.nullif(F.col("journal_name"), F.lit("")), F.col("venue_name")))
     rows = publication.withColumn("_venue", venue)
-    pairs = star_candidates(rows, ["normalized_title", "publication_year"], "publication_id", created, ["_venue"])
+    rounds = Rounds(publication.sparkSession, "candidates")
+    pairs = rounds.cut(star_candidates(rows, ["normalized_title", "publication_year"], "publication_id", created, ["_venue"]))
     named = member_overlap(
         author_names, pairs.withColumnsRenamed({"entity_id": "left", "candidate_entity_id": "right"}),
         "publication_id", "normalized_name",
@@ -164,7 +178,10 @@ def researcher_candidates(researcher: DataFrame, authorship: DataFrame, created:
     Strong when the primary organization agrees or a publication is shared;
     merged only when the organization agrees and the pair is merge-safe.
     """
-    pairs = star_candidates(researcher, ["normalized_name"], "researcher_id", created, ["primary_organization_id"])
+    rounds = Rounds(researcher.sparkSession, "candidates")
+    pairs = rounds.cut(
+        star_candidates(researcher, ["normalized_name"], "researcher_id", created, ["primary_organization_id"])
+    )
     shared = member_overlap(
         authorship, pairs.withColumnsRenamed({"entity_id": "left", "candidate_entity_id": "right"}),
         "researcher_id", "publication_id",
@@ -197,15 +214,21 @@ def organization_candidates(organization: DataFrame, created: str = "created_at"
     )
 
 
-def duplicate_clusters(candidates: DataFrame) -> DataFrame:
-    """(loser, survivor): merge chains resolved to the smallest id of their cluster."""
+def duplicate_clusters(candidates: DataFrame, entities: DataFrame, id_col: str, created: str = "created_at") -> DataFrame:
+    """(loser, survivor): merge chains resolved to the oldest row of their cluster.
+
+    Pairs that are not `mergeable`, where the candidates say so, join nothing.
+    """
+    if "mergeable" in candidates.columns:
+        candidates = candidates.where("mergeable")
     edges = candidates.select(
         F.least(*PAIR).alias("source"), F.greatest(*PAIR).alias("target")
     ).distinct()
     nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    parts = connected_components(nodes, edges)
-    return parts.where(F.col("id") != F.col("component_id")).select(
-        F.col("id").alias("loser"), F.col("component_id").alias("survivor")
+    parts = connected_components(nodes, edges).join(entities.select(F.col(id_col).alias("id"), F.col(created).alias("created")), "id")
+    oldest = parts.groupBy("component_id").agg(F.min_by("id", F.struct("created", "id")).alias("survivor"))
+    return parts.join(oldest, "component_id").where(F.col("id") != F.col("survivor")).select(
+        F.col("id").alias("loser"), "survivor"
     )
 
 

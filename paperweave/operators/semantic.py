@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweave.functions.payload import publication_year
 from paperweave.functions.text import nonblank, normalize_text, publication_label
 from paperweave.operators.grouping import sorted_sets, top_k_per_key
+from paperweave.session import Rounds
 
 BLOCK_ROWS = 4_096
 SCORE_DIGITS = 9
 LSH_TABLES = 8
-LSH_BITS = 48
+LSH_BITS = 32
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Unit-length float64 rows of a list<float> column."""
+    """Unit-length float64 rows of a list<float> column without nulls."""
     flat = column.combine_chunks()
     flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
+    lengths = pa.compute.list_value_length(flat)
+    if flat.null_count or flat.flatten().null_count or pa.compute.count_distinct(lengths).as_py() > 1:
+        raise ValueError("vectors must have one length and no nulls")
     rows = np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms == 0, 1, norms)
@@ -87,60 +92,89 @@ def _exact_hits(vectors: DataFrame, m: int, threshold: float, block_rows: int) -
     return cells.groupBy("lo", "hi").applyInArrow(kernel, schema)
 
 
-def _lsh_hits(vectors: DataFrame, m: int, threshold: float, block_rows: int, tables: int, seed: int) -> DataFrame:
+def _plane(table: int, bit: int, dims: int) -> list[int]:
+    """+1 or -1 per dimension, from an md5 that any engine can restate."""
+    return [1 if hashlib.md5(f"{table}:{bit}:{d}".encode()).hexdigest()[0] >= "8" else -1 for d in range(dims)]
+
+
+def _global_rank(df: DataFrame, by: str, order: list[str], rounds: Rounds) -> DataFrame:
+    """Add `rank`: place from 0 of each row among the rows of its `by`, in `order`, over all partitions.
+
+    The rows are sorted in ranges over all tasks; a task's rows are numbered where
+    they lie, and the ranges' sizes, a row per task and key, make the numbers global.
+    """
+    lies = F.monotonically_increasing_id()
+    sorted_rows = rounds.cut(
+        df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("lies", lies)
+        .withColumns({"part": F.shiftright("lies", 33), "lies": F.col("lies").bitwiseAND((1 << 33) - 1)})
+    )
+    sizes = sorted_rows.groupBy(by, "part").agg(F.count("*").alias("n"), F.min("lies").alias("first"))
+    before = F.sum("n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(by, "part", "first", F.coalesce(before, F.lit(0)).alias("start"))
+    return sorted_rows.join(starts, [by, "part"]).withColumn(
+        "rank", F.col("start") + F.col("lies") - F.col("first")
+    ).drop("part", "lies", "first", "start")
+
+
+def _lsh_hits(vectors: DataFrame, m: int, threshold: float, block_rows: int, tables: int) -> DataFrame:
     """Best m targets of each vector among its neighbours in several hash orders.
 
-    Each table signs the vectors with random hyperplanes and sorts them by the
-    signature over all partitions; a vector is compared with the rows of its
-    sorted chunk. A crowded signature just fills several chunks, so the work is
-    linear in the rows whatever their distribution.
+    Each table signs the vectors with hyperplanes and ranks them by the signature
+    over all partitions; a vector meets all rows less than `block_rows` ranks away,
+    in windows that overlap their successors. Work is linear in the rows whatever
+    their distribution, and the result does not depend on how they are partitioned.
     """
     kind = vectors.schema["id"].dataType
     arrow = pa.int64() if isinstance(kind, T.LongType) else pa.string()
     id_type = kind.simpleString()
+    rounds = Rounds(vectors.sparkSession, "lsh")
 
     def sign(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = _matrix(pa.chunked_array([batch.column("embedding")]))
             for t in range(tables):
-                planes = np.random.default_rng(seed + t).normal(size=(rows.shape[1], LSH_BITS))
+                planes = np.array([_plane(t, bit, rows.shape[1]) for bit in range(LSH_BITS)], dtype=np.float64).T
                 signature = ((rows @ planes) > 0) @ (1 << np.arange(LSH_BITS, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(signature.astype(np.int64)),
-                     batch.column("id"), batch.column("embedding")],
-                    names=["t", "signature", "id", "embedding"],
+                    [pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(signature.astype(np.int64)), batch.column("id")],
+                    names=["t", "signature", "id"],
                 )
 
-    def compare(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, block_rows):
-                part = batch.slice(at, block_rows)
-                for t in np.unique(np.asarray(part.column("t"))):
-                    chunk = pa.Table.from_batches([part]).filter(pa.compute.equal(part.column("t"), int(t)))
-                    ids = np.asarray(chunk.column("id").to_numpy(zero_copy_only=False))
-                    rows = _matrix(chunk.column("embedding"))
-                    scores = rows @ rows.T
-                    yield from _hits(ids, ids, scores, *_best(scores, ids, m, threshold), arrow).to_batches()
-
-    signed = vectors.select("id", "embedding").mapInArrow(
-        sign, f"t int, signature bigint, id {id_type}, embedding array<float>"
+    def compare(table):
+        ids = np.asarray(table.column("id").to_numpy(zero_copy_only=False))
+        rows = _matrix(table.column("embedding"))
+        scores = rows @ rows.T
+        return _hits(ids, ids, scores, *_best(scores, ids, m, threshold), arrow)
+
+    signed = vectors.select("id", "embedding").mapInArrow(sign, f"t int, signature bigint, id {id_type}")
+    window = F.floor(F.col("rank") / block_rows)
+    dealt = _global_rank(signed, "t", ["signature", "id"], rounds).select(
+        "t", "id", F.explode(F.array(window, window - 1)).alias("window")
+    ).where(F.col("window") >= 0)
+    # the last window lies within the one before it, unless there is no other
+    last = dealt.groupBy("t").agg(F.max("window").alias("last"))
+    dealt = dealt.join(last, "t").where((F.col("window") < F.col("last")) | (F.col("last") == 0)).drop("last")
+    hits = dealt.join(vectors.select("id", "embedding"), "id").groupBy("t", "window").applyInArrow(
+        compare, f"source {id_type}, target {id_type}, score double"
     )
-    ordered = signed.repartitionByRange("t", "signature", "id").sortWithinPartitions("t", "signature", "id")
-    hits = ordered.mapInArrow(compare, f"source {id_type}, target {id_type}, score double")
     return hits.groupBy("source", "target").agg(F.max("score").alias("score"))
 
 
 def knn(vectors: DataFrame, k: int = 5, threshold: float | None = 0.75, candidate_limit: int | str | None = "auto",
         method: str = "exact", selected: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
-        tables: int = LSH_TABLES, seed: int = 7) -> DataFrame:
+        tables: int = LSH_TABLES) -> DataFrame:
     """(source, target, score, rank): up to k nearest vectors by cosine, at or above the threshold.
 
     The nearest `candidate_limit` points of the whole collection, the vector
     itself included, are taken first ("auto": max(4k, k + 10)); then the vector
     itself and unselected points are dropped and the first k kept, so a narrow
     selection can leave fewer than k. `selected` is a frame of ids. Scores carry
-    nine decimals; equal scores rank by id.
+    nine decimals; equal scores rank by id. Rows without a vector have no
+    neighbours; vectors of different lengths are an error.
     """
+    vectors = vectors.where(F.col("embedding").isNotNull())
     if candidate_limit == "auto":
         candidate_limit = max(4 * k, k + 10)
     limit = candidate_limit if candidate_limit is not None else (k + 1 if selected is None else None)
@@ -151,7 +185,7 @@ def knn(vectors: DataFrame, k: int = 5, threshold: float | None = 0.75, candidat
     if method == "exact":
         hits = _exact_hits(vectors, limit, floor, block_rows)
     elif method == "lsh":
-        hits = _lsh_hits(vectors, limit, floor, block_rows, tables, seed)
+        hits = _lsh_hits(vectors, limit, floor, block_rows, tables)
     else:
         raise ValueError("method must be 'exact' or 'lsh'")
     order = [F.desc("score"), F.asc("target")]

@@ -328,8 +328,7 @@ SHORTEST = ORG_EDGES + """,
 def betweenness(v):
     edges = Rounds(v.spark, "betweenness").cut(org_edges(v))
     nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    pivots = None if centrality.exact_is_affordable(nodes, edges) else 8
-    return centrality.betweenness(nodes, edges, pivots=pivots).withColumn("betweenness", F.round("betweenness", 9))
+    return centrality.betweenness(nodes, edges).withColumn("betweenness", F.round("betweenness", 9))
 
 
 CENTER = 17

@@ -1,5 +1,6 @@
 """Registered entity-resolution and ingest queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperweave.functions import text as tx
@@ -40,10 +41,25 @@ def star_sql(key: str, rows: str, ident: str, created: str) -> str:
       JOIN {rows} c ON c.{key} = t.{key} AND c.{ident} <> t.{ident})"""
 
 
-UNSAFE_PUB = """unsafe AS (SELECT DISTINCT s.entity_id, s.candidate_entity_id FROM stars s
-      JOIN links c ON c.publication_id = s.candidate_entity_id
-      JOIN links t ON t.publication_id = s.entity_id AND t.author_position = c.author_position
-      WHERE t.researcher_id <> c.researcher_id)"""
+def unsafe_sql(entity: str, place: str, value: str, born: str) -> str:
+    """Pairs whose copy disagrees with the oldest claimant of a place; `born` is (id, created)."""
+    return f"""claims AS (SELECT entity_id, claimant, place, min(value) AS lo, max(value) AS hi,
+        any_value(ROW(later, created, claimant)) AS age FROM (
+          SELECT DISTINCT s.entity_id, s.entity_id AS claimant, 0 AS later, {place} AS place, {value} AS value
+            FROM stars s JOIN links l ON l.{entity} = s.entity_id
+          UNION ALL SELECT DISTINCT s.entity_id, s.candidate_entity_id, 1, {place}, {value}
+            FROM stars s JOIN links l ON l.{entity} = s.candidate_entity_id) c
+        JOIN ({born}) b ON b.id = c.claimant GROUP BY 1, 2, 3),
+      oldest AS (SELECT entity_id, place, arg_min(claimant, age) AS claimant, arg_min(lo, age) AS lo, arg_min(hi, age) AS hi
+        FROM claims GROUP BY 1, 2),
+      unsafe AS (SELECT DISTINCT c.entity_id, c.claimant AS candidate_entity_id FROM claims c
+        JOIN oldest o ON o.entity_id = c.entity_id AND o.place = c.place
+        WHERE c.claimant <> c.entity_id AND c.claimant <> o.claimant
+          AND NOT (c.lo = c.hi AND o.lo = o.hi AND c.lo = o.lo))"""
+
+
+UNSAFE_PUB = unsafe_sql("publication_id", "author_position", "researcher_id",
+                        "SELECT publication_id AS id, created_at AS created FROM docs")
 
 
 @query("exact_duplicates", DOCS + " authorship", """
@@ -111,9 +127,8 @@ def publication_duplicates(v):
                   """common AS (SELECT s.entity_id, s.candidate_entity_id, count(DISTINCT a.publication_id) AS shared FROM stars s
          JOIN links a ON a.researcher_id = s.entity_id JOIN links b ON b.researcher_id = s.candidate_entity_id
            AND b.publication_id = a.publication_id GROUP BY 1, 2)""",
-                  """unsafe AS (SELECT DISTINCT s.entity_id, s.candidate_entity_id FROM stars s
-         JOIN links a ON a.researcher_id = s.entity_id JOIN links b ON b.researcher_id = s.candidate_entity_id
-           AND b.publication_id = a.publication_id WHERE a.author_position <> b.author_position)"""]))
+                  unsafe_sql("researcher_id", "publication_id", "author_position",
+                             "SELECT researcher_id AS id, 0 AS created FROM people")]))
 def researcher_duplicates(v):
     return resolve.researcher_candidates(people(v), v.authorship())
 
@@ -144,7 +159,8 @@ def organization_duplicates(v):
 
 
 @query("duplicate_clusters", DOCS, """
-    SELECT publication_id AS loser, root AS survivor FROM reach WHERE publication_id <> root""",
+    SELECT publication_id AS loser, survivor FROM (SELECT publication_id, arg_min(publication_id, ROW(created_at, publication_id))
+        OVER (PARTITION BY root) AS survivor FROM reach JOIN docs USING (publication_id)) WHERE publication_id <> survivor""",
        DOC_CATALOG + """, same AS (SELECT a.publication_id AS l, b.publication_id AS r FROM docs a JOIN docs b
          ON (a.doi = b.doi AND a.doi <> 'bad-doi') OR a.normalized_title = b.normalized_title),
        reach(publication_id, root) USING KEY (publication_id) AS (SELECT publication_id, publication_id FROM docs
@@ -155,7 +171,8 @@ def duplicate_clusters(v):
     by_doi = resolve.star_candidates(docs.where(F.col("doi") != "bad-doi"), ["doi"], "publication_id", "created_at")
     by_title = resolve.star_candidates(docs, ["normalized_title"], "publication_id", "created_at")
     pair = ["entity_id", "candidate_entity_id"]
-    return resolve.duplicate_clusters(by_doi.select(*pair).unionByName(by_title.select(*pair)))
+    return resolve.duplicate_clusters(
+        by_doi.select(*pair).unionByName(by_title.select(*pair)), docs, "publication_id")
 
 
 def merged_tables(v):
@@ -454,13 +471,20 @@ def embedded_org_dedupe(v):
 
 
 @query("explode_pages", "source_record", """
-    SELECT record_id, source_identifier, CAST(floor(record_id / 100) AS BIGINT) AS page_number FROM source_record""")
+    SELECT entity_type, record_id, source_identifier, page_number FROM (
+      SELECT *, CAST(floor((row_number() OVER (PARTITION BY entity_type ORDER BY record_id) - 1) / 100) AS BIGINT) + 1 AS page_number
+      FROM source_record) WHERE page_number < 3 OR entity_type <> 'click'""")
 def explode_pages(v):
-    rows = v.source_record().withColumn("page_number", F.floor(F.col("record_id") / 100))
-    pages = rows.groupBy("page_number").agg(
+    """One fetch per entity type, each with its own short last page; clicks say that 200 were found."""
+    place = F.row_number().over(Window.partitionBy("entity_type").orderBy("record_id"))
+    rows = v.source_record().withColumn("page_number", F.floor((place - 1) / 100) + 1)
+    found = F.when(F.col("entity_type") == "click", 200).cast("bigint")
+    pages = rows.groupBy("entity_type", "page_number").agg(
         F.sort_array(F.collect_list(F.struct("record_id", "source_identifier"))).alias("results"),
-    ).withColumn("header", F.struct(F.lit(100).cast("bigint").alias("pageSize")))
-    return readers.explode_pages(pages).select("record_id", "source_identifier", "page_number")
+    ).withColumn("header", F.struct(
+        F.lit(100).cast("bigint").alias("pageSize"), F.col("page_number").alias("page"), found.alias("numFound")))
+    return readers.explode_pages(pages, fetch=["entity_type"]).select(
+        "entity_type", "record_id", "source_identifier", "page_number")
 
 
 @query("legacy_publications", "document_publication", """

@@ -10,7 +10,7 @@ joins a real size estimate.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from functools import lru_cache
 
@@ -36,19 +36,29 @@ def build_session(master: str = "local[*]", app: str = "paperweave", **extra: st
     return builder.getOrCreate()
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for round tables; a private one only for local test runs."""
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    return _local_root(spark.sparkContext.applicationId)
+def _filesystem(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path as Spark itself would resolve it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 @lru_cache(maxsize=None)
-def _local_root(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"paperweave-rounds-{application}-")
+def _root_of(spark: SparkSession, configured: str, application: str) -> str:
+    """One folder per application, deleted when the application's JVM ends."""
+    fs, where = _filesystem(spark, f"{configured.rstrip('/')}/paperweave-{application}")
+    where = fs.makeQualified(where)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return re.sub("^file:/+", "file:///", where.toString())
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """This application's folder for round tables, below a place that driver and executors share.
+
+    That is `spark.checkpoint.dir`, or the session's warehouse where it is unset.
+    """
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return _root_of(spark, configured, spark.sparkContext.applicationId)
 
 
 class Rounds:
@@ -76,13 +86,13 @@ class Rounds:
             watch = Observation()
             df = df.observe(watch, *[m.alias(name) for name, m in metrics.items()])
         df.write.parquet(path)
-        return self.spark.read.schema(schema).parquet(path), (watch.get if watch else {})
+        out = self.spark.read.schema(schema).parquet(path)
+        out._round_path = path
+        return out, (watch.get if watch else {})
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of an earlier round that no later frame reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if self.base.split("://")[-1] in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        path = getattr(df, "_round_path", "")
+        if path.startswith(self.base):
+            fs, where = _filesystem(self.spark, path)
+            fs.delete(where, True)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tarfile
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperweave.operators.grouping import top_k_per_key
+
 CORRUPT = "_corrupt_record"
 SERVICE_PAGE = 100
 
@@ -113,20 +115,37 @@ def limit_per_input(inputs: Mapping[str, DataFrame], n: int | None) -> dict[str,
     return {name: df if n is None else df.limit(n) for name, df in inputs.items()}
 
 
-def explode_pages(pages: DataFrame, max_results: int | None = None) -> DataFrame:
-    """Items of landed result pages, in page order, with their page and place.
+def explode_pages(pages: DataFrame, max_results: int | None = None, fetch: Sequence[str] = ()) -> DataFrame:
+    """Items of landed result pages, in page order, with their fetch, page and place.
 
-    `pages`: page_number, header, results array<struct>. Reading stops after the
-    first short or empty page, like the paged service itself; `max_results` is the
-    caller's own cap on items.
+    `pages`: page_number, header, results array<struct>, and the `fetch` columns
+    that tell one paged request (an organization, a date range, a run) from
+    another. Within a fetch, reading stops as the paged service itself does: after
+    the first short or empty page, and after the page that reaches the header's
+    numFound, where it has one. `max_results` is the caller's own cap on the
+    items of each fetch.
     """
     items = F.filter("results", lambda r: r.isNotNull())
-    sized = pages.withColumn("size", F.coalesce(F.size(items), F.lit(0)))
+    header = pages.schema["header"].dataType.fieldNames()
+    sized = pages.withColumn("size", F.coalesce(F.size(items), F.lit(0))).withColumn(
+        "_fetch", F.struct(*fetch) if fetch else F.lit(0)
+    )
     wanted = F.coalesce(F.nullif(F.col("header.pageSize"), F.lit(0)), F.lit(SERVICE_PAGE))
-    first_short = sized.where(F.col("size") < wanted).agg(F.min("page_number")).scalar()
-    live = sized.where(F.col("page_number") <= F.coalesce(first_short, F.col("page_number")))
-    out = live.select("page_number", F.posexplode(items).alias("place", "item")).select("page_number", "place", "item.*")
-    return out if max_results is None else out.orderBy("page_number", "place").limit(max_results)
+    last = F.col("size") < wanted
+    if {"numFound", "page"} <= set(header):
+        reached = (F.col("header.numFound") > 0) & (F.col("header.page") * wanted >= F.col("header.numFound"))
+        last = last | F.coalesce(reached, F.lit(False))
+    ends = sized.where(last).groupBy("_fetch").agg(F.min("page_number").alias("_last"))
+    live = sized.join(ends, "_fetch", "left").where(F.col("page_number") <= F.coalesce("_last", "page_number"))
+    out = live.select(*fetch, "page_number", F.posexplode(items).alias("place", "item")).select(
+        *fetch, "page_number", "place", "item.*"
+    )
+    if max_results is None:
+        return out
+    order = [F.asc("page_number"), F.asc("place")]
+    if not fetch:
+        return out.orderBy(*order).limit(max_results)
+    return top_k_per_key(out, list(fetch), order, max_results)
 
 
 def union_results(*frames: DataFrame) -> DataFrame:
