@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -10,6 +11,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,42 +24,96 @@ CAPACITY = 4096
 END_ID = 1
 CHUNK_PIECES = 20_000
 FULL = 0.995
-WORD_CACHE = 400_000
+WORD_CACHE = 1_000_000
+WORDS_AT_ONCE = 20_000
+WORD_END = "</w>"
+PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$#&*]{0,3})")
 BINS_PER_CHUNK = 1 << 24
+PIECE_SCHEMA = pa.schema([
+    ("doc_id", pa.int64()), ("no_id", pa.bool_()), ("piece", pa.int32()), ("start", pa.int64()),
+    ("length", pa.int64()), ("ids_crc32", pa.int64()),
+])
 PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that never merges across blanks.
-
-    Such a text's ids are its words' ids in order, so each distinct word is
-    encoded once; the memory of words is bounded. Texts that hold a special
-    token are encoded as one, since those are matched before words are cut.
+    """Ids of whole texts from a tokenizer that lower-cases, parts words at blanks and marks their ends.
+
+    Such a text's ids are its words' ids in order, so words are encoded once and
+    kept, in bounded memory. A plain word with marks behind it is its letters'
+    ids and its marks' ids; the letters of many new words are encoded in one
+    call and parted where a token ends a word. All other words are encoded as
+    they are, and texts with a special token as a whole, since those are matched
+    before words are cut.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            if any(s in text for s in self.special):
-                yield self._bytes([text])[0]
+    def _learn(self, new: list[str]) -> None:
+        if len(self.letters) + len(new) > WORD_CACHE:
+            self.letters.clear()
+        for lo in range(0, len(new), WORDS_AT_ONCE):
+            part = new[lo:lo + WORDS_AT_ONCE]
+            ids = self._bytes([" ".join(part)])[0]
+            cuts = ((np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4).tolist()
+            if len(cuts) == len(part):
+                self.letters.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts], cuts))))
+            else:
+                self.letters.update(zip(part, self._bytes(part)))
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        found = list(map(PLAIN_WORD.fullmatch, words))
+        letters = [m[1].lower() if m else None for m in found]
+        marks = [m[2] if m else None for m in found]
+        seen = set(letters)
+        seen.discard(None)
+        if not self.letters.keys() >= seen:
+            self._learn([c for c in seen if c not in self.letters])
+            if not self.letters.keys() >= seen:  # the memory was cleared
+                self._learn([c for c in seen if c not in self.letters])
+        for mark in set(marks) - {None} - self.marks.keys():
+            self.marks[mark] = self._bytes([mark])[0]
+        odd = iter(self._bytes([w for w, c in zip(words, letters) if c is None]))
+        return [next(odd) if c is None else self.letters[c] + self.marks[m] for c, m in zip(letters, marks)]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null is empty.
+
+        Texts are parted and their distinct words numbered by Arrow, and the
+        ids put together by array indexing.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        for special in self.special:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        parted = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parted.flatten().dictionary_encode()
+        ids = self.words(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        at = np.cumsum(size) - size
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(size[number])))
+        offsets = parted.offsets.to_numpy() - parted.offsets[0].as_py()
+        for k, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
+            if whole[k]:
+                yield self._bytes([texts[k].as_py()])[0]
                 continue
-            words = text.replace("\n", " ").split(" ")
-            new = list({w for w in words if w not in self.known})
-            if new:
-                if len(self.known) + len(new) > WORD_CACHE:
-                    self.known.clear()
-                    new = list(set(words))
-                self.known.update(zip(new, self._bytes(new)))
-            yield b"".join(map(self.known.__getitem__, words))
+            own = number[lo:hi]
+            first = np.repeat(at[own] - (ends[lo:hi] - ends[lo]), size[own])
+            yield flat[first + np.arange(len(first))].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -70,23 +127,19 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     Null text is empty and gives END_ID alone; nothing else is added or lost.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for doc_id, no_id, ids in zip(batch["doc_id"], batch["no_id"], encoder.encode(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), CAPACITY * 4)):
                     part = ids[at:at + CAPACITY * 4]
-                    rows.append((doc_id, no_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id or 0, doc_id is None, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pa.RecordBatch.from_pydict(dict(zip(PIECE_SCHEMA.names, zip(*rows) if rows else [()] * 6)), PIECE_SCHEMA)
 
-    # Ids reach pandas without nulls, which would turn them into floats.
-    known = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"),
-                        F.col("doc_id").isNull().alias("no_id"), "text")
-    return known.mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def test_tokenizer_parts_equal_the_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder = swap_packing.WordEncoder(path)
     texts = ["", " ", "It's  I'll\n\nTHE 12,5%\x1c  x", "a<|endoftext|>b", "é ́ ﬁ İ ẞ ΣΑΣ", "x" * 5_000, "日本語 🙂\r\n\t end"]
-    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(pa.array(texts))]
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
