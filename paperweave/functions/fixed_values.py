@@ -11,14 +11,14 @@ STRONG_MATCH = "strong_match"
 POSSIBLE_MATCH = "possible_match"
 MANUAL_REVIEW_NEEDED = "manual_review_needed"
 
-# Messages of anomaly findings.
+# Messages of anomaly findings, for people; no result depends on them.
 MESSAGES = {
-    "publication_incomplete": "Publication is missing stable identifiers and publication year",
-    "publication_doi": "Publication DOI appears malformed",
-    "researcher_orcid": "Researcher ORCID appears malformed",
-    "researcher_name": "Researcher name is weak for stable matching",
-    "organization_ror": "Organization ROR identifier appears malformed",
-    "organization_name": "Organization record is missing a stable normalized name",
+    "publication_incomplete": "no DOI, no source id and no year: nothing to match this publication by",
+    "publication_doi": "the DOI does not have the form of a DOI",
+    "researcher_orcid": "the ORCID does not have the form of an ORCID",
+    "researcher_name": "a name of one word is too little to match people by",
+    "organization_ror": "the ROR id does not have the form of a ROR address",
+    "organization_name": "no name is left after normalizing: nothing to match this organization by",
 }
 
 # Access values that count as open.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from itertools import count
 
@@ -14,7 +13,6 @@ from paperweave.functions.payload import extract_pid
 from paperweave.functions.text import normalize_text
 from paperweave.session import Rounds
 
-ALIASES_PER_PASS = 500
 GRAM = 3
 
 
@@ -72,20 +70,6 @@ def _score(name: Column, alias: Column) -> Column:
     )
 
 
-def _match_constant(names: DataFrame, words: list[dict]) -> DataFrame:
-    """Matches against a short dictionary held as a constant array in the projection."""
-    schema = "array<struct<code:string,country_code:string,alias:string>>"
-    parts = []
-    for at in range(0, max(len(words), 1), ALIASES_PER_PASS):
-        listed = F.from_json(F.lit(json.dumps(words[at:at + ALIASES_PER_PASS])), schema)
-        hits = F.filter(listed, lambda a: _score(F.col("name"), a["alias"]) > 0)
-        parts.append(names.select("name", "country_code", F.explode(hits).alias("a")).select(
-            "name", "country_code", F.col("a.code").alias("code"), F.col("a.country_code").alias("code_country"),
-            _score(F.col("name"), F.col("a.alias")).alias("base"),
-        ))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _grams(c: Column) -> Column:
     """Distinct substrings of one to GRAM characters."""
     return F.array_distinct(F.flatten(F.transform(
@@ -93,44 +77,47 @@ def _grams(c: Column) -> Column:
     )))
 
 
-def _match_join(names: DataFrame, words: DataFrame) -> DataFrame:
-    """Matches against a dictionary of any size, as equi-joins on short substrings.
+def _rarest_gram(texts: DataFrame, column: str, others: DataFrame) -> DataFrame:
+    """`texts` with the substring `gram` of `column` that fewest of `others` (gram, n) have.
 
-    If one text lies inside the other, the first characters of the inner one are a
-    substring of the outer one; pairs that share it are then scored.
+    A text with a substring that none has lies in none of them and drops out.
     """
-    texts = names.where(F.length("name") > 0)
-    by_alias = texts.withColumn("gram", F.explode(_grams(F.col("name")))).join(
-        words.withColumn("gram", F.substring("alias", 1, GRAM)), "gram"
-    )
-    by_name = texts.where(F.length("name") >= fv.MIN_NAME_IN_ALIAS).withColumn("gram", F.substring("name", 1, GRAM)).join(
-        words.withColumn("gram", F.explode(_grams(F.col("alias")))), "gram"
+    size = F.least(F.length(column), F.lit(GRAM))
+    own = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(column) - size + 1), lambda i: F.substr(F.col(column), i, size)
+    ))
+    found = texts.withColumn("_grams", own).withColumn("gram", F.explode("_grams")).join(others, "gram")
+    keys = texts.columns
+    return (
+        found.groupBy(*keys).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("_have"),
+                                 F.max(F.size("_grams")).alias("_all"))
+        .where(F.col("_have") == F.col("_all")).drop("_have", "_all")
     )
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.select(
-            "name", "country_code", "code", "code_country",
-            _score(F.col("name"), F.col("alias")).alias("base"),
-        ).where(F.col("base") > 0)
 
-    return scored(by_alias).unionByName(scored(by_name)).distinct()
+def _containing(outer: DataFrame, column: str, inner: DataFrame, inner_column: str) -> DataFrame:
+    """Pairs (outer row, inner row) that share the inner text's rarest substring."""
+    grams = outer.withColumn("gram", F.explode(_grams(F.col(column))))
+    counted = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    return grams.join(_rarest_gram(inner, inner_column, counted), "gram").drop("gram")
 
 
-def alias_match(names: DataFrame, aliases: DataFrame, min_alias_len: int = 0, constant_up_to: int = 2_000) -> DataFrame:
+def alias_match(names: DataFrame, aliases: DataFrame, min_alias_len: int = 0) -> DataFrame:
     """(name, country_code, code, score) for each normalized name and every dictionary code it matches.
 
-    `names` has name (normalized) and country_code; equal rows are matched once. A
-    dictionary of up to `constant_up_to` aliases, the governed case, becomes a
-    constant in the projection, so names are scanned without a join; a longer one
-    is matched by equi-joins.
+    `names` has name (normalized) and country_code; equal rows are matched once.
+    If one text lies inside the other, every substring of the inner one is one of
+    the outer; pairs meet by an equi-join on the substring of the inner text that
+    fewest outer texts have, so common beginnings bring nothing together.
     """
     distinct = names.select("name", "country_code").where(F.coalesce("name", F.lit("")) != "").distinct()
-    words = _dictionary(aliases, min_alias_len)
-    head = [r.asDict() for r in words.limit(constant_up_to + 1).collect()]
-    if len(head) <= constant_up_to:
-        out = _match_constant(distinct, head)
-    else:
-        out = _match_join(distinct, words.withColumnRenamed("country_code", "code_country"))
+    words = _dictionary(aliases, min_alias_len).withColumnRenamed("country_code", "code_country")
+    texts = distinct.select("name").distinct()
+    short = texts.where(F.length("name") >= fv.MIN_NAME_IN_ALIAS)
+    entries = words.select("alias").distinct()
+    pairs = _containing(texts, "name", entries, "alias").unionByName(_containing(entries, "alias", short, "name")).distinct()
+    scored = pairs.withColumn("base", _score(F.col("name"), F.col("alias"))).where(F.col("base") > 0)
+    out = distinct.join(scored, "name").join(words, "alias")
     adjust = (
         F.when(F.col("code_country") == F.col("country_code"), fv.SCORE_SAME_COUNTRY)
         .when((F.coalesce("code_country", F.lit("")) != "") & (F.coalesce("country_code", F.lit("")) != "")

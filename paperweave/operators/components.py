@@ -72,24 +72,30 @@ def largest_component(selected: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community_id) after a fixed number of synchronous weighted rounds.
+    """(id, community_id) after at most `rounds` synchronous weighted rounds.
 
     Each node takes the label with the largest total weight around it, the
-    smallest label on a tie, so the result is reproducible. Isolated nodes keep
-    their own id.
+    smallest label on a tie, so the result is reproducible. It stops when no label
+    changes, as later rounds would then give the same. Isolated nodes keep their
+    own id. Edges lie in buckets of the end whose label they need, so a round
+    moves labels to edges and partial sums to nodes, but no edges.
     """
     table = Rounds(edges.sparkSession, "labels")
-    ways = table.cut(both_ways(edges, "weight"))
-    labels = ways.select("id", F.col("id").alias("community_id")).distinct()
-    for step in range(rounds):
-        before, labels = labels, table.cut(
+    ways = table.bucketed(both_ways(edges, "weight"), "other")
+    labels = ways.select("id").distinct().withColumn("community_id", F.col("id"))
+    mark = {"x": F.bit_xor(F.xxhash64("id", "community_id"))}
+    seen = None
+    for _ in range(rounds):
+        before, (labels, new) = labels, table.measure(
             ways.join(labels.withColumnRenamed("id", "other"), "other")
             .groupBy("id", "community_id").agg(F.sum("weight").alias("w"))
             .groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "community_id")).alias("best"))
-            .select("id", F.col("best.community_id").alias("community_id"))
+            .select("id", F.col("best.community_id").alias("community_id")), **mark
         )
-        if step:
-            table.drop(before)
+        table.drop(before)
+        if new == seen:
+            break
+        seen = new
     return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("community_id", "id").alias("community_id"))
 
 

@@ -6,8 +6,6 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,14 +124,44 @@ def embed(texts: DataFrame, provider: Provider, batch_size: int = 16, retries: i
     )
 
 
-def tfidf_vectors(texts: DataFrame, dim: int = 64) -> DataFrame:
-    """(publication_id, embedding): unit-length hashed TF-IDF vectors, the offline default."""
+def word_bucket(word: Column, dim: int) -> Column:
+    """Bucket of a word from the first 32 bits of its md5."""
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim
+
+
+def tfidf_weights(texts: DataFrame, dim: int = 64) -> DataFrame:
+    """(publication_id, bucket, weight): unit-length hashed TF-IDF, a row per non-empty bucket.
+
+    Words are lower-case runs of ASCII word characters. A word counts once per
+    occurrence; a bucket's inverse document frequency is ln((n + 1) / (df + 1)).
+    """
     rows = texts.where(F.col("content_text").isNotNull()).select("publication_id", "content_text")
-    words = RegexTokenizer(inputCol="content_text", outputCol="words", pattern=r"\W+").transform(rows)
-    counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=dim).transform(words)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="tfidf", outputCol="unit", p=2.0).transform(weighted)
-    return unit.select("publication_id", vector_to_array("unit", "float32").alias("embedding"))
+    words = rows.select("publication_id", F.explode(F.split(F.lower("content_text"), "[^a-z0-9_]+")).alias("word"))
+    tf = (
+        words.where(F.col("word") != "").groupBy("publication_id", word_bucket(F.encode("word", "UTF-8"), dim).alias("bucket"))
+        .agg(F.count("*").alias("tf"))
+    )
+    df = tf.groupBy("bucket").agg(F.count("*").alias("df"))
+    weighted = tf.join(F.broadcast(df), "bucket").select(  # a row per bucket at most
+        "publication_id", "bucket",
+        (F.col("tf") * F.log((rows.agg(F.count("*")).scalar() + 1) / (F.col("df") + 1))).alias("w"),
+    )
+    norm = weighted.groupBy("publication_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norm, "publication_id").where(F.col("w") > 0).select(
+        "publication_id", "bucket", (F.col("w") / F.col("norm")).alias("weight")
+    )
+
+
+def tfidf_vectors(texts: DataFrame, dim: int = 64) -> DataFrame:
+    """(publication_id, embedding): `tfidf_weights` as dense vectors, the offline default; zero without a weight."""
+    per = tfidf_weights(texts, dim).groupBy("publication_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("weights")  # at most `dim` entries
+    )
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(
+        F.try_element_at("weights", k.cast("bigint")), F.lit(0.0)).cast("float"))
+    return texts.where(F.col("content_text").isNotNull()).select("publication_id").join(per, "publication_id", "left").select(
+        "publication_id", dense.alias("embedding")
+    )
 
 
 def upsert_vectors(base: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paperweave.functions.payload import publication_year
 from paperweave.functions.text import display_label, normalize_text
 from paperweave.operators.grouping import PAIR_BLOCK, group_pairs, group_sizes
+from paperweave.session import Rounds
 
 
 def enrich_authorship(authorship: DataFrame, researcher: DataFrame, publication: DataFrame,
@@ -35,7 +36,8 @@ def coauthor_pairs(authorship: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
         .select(F.col("publication_id").alias("grp"), F.col("researcher_id").alias("member"))
         .distinct()
     )
-    pairs = group_pairs(members, group_sizes(authorship, "publication_id"), block=block)
+    members = Rounds(authorship.sparkSession, "members").cut(members)
+    pairs = group_pairs(members, group_sizes(members, "grp"), block=block)
     return pairs.select(
         F.col("grp").alias("publication_id"), F.col("left").alias("source"), F.col("right").alias("target")
     )
@@ -58,7 +60,8 @@ def coauthor_edges(authorship: DataFrame, publication: DataFrame, block: int = P
         .distinct()
         .join(years, "grp", "left")
     )
-    pairs = group_pairs(members, group_sizes(authorship, "publication_id"), carry=["year"], block=block)
+    members = Rounds(authorship.sparkSession, "members").cut(members)
+    pairs = group_pairs(members, group_sizes(members, "grp"), carry=["year"], block=block)
     return pairs.groupBy(F.col("left").alias("source"), F.col("right").alias("target")).agg(
         F.count("*").alias("weight"),
         F.count("*").alias("shared_publication_count"),
@@ -67,6 +70,26 @@ def coauthor_edges(authorship: DataFrame, publication: DataFrame, block: int = P
     )
 
 
+def edges_around(authorship: DataFrame, publication: DataFrame, center) -> DataFrame:
+    """The coauthor edges of one researcher, from the center's own publications."""
+    papers = authorship.where(F.col("researcher_id") == F.lit(center)).select("publication_id").distinct()
+    near = authorship.join(papers, "publication_id", "left_semi")
+    return incident(coauthor_edges(near, publication), center)
+
+
+def edges_within(authorship: DataFrame, publication: DataFrame, ids: DataFrame) -> DataFrame:
+    """The coauthor edges among some researchers (id), from their own authorship."""
+    theirs = authorship.join(ids.select(F.col("id").alias("researcher_id")), "researcher_id", "left_semi")
+    return coauthor_edges(theirs, publication)
+
+
+def ego_edges(authorship: DataFrame, publication: DataFrame, center) -> DataFrame:
+    """All coauthor edges among one researcher and their coauthors, without the rest of the graph."""
+    papers = authorship.where(F.col("researcher_id") == F.lit(center)).select("publication_id").distinct()
+    near = authorship.join(papers, "publication_id", "left_semi").select(F.col("researcher_id").alias("id")).distinct()
+    return edges_within(authorship, publication, near)
+
+
 def coauthor_edge_publications(authorship: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """(source, target, publication_id): the shared publications behind every edge."""
     return coauthor_pairs(authorship, block).select("source", "target", "publication_id")
@@ -234,16 +257,17 @@ def clustering_coefficient(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each edge points from its lower-degree end to the higher one, so even a hub
     has few outgoing edges and wedges are formed at their cheapest corner.
     """
-    degrees = degree_strength(nodes, edges).select("id", "degree")
+    rounds = Rounds(edges.sparkSession, "clustering")
+    edges = rounds.cut(edges.select("source", "target", "weight"))
+    degrees = rounds.cut(degree_strength(nodes, edges).select("id", "degree"))
     s, t = (degrees.select(F.col("id").alias(c), F.col("degree").alias(f"d_{c}")) for c in ("source", "target"))
     ranked = edges.select("source", "target").join(s, "source").join(t, "target")
     forward = F.struct("d_source", "source") < F.struct("d_target", "target")
-    arcs = ranked.select(
-        F.when(forward, F.col("source")).otherwise(F.col("target")).alias("lo"),
-        F.when(forward, F.col("target")).otherwise(F.col("source")).alias("hi"),
-    )
-    members = arcs.select(F.col("lo").alias("grp"), F.col("hi").alias("member"))
-    wedges = group_pairs(members, group_sizes(arcs, "lo"))
+    members = rounds.cut(ranked.select(
+        F.when(forward, F.col("source")).otherwise(F.col("target")).alias("grp"),
+        F.when(forward, F.col("target")).otherwise(F.col("source")).alias("member"),
+    ))
+    wedges = group_pairs(members, group_sizes(members, "grp"))
     triangles = wedges.join(
         edges.select(F.col("source").alias("left"), F.col("target").alias("right")), ["left", "right"]
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,9 +88,3 @@ def ingestion_status(counts: DataFrame, runs: DataFrame, source: str | None = No
     return counts.withColumns({
         "last_run_id": last.select("run_id").scalar(), "last_run_status": last.select("status").scalar(),
     })
-
-
-def run_registry(rows: Mapping[str, object], registry: DataFrame) -> DataFrame:
-    """Registry with one more row."""
-    one = registry.sparkSession.createDataFrame([dict(rows)], registry.schema)
-    return registry.unionByName(one)

@@ -12,6 +12,35 @@ from paperweave.functions import fixed_values as fv
 from paperweave.functions.payload import is_valid_doi, is_valid_orcid, is_valid_ror
 from paperweave.functions.text import token_count
 
+# Unique keys of the canonical tables; a key with a null part is exempt.
+UNIQUE_KEYS = {
+    "publication": {"publication_doi": ["doi"], "publication_source": ["openaire_id"]},
+    "organization": {"organization_ror": ["ror_id"], "organization_source": ["openaire_id"]},
+    "researcher": {"researcher_orcid": ["orcid"]},
+    "publication_author": {
+        "publication_researcher": ["publication_id", "researcher_id"],
+        "publication_position": ["publication_id", "author_position"],
+    },
+    "publication_organization": {"publication_organization": ["publication_id", "organization_id", "relation_type"]},
+    "publication_embedding": {
+        "publication_embedding": ["publication_id", "embedding_provider", "embedding_model", "embedding_version"],
+    },
+    "external_identifier": {"external_identifier": ["entity_type", "identifier_type", "identifier_value"]},
+    "source_record": {"source_record": ["ingestion_run_id", "entity_type", "source_identifier"]},
+}
+# Foreign keys of the canonical tables: (column, parent table, its key).
+PARENTS = {
+    "researcher": [("primary_organization_id", "organization", "organization_id")],
+    "organization": [("parent_organization_id", "organization", "organization_id")],
+    "publication_author": [("publication_id", "publication", "publication_id"), ("researcher_id", "researcher", "researcher_id")],
+    "publication_organization": [
+        ("publication_id", "publication", "publication_id"), ("organization_id", "organization", "organization_id")],
+    "researcher_affiliation": [
+        ("researcher_id", "researcher", "researcher_id"), ("organization_id", "organization", "organization_id")],
+    "publication_embedding": [("publication_id", "publication", "publication_id")],
+}
+
+
 def unique_violations(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
     """(constraint, key, row_count) of every key group with more than one row.
 
@@ -31,6 +60,26 @@ def unique_violations(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataF
     return reduce(DataFrame.unionByName, out)
 
 
+def audit_unique(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """`unique_violations` of every unique key whose table and columns are present."""
+    return reduce(DataFrame.unionByName, [
+        unique_violations(tables[name], keys)
+        for name, every in UNIQUE_KEYS.items() if name in tables
+        if (keys := {k: cols for k, cols in every.items() if set(cols) <= set(tables[name].columns)})
+    ])
+
+
+def audit_links(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, foreign_key, key_value, row_count): link rows without a parent, over all links present."""
+    return reduce(DataFrame.unionByName, [
+        orphans(tables[name], tables[parent], fk, pk)
+        .groupBy(F.lit(name).alias("table_name"), F.lit(fk).alias("foreign_key"), F.col(fk).cast("string").alias("key_value"))
+        .agg(F.count("*").alias("row_count"))
+        for name, links in PARENTS.items() if name in tables
+        for fk, parent, pk in links if parent in tables and fk in tables[name].columns
+    ])
+
+
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Child rows whose non-null foreign key has no parent."""
     keys = parent.select(F.col(pk).alias(fk))

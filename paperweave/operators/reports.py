@@ -25,12 +25,6 @@ def relations_named(relations: DataFrame, name: str) -> DataFrame:
     return relations.where(F.col("reltype.name") == name)
 
 
-def join_relations(entities: DataFrame, relations: DataFrame, side: str, rel_name: str) -> DataFrame:
-    """Entities with every relation of one kind whose `side` (source/target) is their id."""
-    picked = relations_named(relations, rel_name).select("source", "target")
-    return entities.join(picked, F.col("id") == F.col(side))
-
-
 def _ends(relations: DataFrame, name: str, side: str) -> DataFrame:
     """(id, n): number of relations of a kind per entity on one side."""
     return relations_named(relations, name).groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n"))
@@ -54,11 +48,8 @@ def citation_counts(publications: DataFrame, relations: DataFrame, direction: st
     """Citations per publication from `IsCitedBy` ("in") or its dual `Cites` ("dual")."""
     name, side = {"in": ("IsCitedBy", "source"), "dual": ("Cites", "target")}[direction]
     ids = publications.select("id", F.col("pid.value").alias("pid"))
-    return (
-        ids.join(_ends(relations, name, side), "id")
-        .groupBy("id", "pid")
-        .agg(F.sum("n").alias("count"))
-        .orderBy(F.desc("count"), "id")
+    return ids.join(_ends(relations, name, side), "id").select("id", "pid", F.col("n").alias("count")).orderBy(
+        F.desc("count"), "id"
     )
 
 
@@ -70,11 +61,6 @@ def subject_counts(subjects: DataFrame) -> DataFrame:
     )
 
 
-def explode_subjects(publications: DataFrame) -> DataFrame:
-    """(id, subject) rows of publications whose `subjects` is array<struct<subject,...>>."""
-    return publications.select("id", F.explode("subjects.subject").alias("subject"))
-
-
 def journal_counts(publications: DataFrame) -> DataFrame:
     return (
         publications.where(F.col("container").isNotNull())

@@ -147,6 +147,32 @@ def exact_duplicates(df: DataFrame, identifier: str, id_col: str, created: str =
     )
 
 
+IDENTIFIERS = {
+    "publication": ("publication_id", ("doi", "openaire_id")),
+    "researcher": ("researcher_id", ("orcid",)),
+    "organization": ("organization_id", ("ror_id", "openaire_id")),
+}
+
+
+def identifier_duplicates(tables: Mapping[str, DataFrame], authorship: DataFrame, created: str = "created_at") -> DataFrame:
+    """Exact candidates of every entity table present, by its identifiers in order.
+
+    A pair that an earlier identifier has found is not listed again.
+    """
+    out = []
+    for entity, df in tables.items():
+        id_col, names = IDENTIFIERS[entity]
+        found = [
+            exact_duplicates(df, name, id_col, created, authorship, entity).withColumns(
+                {"identifier": F.lit(name), "place": F.lit(place)}
+            )
+            for place, name in enumerate(names) if name in df.columns
+        ]
+        first = top_k_per_key(reduce(DataFrame.unionByName, found), PAIR, [F.col("place")], 1).drop("place")
+        out.append(first.withColumns({c: F.col(c).cast("string") for c in PAIR}))
+    return reduce(DataFrame.unionByName, out)
+
+
 def publication_candidates(publication: DataFrame, authorship: DataFrame, author_names: DataFrame,
                            created: str = "created_at") -> DataFrame:
     """Publications with the same normalized title and year as an older one.

@@ -256,31 +256,68 @@ def newest_papers(v):
 # quality ------------------------------------------------------------------------------------------
 
 
-@query("unique_violations", "authorship publication_organization document_publication", """
+@query("unique_violations", "authorship document_publication source_record", """
     SELECT 'publication_researcher' AS constraint_name, publication_id || '|' || researcher_id AS key_value, count(*) AS row_count
       FROM authorship GROUP BY publication_id, researcher_id HAVING count(*) > 1
     UNION ALL SELECT 'publication_position', publication_id || '|' || author_position, count(*)
       FROM authorship GROUP BY publication_id, author_position HAVING count(*) > 1
     UNION ALL SELECT 'publication_doi', doi, count(*) FROM document_publication WHERE doi IS NOT NULL
-      GROUP BY doi HAVING count(*) > 1""")
+      GROUP BY doi HAVING count(*) > 1
+    UNION ALL SELECT 'publication_source', 's' || publication_id % 500, count(*) FROM document_publication GROUP BY 2 HAVING count(*) > 1
+    UNION ALL SELECT 'organization_ror', 'r' || c_custkey % 90, count(*) FROM customer WHERE c_custkey % 2 = 0 GROUP BY 2 HAVING count(*) > 1
+    UNION ALL SELECT 'organization_source', 'n' || c_nationkey, count(*) FROM customer GROUP BY 2 HAVING count(*) > 1
+    UNION ALL SELECT 'researcher_orcid', p_brand, count(*) FROM part GROUP BY 2 HAVING count(*) > 1
+    UNION ALL SELECT 'publication_organization', l_orderkey || '|' || l_suppkey || '|' || l_returnflag, count(*) FROM lineitem
+      GROUP BY 2 HAVING count(*) > 1
+    UNION ALL SELECT 'publication_embedding', (l_partkey % 9) || '|p|m|' || l_linenumber, count(*) FROM lineitem GROUP BY 2 HAVING count(*) > 1
+    UNION ALL SELECT 'external_identifier', 'publication|' || l_linenumber || '|' || l_orderkey, count(*) FROM lineitem GROUP BY 2 HAVING count(*) > 1
+    UNION ALL SELECT 'source_record', ingestion_run_id || '|' || entity_type || '|' || source_identifier, count(*) FROM source_record
+      GROUP BY 2 HAVING count(*) > 1""")
 def unique_violations(v):
-    links = quality.unique_violations(v.authorship(), {
-        "publication_researcher": ["publication_id", "researcher_id"],
-        "publication_position": ["publication_id", "author_position"],
+    """Every unique key of the canonical tables, over tables that break each of them."""
+    text = lambda c: F.col(c).cast("string")
+    lines = v.table("lineitem")
+    return quality.audit_unique({
+        "publication": v.document_publication().select(
+            "doi", F.concat(F.lit("s"), (F.col("publication_id") % 500).cast("string")).alias("openaire_id")),
+        "organization": v.table("customer").select(
+            F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("r"), (F.col("c_custkey") % 90).cast("string"))).alias("ror_id"),
+            F.concat(F.lit("n"), text("c_nationkey")).alias("openaire_id")),
+        "researcher": v.table("part").select(F.col("p_brand").alias("orcid")),
+        "publication_author": v.authorship(),
+        "publication_organization": lines.select(
+            F.col("l_orderkey").alias("publication_id"), F.col("l_suppkey").alias("organization_id"), F.col("l_returnflag").alias("relation_type")),
+        "publication_embedding": lines.select(
+            (F.col("l_partkey") % 9).alias("publication_id"), F.lit("p").alias("embedding_provider"), F.lit("m").alias("embedding_model"),
+            F.col("l_linenumber").alias("embedding_version")),
+        "external_identifier": lines.select(
+            F.lit("publication").alias("entity_type"), F.col("l_linenumber").alias("identifier_type"), F.col("l_orderkey").alias("identifier_value")),
+        "source_record": v.source_record(),
     })
-    return links.unionByName(quality.unique_violations(v.document_publication(), {"publication_doi": ["doi"]}))
 
 
-@query("orphan_links", "source_record publication", """
-    SELECT record_id, source_identifier FROM (SELECT record_id, source_identifier,
-      CAST(substr(source_identifier, 3) AS BIGINT) * 100 AS publication_id FROM source_record)
-    WHERE publication_id NOT IN (SELECT publication_id FROM publication)""")
+@query("orphan_links", "authorship publication_organization researcher researcher_affiliation organization", """
+    SELECT t AS table_name, k AS foreign_key, CAST(x AS VARCHAR) AS key_value, count(*) AS row_count FROM (
+      SELECT 'publication_author' AS t, 'publication_id' AS k, CAST(publication_id AS VARCHAR) AS x FROM authorship WHERE publication_id % 9 = 0
+      UNION ALL SELECT 'publication_author', 'researcher_id', researcher_id FROM authorship WHERE researcher_id % 10 = 0
+      UNION ALL SELECT 'publication_organization', 'publication_id', publication_id FROM publication_organization WHERE publication_id % 9 = 0
+      UNION ALL SELECT 'publication_organization', 'organization_id', organization_id FROM publication_organization WHERE organization_id LIKE '%2'
+      UNION ALL SELECT 'researcher_affiliation', 'researcher_id', researcher_id FROM researcher_affiliation WHERE researcher_id % 10 = 0
+      UNION ALL SELECT 'researcher_affiliation', 'organization_id', organization_id FROM researcher_affiliation WHERE organization_id LIKE '%2'
+      UNION ALL SELECT 'researcher', 'primary_organization_id', primary_organization_id FROM researcher
+        WHERE researcher_id % 10 <> 0 AND primary_organization_id NOT IN (SELECT organization_id FROM organization WHERE organization_id NOT LIKE '%2')
+      UNION ALL SELECT 'organization', 'parent_organization_id', parent_organization_id FROM organization
+        WHERE organization_id NOT LIKE '%2' AND parent_organization_id LIKE '%2')
+    GROUP BY 1, 2, 3""")
 def orphan_links(v):
-    links = v.source_record().select(
-        "record_id", "source_identifier",
-        (F.substring("source_identifier", 3, 30).cast("bigint") * 100).alias("publication_id"),
-    )
-    return quality.orphans(links, v.publication(), "publication_id", "publication_id").select("record_id", "source_identifier")
+    """All links, with every ninth publication, tenth person and the organizations on 2 taken away."""
+    return quality.audit_links({
+        "publication": v.publication().where(F.col("publication_id") % 9 != 0),
+        "researcher": v.researcher().where(F.col("researcher_id") % 10 != 0),
+        "organization": v.organization().where(~F.col("organization_id").endswith("2")),
+        "publication_author": v.authorship(), "publication_organization": v.publication_organization(),
+        "researcher_affiliation": v.researcher_affiliation(),
+    })
 
 
 @query("range_violations", "document_publication publication authorship", """

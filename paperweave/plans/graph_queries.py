@@ -176,10 +176,12 @@ def degree_strength(v):
 
 
 @query("isolated_nodes", "authorship publication researcher", """
-    SELECT researcher_id AS id, full_name FROM researcher WHERE researcher_id NOT IN (SELECT id FROM ways)""", WAYS)
+    SELECT researcher_id AS id, full_name FROM researcher
+    WHERE researcher_id NOT IN (SELECT source FROM edges WHERE weight >= 2 UNION ALL SELECT target FROM edges WHERE weight >= 2)""", WAYS)
 def isolated_nodes(v):
+    """People without a tie of at least two papers."""
     nodes = v.researcher().select(F.col("researcher_id").alias("id"), "full_name")
-    return graph.isolated_nodes(nodes, edges_of(v))
+    return graph.isolated_nodes(nodes, edges_of(v).where(F.col("weight") >= 2))
 
 
 @query("connected_nodes", "authorship publication researcher", """
@@ -339,7 +341,7 @@ CENTER = 17
     WHERE (source = {CENTER} OR source IN (SELECT other FROM ways WHERE id = {CENTER}))
       AND (target = {CENTER} OR target IN (SELECT other FROM ways WHERE id = {CENTER}))""", WAYS)
 def ego_network(v):
-    return graph.ego_network(edges_of(v), CENTER).select("source", "target", "weight")
+    return graph.ego_edges(v.authorship(), v.publication(), CENTER).select("source", "target", "weight")
 
 
 @query("node_neighbors", USES, f"""
@@ -347,7 +349,7 @@ def ego_network(v):
       first_collaboration_year, last_collaboration_year, weight
     FROM edges WHERE source = {CENTER} OR target = {CENTER}""", EDGES)
 def node_neighbors(v):
-    return graph.node_neighbors(edges_of(v), CENTER)
+    return graph.node_neighbors(graph.edges_around(v.authorship(), v.publication(), CENTER), CENTER)
 
 
 OF_ORG = "SELECT researcher_id FROM researcher WHERE primary_organization_id = 'S:3'"
@@ -393,7 +395,7 @@ def largest_component(v):
       FROM edges WHERE source = {CENTER} OR target = {CENTER}
       ORDER BY weight DESC, shared_publication_count DESC, target DESC, source DESC LIMIT 49)""", EDGES)
 def ego_budget(v):
-    return subgraph.ego_budget(people_of(v), edges_of(v), CENTER, 50)
+    return subgraph.ego_budget(people_of(v), graph.edges_around(v.authorship(), v.publication(), CENTER), CENTER, 50)
 
 
 @query("ranked_cap", MEASURED_USES, """
@@ -446,5 +448,6 @@ EGO = EDGES + f""",
     WHERE source IN (SELECT id FROM chosen) AND target IN (SELECT id FROM chosen)""", EGO)
 def subgraph_ego(v):
     nodes = people_of(v).withColumns({"component_id": F.lit(0), "community_id": F.lit(0)})
-    found = subgraph.subgraph(nodes, edges_of(v), node=CENTER, max_nodes=50)
+    edges = graph.ego_edges(v.authorship(), v.publication(), CENTER)
+    found = subgraph.subgraph(nodes, edges, node=CENTER, max_nodes=50)
     return found[1].select("source", "target", "weight")

@@ -224,10 +224,22 @@ def embedding_payload(v):
     )
 
 
-@query("embed_documents")
+TFIDF = TEXTS + """, tokens AS (SELECT publication_id, unnest(regexp_split_to_array(lower(content_text), '[^a-z0-9_]+')) AS word
+      FROM texts WHERE content_text IS NOT NULL),
+    tf AS (SELECT publication_id, CAST('0x' || left(md5(word), 8) AS BIGINT) % 64 AS bucket, count(*) AS tf FROM tokens WHERE word <> '' GROUP BY 1, 2),
+    weighted AS (SELECT publication_id, bucket, tf * ln(((SELECT count(*) FROM texts WHERE content_text IS NOT NULL) + 1)
+      / (count(*) OVER (PARTITION BY bucket) + 1)) AS w FROM tf)"""
+
+
+@query("embed_documents", TEXT_USES, """
+    SELECT publication_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY publication_id)), 6) AS weight
+    FROM weighted QUALIFY w > 0""", TFIDF)
 def embed_documents(v):
-    return em.tfidf_vectors(texts(v)).select("publication_id", F.array_join(
-        F.transform("embedding", lambda x: F.round(x.cast("double"), 5).cast("string")), ",").alias("embedding"))
+    """The offline vectors, a row per entry that is not zero."""
+    entries = em.tfidf_vectors(texts(v)).select("publication_id", F.posexplode("embedding").alias("bucket", "x"))
+    return em.tfidf_weights(texts(v)).join(
+        entries.where(F.col("x") > 0).select("publication_id", F.col("bucket").cast("bigint").alias("bucket")), ["publication_id", "bucket"]
+    ).select("publication_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query("embedding_status", "document_publication vectors", """

@@ -90,6 +90,16 @@ class Rounds:
         out._round_path = path
         return out, (watch.get if watch else {})
 
+    def bucketed(self, df: DataFrame, column: str) -> DataFrame:
+        """Like `cut`, in hash buckets of one column: joins on it move only their other side."""
+        self._step += 1
+        path, name = f"{self.base}/{self._step:04d}", f"round_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out._round_path = path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files of an earlier round that no later frame reads."""
         path = getattr(df, "_round_path", "")

@@ -37,7 +37,9 @@ def read_entities(spark: SparkSession, path: str | list[str], schema: str, mode:
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines with their file) of a QUARANTINE read."""
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "source_file")
-    rejects = df.where(F.col(CORRUPT).isNotNull()).select("source_file", F.col(CORRUPT).alias("line"))
+    # Spark reads bad lines only beside a parsed column, so the filter mentions one.
+    beside = F.coalesce(F.to_json(F.struct(F.col(good.columns[0]))), F.lit("")) >= ""
+    rejects = df.where(F.col(CORRUPT).isNotNull() & beside).select("source_file", F.col(CORRUPT).alias("line"))
     return good, rejects
 
 

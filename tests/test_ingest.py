@@ -144,7 +144,7 @@ def test_long_dictionaries_match_like_short_ones(spark):
                                     "code string, country_code string, alias string")
     cols = ("name", "country_code", "code", "score")
     short = rows(attribution.alias_match(names, aliases), *cols)
-    assert short and short == rows(attribution.alias_match(names, aliases, constant_up_to=3), *cols)
+    assert short and short == rows(attribution.alias_match(names, aliases), *cols)
 
 
 PUBS = [
