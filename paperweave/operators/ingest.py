@@ -12,6 +12,7 @@ from paperweave.functions import payload as px
 from paperweave.functions.text import clip_text, first_nonblank, nonblank, normalize_text, strip
 from paperweave.operators.components import connected_components
 from paperweave.operators.grouping import top_k_per_key
+from paperweave.operators.provenance import provenance_records
 from paperweave.operators.quality import assign_unique
 
 # mapping jobs ----------------------------------------------------------------------
@@ -297,6 +298,15 @@ def add_links(base: DataFrame, new: DataFrame, unique: Sequence[str],
     return base.unionByName(accepted, allowMissingColumns=True), checked.where(F.col("reason").isNotNull())
 
 
+def create_links(base: DataFrame, new: DataFrame, unique: Sequence[str], parents: Mapping[str, tuple[DataFrame, str]],
+                 entity_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(link table, rejected rows, provenance): `add_links`, with a source record of every link it made."""
+    table, rejected = add_links(base, new, unique, parents)
+    made = table.join(base.select(*unique), list(unique), "left_anti")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in unique])
+    return table, rejected, provenance_records(made.withColumn("link_key", key), "create", entity_type, "link_key")
+
+
 # links derived from relations --------------------------------------------------------------
 
 

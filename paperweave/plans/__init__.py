@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ("report_queries", "graph_queries", "catalog_queries", "resolve_queries", "semantic_queries", "source_queries")
+QUERY_MODULES = ("report_queries", "graph_queries", "catalog_queries", "resolve_queries", "semantic_queries", "source_queries", "load_queries")
 
 
 def load_all() -> None:

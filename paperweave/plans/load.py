@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.operators import ingest
+from paperweave.functions import payload as px
+from paperweave.functions.text import nonblank, normalize_text
+from paperweave.operators import attribution, ingest
 from paperweave.operators.catalog import table_counts
 from paperweave.operators.positions import assign_author_positions
+from paperweave.operators.provenance import dedupe_source_records
 from paperweave.session import Rounds
 
 TABLES = {
@@ -25,7 +29,12 @@ TABLES = {
     "publication_organization": "publication_id string, organization_id string, relation_type string",
     "researcher_affiliation": "researcher_id string, organization_id string, is_primary boolean",
     "external_identifier": "identifier_type string, identifier_value string, publication_id string, is_primary boolean",
+    "source_record": "record_id string, ingestion_run_id string, entity_type string, source_identifier string, "
+                     "raw_payload string, checksum string",
 }
+RECORD_KEY = ["ingestion_run_id", "entity_type", "source_identifier"]
+KINDS = {"datasources": "datasource", "organizations": "organization", "publications": "publication",
+         "projects": "project", "relations": "relation"}
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
@@ -36,25 +45,70 @@ def _new_links(old: DataFrame, new: DataFrame, unique: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*unique), unique, "left_anti"), allowMissingColumns=True)
 
 
+def _record_id(run: str, kind: str, identifier: Column) -> Column:
+    return px.uuid5_url(F.concat(F.lit(f"source_record:{run}:{kind}:"), identifier))
+
+
+def source_records(raw: DataFrame, kind: str, run: str) -> DataFrame:
+    """A source record per raw payload: who sent what, as sorted-key JSON."""
+    ident = px.payload_identifier(raw)
+    payload = px.canonical_json(raw, [c for c in raw.columns if c != "arrival"])
+    return raw.select(
+        _record_id(run, kind, ident).alias("record_id"), F.lit(run).alias("ingestion_run_id"),
+        F.lit(kind).alias("entity_type"), ident.alias("source_identifier"), payload.alias("raw_payload"),
+        (F.col("arrival") if "arrival" in raw.columns else F.lit(0)).cast("decimal(32,0)").alias("arrival"),
+    )
+
+
+def embedded_records(known: DataFrame, run: str) -> DataFrame:
+    """Source records of the organizations inside publication records."""
+    orgs = known.select("arrival", F.explode("organizations").alias("o"))
+    shown = [F.col("o.legalName"), F.col("o.acronym")]
+    ident = px.organization_identifier(F.col("o.id"), F.col("o.pids"), shown, normalize_text(F.coalesce(*map(nonblank, shown))))
+    return orgs.select(
+        _record_id(run, "organization", ident).alias("record_id"), F.lit(run).alias("ingestion_run_id"),
+        F.lit("organization").alias("entity_type"), ident.alias("source_identifier"),
+        F.to_json("o").alias("raw_payload"),
+        F.col("arrival").cast("decimal(32,0)").alias("arrival"),
+    ).where(F.col("source_identifier").isNotNull())
+
+
+def stage_counts(inputs: Mapping[str, DataFrame], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(stage, records): raw records per input, and publications whose several organizations leave affiliations open."""
+    counted = [
+        inputs[name].agg(F.lit(f"{kind}_records").alias("stage"), F.count("*").alias("records"))
+        for name, kind in KINDS.items() if name in inputs
+    ]
+    open_ = ingest.affiliations_single_org(tables["publication_organization"], tables["publication_author"])[1]
+    counted.append(open_.agg(F.lit("ambiguous_publications").alias("stage"), F.count("*").alias("records")))
+    return reduce(DataFrame.unionByName, counted)
+
+
 def run_load(spark: SparkSession, inputs: Mapping[str, DataFrame], tables: Mapping[str, DataFrame] | None = None,
-             rule: str = "solo") -> tuple[dict[str, DataFrame], DataFrame]:
+             rule: str = "solo", run: str = "load", aliases: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(canonical tables, row-count change per table) after loading raw inputs.
 
-    `inputs` holds raw `publications`, `organizations` and `relations`, each with a
-    unique long `arrival`; any may be missing. `rule` decides affiliations: "solo"
-    (single-author publications with an affiliation relation) or "single_org"
-    (publications with one organization). Every stage is written once, so later
-    stages read tables instead of replaying earlier ones.
+    `inputs` holds raw `datasources`, `organizations`, `publications`, `projects`
+    and `relations`, each with a unique long `arrival`; any may be missing. Every
+    payload leaves a source record under the `run`; organizations inside a
+    publication record are matched or created and linked to it, told apart with
+    the alias dictionary. `rule` decides affiliations: "solo" (single-author
+    publications with an affiliation relation) or "single_org" (publications with
+    one organization). Every stage is written once, so later stages read tables
+    instead of replaying earlier ones.
     """
     rounds = Rounds(spark, "load")
     before = dict(tables) if tables is not None else empty_tables(spark)
     out = dict(before)
+    records = [source_records(inputs[name], kind, run) for name, kind in KINDS.items() if name in inputs]
     if "organizations" in inputs:
         batch = rounds.cut(ingest.map_organizations(inputs["organizations"]))
         out["organization"] = rounds.cut(ingest.upsert_organizations(out["organization"], batch)[0])
 
     if "publications" in inputs:
-        batch = rounds.cut(ingest.map_publications(inputs["publications"]))
+        raw = inputs["publications"]
+        batch = rounds.cut(ingest.map_publications(raw).withColumn(
+            "canonical_source_record_id", _record_id(run, "publication", F.col("openaire_id"))))
         table, assigned = ingest.upsert_publications(out["publication"], batch)
         assigned = rounds.cut(assigned)
         out["publication"] = rounds.cut(table)
@@ -83,15 +137,26 @@ def run_load(spark: SparkSession, inputs: Mapping[str, DataFrame], tables: Mappi
                        ["identifier_type", "identifier_value"])
         )
 
-    if "relations" in inputs:
-        resolved = rounds.cut(
-            ingest.resolve_relations(ingest.map_relations(inputs["relations"]), out["organization"], out["publication"])
-        )
-        links = ingest.publication_org_links(resolved)
-        out["publication_organization"] = rounds.cut(
-            _new_links(out["publication_organization"], links, ["publication_id", "organization_id", "relation_type"])
-        )
+        if "organizations" in batch.columns:
+            embedded = attribution.dedupe_embedded_orgs(
+                known.select("publication_id", "organizations"), aliases or attribution.alliance_aliases(spark))
+            table, links = ingest.link_embedded_orgs(rounds.cut(embedded), out["organization"])
+            out["organization"] = rounds.cut(table)
+            out["publication_organization"] = rounds.cut(
+                _new_links(out["publication_organization"], links, ["publication_id", "organization_id", "relation_type"]))
+            records.append(embedded_records(known, run))
+
+    if "relations" in inputs or "publications" in inputs:
+        resolved = None
+        if "relations" in inputs:
+            resolved = rounds.cut(ingest.resolve_relations(
+                ingest.map_relations(inputs["relations"]), out["organization"], out["publication"]))
+            links = ingest.publication_org_links(resolved)
+            out["publication_organization"] = rounds.cut(
+                _new_links(out["publication_organization"], links, ["publication_id", "organization_id", "relation_type"]))
         if rule == "solo":
+            resolved = resolved if resolved is not None else spark.createDataFrame(
+                [], "publication_id string, organization_id string, relation_type string, is_affiliation boolean")
             found = ingest.affiliations_solo(resolved, out["publication_author"])
         else:
             found = ingest.affiliations_single_org(out["publication_organization"], out["publication_author"])[0]
@@ -100,6 +165,11 @@ def run_load(spark: SparkSession, inputs: Mapping[str, DataFrame], tables: Mappi
         out["researcher"] = rounds.cut(people)
         out["researcher_affiliation"] = rounds.cut(affiliation)
 
+    if records:
+        fresh = dedupe_source_records(reduce(DataFrame.unionByName, records), RECORD_KEY, "arrival")
+        out["source_record"] = rounds.cut(_new_links(
+            out["source_record"], fresh.select(*[c.split()[0] for c in TABLES["source_record"].split(", ")]), RECORD_KEY))
+
     old, new = table_counts(before), table_counts(out)
     delta = old.withColumnRenamed("row_count", "rows_before").join(
         new.withColumnRenamed("row_count", "rows_after"), "table_name"

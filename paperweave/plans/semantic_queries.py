@@ -304,7 +304,8 @@ LOADED = f"""m AS (SELECT publication_id AS n, doi, CASE WHEN publication_id % 1
       UNION ALL SELECT 'publication_author', count(*) FROM links
       UNION ALL SELECT 'publication_organization', count(*) FROM found
       UNION ALL SELECT 'researcher_affiliation', count(*) FROM (SELECT DISTINCT author, s_suppkey FROM found JOIN solo USING (root))
-      UNION ALL SELECT 'external_identifier', 1 + count(*) + count(DISTINCT doi) FROM m)""", LOADED)
+      UNION ALL SELECT 'external_identifier', 1 + count(*) + count(DISTINCT doi) FROM m
+      UNION ALL SELECT 'source_record', (SELECT count(*) FROM m) + 2 * count(*) FROM supplier)""", LOADED)
 def run_load(v):
     return load.run_load(v.spark, load_inputs(v))[1]
 
