@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import meet_in_blocks, table
+from paperweave.llm.common import meet_in_blocks, small_batches, table
 from paperweave.operators.components import connected_components
 from paperweave.session import Rounds
 
@@ -288,6 +288,7 @@ def near_duplicates(
     fingerprints and are never compared. Repeated rows each get their row; other
     columns are ignored; a null doc_id gets its group's id.
     """
+    small_batches(docs.sparkSession)
     rounds = Rounds(docs.sparkSession, "simhash")
     marked = rounds.cut(docs.select("doc_id", fingerprints(F.col("text"), words, seeds).alias("fps")))
     nodes = rounds.cut(

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import table
+from paperweave.llm.common import small_batches, table
 
 BUDGET = 2048
 HISTORY_TURNS = 2
@@ -124,6 +124,7 @@ def chat_windows(turns: DataFrame, tokens=words, budget: int = BUDGET) -> DataFr
         .select("conv_id", "block", F.col("first.turn").alias("turn"), F.lit("system").alias("role"),
                 F.col("first.text").alias("text"), F.lit(True).alias("carried"))
     )
+    small_batches(turns.sparkSession)
     names = ["conv_id", "block", "turn", "role", "text", "carried", "tokens"]
     dealt = (
         rows.unionByName(later).withColumn("tokens", tokens(F.col("text")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperweave.session import Rounds
 
+BATCH_BYTES = 8 << 20
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in Arrow batches of at most BATCH_BYTES, so long texts cost no more memory than short ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo `folds`."""
     return F.crc32(key.cast("string").cast("binary")) % folds

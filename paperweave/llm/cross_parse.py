@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import fold_of, table
+from paperweave.llm.common import fold_of, small_batches, table
 
 SAMPLE_DOCS = 96
 CHARS_PER_DOC = 168
@@ -181,6 +181,7 @@ def judged(docs: DataFrame, parser: Parser) -> DataFrame:
     up, 0 to 1; `phrase_length` its mean phrase in symbols. `und` with score 0
     for null text, text without a letter, or when nothing was learned.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     @F.pandas_udf("lang_pred string, score double, phrase_length double")

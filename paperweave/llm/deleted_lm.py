@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import fold_of, table
+from paperweave.llm.common import fold_of, small_batches, table
 from paperweave.session import Rounds
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
@@ -72,21 +72,22 @@ def token_blocks(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, kind) as blocks of one kind: ids, sizes, distinct words, token stream."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
         for batch in batches:
-            for kind, rows in batch.groupby("kind", sort=True):
-                ids, sizes, words, stream = [], [], {None: 0}, []
-                for doc_id, no_id, text in zip(rows["doc_id"].tolist(), rows["no_id"].tolist(), rows["text"]):
-                    tokens = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-                    stream += [words.setdefault(w, len(words)) for w in tokens]
-                    stream.append(0)
-                    ids.append(None if no_id else doc_id)
-                    sizes.append(len(tokens) + 1)
-                    if len(stream) >= BLOCK_TOKENS:
-                        yield pd.DataFrame([_block(ids, sizes, words, stream, int(kind))])
-                        ids, sizes, words, stream = [], [], {None: 0}, []
-                if ids:
-                    yield pd.DataFrame([_block(ids, sizes, words, stream, int(kind))])
-
+            columns = (batch["kind"].tolist(), batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"])
+            for kind, doc_id, no_id, text in zip(*columns):
+                ids, sizes, words, stream = held.setdefault(kind, ([], [], {None: 0}, []))
+                tokens = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+                stream += [words.setdefault(w, len(words)) for w in tokens]
+                stream.append(0)
+                ids.append(None if no_id else doc_id)
+                sizes.append(len(tokens) + 1)
+                if len(stream) >= BLOCK_TOKENS:
+                    yield pd.DataFrame([_block(*held.pop(kind), kind)])
+        for kind, rest in sorted(held.items()):
+            yield pd.DataFrame([_block(*rest, kind)])
+
+    small_batches(docs.sparkSession)
     # Ids reach pandas without nulls, which would turn them into floats.
     known = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"),
                         F.col("doc_id").isNull().alias("no_id"), "text", "kind")

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperweave.llm.anchor_simhash import star_edges
-from paperweave.llm.common import meet_in_blocks, table
+from paperweave.llm.common import meet_in_blocks, small_batches, table
 from paperweave.operators.components import connected_components
 from paperweave.session import Rounds
 
 PIVOTS = 1024
-NEAREST = 10
+NEAREST = 8
 MIN_SHARED = 2
 SAMPLE = 4096
 MAX_PIVOT_COSINE = 0.7
@@ -136,16 +136,19 @@ def near_vectors(
     other columns are ignored.
     """
     spark = embeddings.sparkSession
+    small_batches(spark)
     rounds = Rounds(spark, "pivots")
-    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    narrow = embeddings.schema["embedding"].dataType.elementType.simpleString() == "float"
+    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(
         F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False)
     )
     key = F.struct(F.xxhash64("label", "embedding").alias("a"), F.xxhash64("embedding", "label", F.lit(1)).alias("b"))
     rows = rows.withColumn("key", F.when(usable, key))
-    # Scaled by the largest value, so neither norms nor products leave the range of doubles.
-    scaled = F.transform("embedding", lambda x: x / F.array_max(F.transform("embedding", F.abs)))
+    # Doubles are scaled by the largest value, so neither norms nor products leave their range; floats cannot.
+    scaled = F.col("embedding") if narrow else F.transform(
+        "embedding", lambda x: x / F.array_max(F.transform("embedding", F.abs)))
     distinct = rounds.cut(
         rows.where(F.col("key").isNotNull()).groupBy("key").agg(
             F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"),

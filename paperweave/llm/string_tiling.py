@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import table
+from paperweave.llm.common import small_batches, table
 from paperweave.session import Rounds
 
 SEED_TOKENS = 5
@@ -81,6 +81,7 @@ def document_seeds(docs: DataFrame, bits: np.ndarray, length: int = SEED_TOKENS)
     A row of its own for every such run of whole texts. The filter only saves
     rows: a false hit finds no partner in the join that follows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

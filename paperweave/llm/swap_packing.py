@@ -6,7 +6,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paperweave.llm.common import table
+from paperweave.llm.common import small_batches, table
 from paperweave.session import Rounds
 
 CAPACITY = 4096
 END_ID = 1
 CHUNK_PIECES = 20_000
 FULL = 0.995
-WORD_CACHE = 1_000_000
+WORD_CACHE = 400_000
+BYTES_AT_ONCE = 12_000_000
 WORDS_AT_ONCE = 20_000
 WORD_END = "</w>"
 PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$#&*]{0,3})")
@@ -60,40 +60,57 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.letters) + len(new) > WORD_CACHE:
-            self.letters.clear()
+    def _learned(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new plain words, many in one call."""
+        out = {}
         for lo in range(0, len(new), WORDS_AT_ONCE):
             part = new[lo:lo + WORDS_AT_ONCE]
             ids = self._bytes([" ".join(part)])[0]
             cuts = ((np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4).tolist()
             if len(cuts) == len(part):
-                self.letters.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts], cuts))))
+                out.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts], cuts))))
             else:
-                self.letters.update(zip(part, self._bytes(part)))
+                out.update(zip(part, self._bytes(part)))
+        return out
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word."""
-        found = list(map(PLAIN_WORD.fullmatch, words))
-        letters = [m[1].lower() if m else None for m in found]
-        marks = [m[2] if m else None for m in found]
-        seen = set(letters)
-        seen.discard(None)
-        if not self.letters.keys() >= seen:
-            self._learn([c for c in seen if c not in self.letters])
-            if not self.letters.keys() >= seen:  # the memory was cleared
-                self._learn([c for c in seen if c not in self.letters])
-        for mark in set(marks) - {None} - self.marks.keys():
+        letters, marks, odd = [], [], []
+        for word in words:
+            m = PLAIN_WORD.fullmatch(word)
+            if m:
+                letters.append(m[1].lower())
+                marks.append(m[2])
+            else:
+                letters.append(None)
+                marks.append("")
+                odd.append(word)
+        known = self.letters
+        new = {c for c in letters if c is not None and c not in known}
+        if new:
+            fresh = self._learned(list(new))
+            if len(known) + len(fresh) > WORD_CACHE:
+                self.letters = fresh if len(fresh) <= WORD_CACHE else {}
+                known = {c: known[c] for c in letters if c in known} | fresh
+            else:
+                known.update(fresh)
+        for mark in set(marks) - self.marks.keys():
             self.marks[mark] = self._bytes([mark])[0]
-        odd = iter(self._bytes([w for w, c in zip(words, letters) if c is None]))
-        return [next(odd) if c is None else self.letters[c] + self.marks[m] for c, m in zip(letters, marks)]
+        others = iter(self._bytes(odd))
+        return [next(others) if c is None else known[c] + self.marks[m] for c, m in zip(letters, marks)]
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty.
-
-        Texts are parted and their distinct words numbered by Arrow, and the
-        ids put together by array indexing.
-        """
+        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            before = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, before + BYTES_AT_ONCE, side="right")))
+            yield from self._encode(texts.slice(start, end - start))
+            start = end
+
+    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Texts are parted and their distinct words numbered by Arrow, and the ids put together by array indexing."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         whole = np.zeros(len(texts), bool)
         for special in self.special:
@@ -116,11 +133,6 @@ class WordEncoder:
             yield flat[first + np.arange(len(first))].tobytes()
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, no_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut at CAPACITY.
 
@@ -128,7 +140,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = WordEncoder(tokenizer)  # its memory of words ends with the task
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -139,6 +151,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                     rows.append((doc_id or 0, doc_id is None, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_pydict(dict(zip(PIECE_SCHEMA.names, zip(*rows) if rows else [()] * 6)), PIECE_SCHEMA)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 

@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import table
+from paperweave.llm.common import small_batches, table
 from paperweave.session import Rounds
 
 MIN_REVISIT_BYTES = 1000
@@ -139,6 +139,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
                     at += len(member)
                 yield pa.RecordBatch.from_pylist(rows, schema=INDEX_SCHEMA)
 
+    small_batches(marked.sparkSession)
     return marked.select(names).mapInArrow(write, INDEX)
 
 

@@ -150,13 +150,21 @@ def test_packing(spark, odd, empty):
     assert swap_packing.pack_documents(empty).collect() == []
 
 
-def test_tokenizer_parts_equal_the_whole():
+def test_tokenizer_parts_equal_the_whole(monkeypatch):
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder = swap_packing.WordEncoder(path)
     texts = ["", " ", "It's  I'll\n\nTHE 12,5%\x1c  x", "a<|endoftext|>b", "é ́ ﬁ İ ẞ ΣΑΣ", "x" * 5_000, "日本語 🙂\r\n\t end"]
     got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(pa.array(texts))]
-    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got == want
+    for cache, at_once in ((0, 1), (3, 40), (5, 10**9)):  # memory smaller than a batch's words
+        monkeypatch.setattr(swap_packing, "WORD_CACHE", cache)
+        monkeypatch.setattr(swap_packing, "BYTES_AT_ONCE", at_once)
+        small = swap_packing.WordEncoder(path)
+        for _ in range(2):
+            assert [np.frombuffer(b, "<u4").tolist() for b in small.encode(pa.array(texts))] == want
+    assert list(encoder.encode(pa.array([], pa.string()))) == []
 
 
 @pytest.mark.parametrize("seed", range(4))
