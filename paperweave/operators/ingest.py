@@ -133,10 +133,14 @@ def cascade_match(batch: DataFrame, existing: DataFrame, keys: Sequence[Sequence
     return out.withColumns({"matched_id": F.coalesce(*found), "match_rank": rank_of}).drop(*found)
 
 
-def _star_edges(rows: DataFrame, keys: Sequence[Sequence[str]], stored: Mapping[str, str]) -> DataFrame:
-    """(source, target) from the first arrival that stores a key value to the later rows that look it up."""
+def _star_edges(rows: DataFrame, keys: Sequence[Sequence[str]], stored: Mapping[str, str], existing: DataFrame) -> DataFrame:
+    """(source, target) from the first arrival that stores a key value to the later rows that look it up.
+
+    Where a key is looked up in another column than its own, a row that finds an
+    existing entity does not also tie that entity to the batch.
+    """
     parts = []
-    for cols in keys:
+    for cols in map(list, keys):
         kept = [stored.get(c, c) for c in cols]
         live = rows.where(F.coalesce(F.col(cols[0]).cast("string"), F.lit("")) != "").select("arrival", *cols)
         head = (
@@ -146,6 +150,9 @@ def _star_edges(rows: DataFrame, keys: Sequence[Sequence[str]], stored: Mapping[
         )
         if kept == cols:
             head = head.where(F.col("n") > 1)
+        else:
+            old = existing.select(*[F.col(k).alias(c) for k, c in zip(kept, cols)]).distinct()
+            live = live.join(old, cols, "left_anti")
         on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}")) for c in cols])
         parts.append(
             live.alias("l").join(head.alias("h"), on).where(F.col("arrival") > F.col("head")).select(
@@ -167,7 +174,7 @@ def assign_entities(existing: DataFrame, batch: DataFrame, id_col: str, keys: Se
     stored = stored or {}
     rows = batch.select("arrival", *dict.fromkeys([*(c for key in keys for c in key), *stored.values()]))
     matched = cascade_match(rows, existing, keys, id_col, stored)
-    groups = connected_components(rows.select(F.col("arrival").alias("id")), _star_edges(rows, keys, stored)).select(
+    groups = connected_components(rows.select(F.col("arrival").alias("id")), _star_edges(rows, keys, stored, existing)).select(
         F.col("id").alias("arrival"), F.col("component_id").alias("root")
     )
     tagged = matched.join(groups, "arrival")

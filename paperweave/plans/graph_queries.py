@@ -304,6 +304,17 @@ def clustering_coefficient(v):
     return graph.clustering_coefficient(nodes, edges).withColumn("clustering", F.round("clustering", 6))
 
 
+@query("clustering_coauthors", USES, """
+    SELECT d.id, coalesce(t.n, 0) AS triangles, CASE WHEN degree >= 2 THEN round(coalesce(t.n, 0) / (degree * (degree - 1) / 2), 6) END AS clustering
+    FROM (SELECT id, count(*) AS degree FROM ways GROUP BY 1) d LEFT JOIN (
+      SELECT id, count(*) AS n FROM (SELECT unnest([a.source, a.target, b.target]) AS id FROM edges a JOIN edges b ON b.source = a.target
+        JOIN edges c ON c.source = a.source AND c.target = b.target) GROUP BY 1) t ON t.id = d.id""", WAYS)
+def clustering_coauthors(v):
+    edges = Rounds(v.spark, "coauthors").cut(edges_of(v))
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return graph.clustering_coefficient(nodes, edges).withColumn("clustering", F.round("clustering", 6))
+
+
 def org_edges(v):
     pairs = pair_counts(v.publication_organization(), "publication_id", "organization_id")
     return pairs.select(F.col("left").alias("source"), F.col("right").alias("target"), F.col("count").alias("weight"))

@@ -41,19 +41,19 @@ def star_sql(key: str, rows: str, ident: str, created: str) -> str:
       JOIN {rows} c ON c.{key} = t.{key} AND c.{ident} <> t.{ident})"""
 
 
-def unsafe_sql(entity: str, place: str, value: str, born: str) -> str:
-    """Pairs whose copy disagrees with the oldest claimant of a place; `born` is (id, created)."""
-    return f"""claims AS (SELECT entity_id, claimant, place, min(value) AS lo, max(value) AS hi,
+def unsafe_sql(entity: str, place: str, value: str, born: str, p: str = "") -> str:
+    """Pairs whose copy disagrees with the oldest claimant of a place; `born` is (id, created), `p` prefixes all names."""
+    return f"""{p}claims AS (SELECT entity_id, claimant, place, min(value) AS lo, max(value) AS hi,
         any_value(ROW(later, created, claimant)) AS age FROM (
           SELECT DISTINCT s.entity_id, s.entity_id AS claimant, 0 AS later, {place} AS place, {value} AS value
-            FROM stars s JOIN links l ON l.{entity} = s.entity_id
+            FROM {p}stars s JOIN links l ON l.{entity} = s.entity_id
           UNION ALL SELECT DISTINCT s.entity_id, s.candidate_entity_id, 1, {place}, {value}
-            FROM stars s JOIN links l ON l.{entity} = s.candidate_entity_id) c
+            FROM {p}stars s JOIN links l ON l.{entity} = s.candidate_entity_id) c
         JOIN ({born}) b ON b.id = c.claimant GROUP BY 1, 2, 3),
-      oldest AS (SELECT entity_id, place, arg_min(claimant, age) AS claimant, arg_min(lo, age) AS lo, arg_min(hi, age) AS hi
-        FROM claims GROUP BY 1, 2),
-      unsafe AS (SELECT DISTINCT c.entity_id, c.claimant AS candidate_entity_id FROM claims c
-        JOIN oldest o ON o.entity_id = c.entity_id AND o.place = c.place
+      {p}oldest AS (SELECT entity_id, place, arg_min(claimant, age) AS claimant, arg_min(lo, age) AS lo, arg_min(hi, age) AS hi
+        FROM {p}claims GROUP BY 1, 2),
+      {p}unsafe AS (SELECT DISTINCT c.entity_id, c.claimant AS candidate_entity_id FROM {p}claims c
+        JOIN {p}oldest o ON o.entity_id = c.entity_id AND o.place = c.place
         WHERE c.claimant <> c.entity_id AND c.claimant <> o.claimant
           AND NOT (c.lo = c.hi AND o.lo = o.hi AND c.lo = o.lo))"""
 
@@ -211,23 +211,40 @@ def merge_links(v):
     return merged_tables(v)["publication_organization"].select("publication_id", "organization_id")
 
 
+SUMMARY = MERGED + ", " + PEOPLE + """,
+    r_stars AS (SELECT * FROM (SELECT min(researcher_id) OVER (PARTITION BY left(orcid, 13)) AS entity_id, researcher_id AS candidate_entity_id
+      FROM people WHERE orcid <> '') WHERE entity_id <> candidate_entity_id),
+    o_stars AS (SELECT * FROM (SELECT min(c_custkey) OVER (PARTITION BY c_custkey % 40) AS entity_id, c_custkey AS candidate_entity_id FROM customer)
+      WHERE entity_id <> candidate_entity_id), """ + unsafe_sql(
+    "researcher_id", "publication_id", "author_position", "SELECT researcher_id AS id, 0 AS created FROM people", "r_")
+
+
 @query("normalization_summary", DOCS + " authorship", f"""
     SELECT (SELECT count(*) FROM docs WHERE {NORMAL.format('title')} IS DISTINCT FROM title) AS normalized_publications,
-      CAST(0 AS BIGINT) AS normalized_researchers, CAST(0 AS BIGINT) AS normalized_organizations,
-      (SELECT count(*) FROM mapping) AS auto_merged_publications, CAST(0 AS BIGINT) AS auto_merged_researchers,
-      CAST(0 AS BIGINT) AS auto_merged_organizations,
+      (SELECT count(*) FROM people WHERE normalized_name IS DISTINCT FROM full_name) AS normalized_researchers,
+      (SELECT count(*) FROM customer) AS normalized_organizations,
+      (SELECT count(*) FROM mapping) AS auto_merged_publications,
+      (SELECT count(*) FROM r_stars) - (SELECT count(*) FROM r_unsafe) AS auto_merged_researchers,
+      (SELECT count(*) FROM o_stars) AS auto_merged_organizations,
       (SELECT count(*) FROM docs WHERE doi IS NULL AND openaire_id IS NULL AND publication_year IS NULL)
-        + (SELECT count(*) FROM docs WHERE doi = 'bad-doi') AS findings_count,
-      (SELECT count(*) FROM stars) AS identifier_findings""", MERGED)
+        + (SELECT count(*) FROM docs WHERE doi = 'bad-doi')
+        + (SELECT count(*) FROM people WHERE normalized_name NOT LIKE '% %')
+        + (SELECT count(*) FROM people WHERE orcid <> '' AND NOT regexp_full_match(orcid, '[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}-[0-9]{{3}}[0-9Xx]')) AS findings_count,
+      (SELECT count(*) FROM stars) + (SELECT count(*) FROM r_stars) + (SELECT count(*) FROM o_stars) AS identifier_findings""", SUMMARY)
 def normalization_summary(v):
-    docs = doc_catalog(v)
-    exact = resolve.exact_duplicates(docs, "doi", "publication_id", authorship=v.authorship()).select(
-        "entity_type", "auto_applied", F.lit(True).alias("by_identifier"))
-    odd = quality.publication_anomalies(docs).select(
+    """Counters of one run over publications, people and organizations."""
+    docs, persons = doc_catalog(v), people(v)
+    orgs = shops(v).withColumn("ror_id", F.concat(F.lit("r"), (F.col("organization_id") % 40).cast("string")))
+    exact = resolve.identifier_duplicates({
+        "publication": docs.drop("openaire_id"), "researcher": persons.withColumn("orcid", F.substring("orcid", 1, 13)), "organization": orgs,
+    }, v.authorship()).select("entity_type", "auto_applied", F.lit(True).alias("by_identifier"))
+    odd = quality.publication_anomalies(docs).unionByName(quality.researcher_anomalies(persons)).select(
         "entity_type", F.lit(False).alias("auto_applied"), F.lit(False).alias("by_identifier"))
-    changed = docs.select(F.col("normalized_title").eqNullSafe(F.col("title")).alias("same")).select(
-        (~F.col("same")).alias("changed"))
-    return quality.run_summary({"publication": changed}, exact.unionByName(odd))
+    differs = lambda df, a, b: df.select((~F.col(a).eqNullSafe(F.col(b))).alias("changed"))
+    return quality.run_summary({
+        "publication": differs(docs, "normalized_title", "title"), "researcher": differs(persons, "normalized_name", "full_name"),
+        "organization": differs(orgs, "normalized_name", "name"),
+    }, exact.unionByName(odd))
 
 
 # mapping of raw records --------------------------------------------------------------------------

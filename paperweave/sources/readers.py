@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,21 +52,28 @@ def malformed_report(rejects: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Records of tar archives whose members are (gzipped) newline-JSON parts.
 
-    The archives' member lists are read once; each member is then one row of work
+    One task per archive lists its members; each member is then one row of work
     that a task streams line by line from its own offset, so the parts of one big
-    archive are read in parallel and none is held in memory. The paths must be
-    readable from the executors (a shared mount).
+    archive are read in parallel and none is held in memory. Paths are URIs of any
+    store that Arrow's file systems reach, or absolute paths of a shared mount.
     """
-    members = []
-    for path in paths:
-        with tarfile.open(path) as tar:
-            members += [(path, m.name, m.offset_data, m.size) for m in tar if m.isfile()]
-    work = spark.createDataFrame(members, "path string, member string, start bigint, size bigint")
+    archives = spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                with _open(path) as raw, tarfile.open(fileobj=raw) as tar:
+                    found = [(path, m.name, m.offset_data, m.size) for m in tar if m.isfile()]
+                yield pd.DataFrame(found, columns=["path", "member", "start", "size"])
+
+    work = archives.repartition(max(len(paths), 1), "path").mapInPandas(
+        members, "path string, member string, start bigint, size bigint"
+    )
 
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                with open(row.path, "rb") as raw:
+                with _open(row.path) as raw:
                     batch = []
                     for number, line in enumerate(_member_lines(raw, row.member, row.start, row.size), start=1):
                         if line.strip():
@@ -75,13 +83,19 @@ def read_archives(spark: SparkSession, paths: list[str], schema: str) -> DataFra
                             batch = []
                     yield pd.DataFrame(batch, columns=["member", "line_number", "line"])
 
-    text = work.repartition(max(len(members), 1), "path", "member").mapInPandas(
+    text = work.repartition("path", "member").mapInPandas(
         lines, "member string, line_number bigint, line string"
     )
     parsed = text.select("member", "line_number", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("member", "line_number", "r.*")
 
 
+def _open(path: str):
+    """A seekable file of a URI or an absolute path."""
+    store, inner = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    return store.open_input_file(inner)
+
+
 def _blocks(raw, start: int, size: int) -> Iterator[bytes]:
     """The bytes of one archive member, a megabyte at a time."""
     raw.seek(start)
