@@ -21,7 +21,7 @@ WAYS = EDGES + """,
     ways AS (SELECT source AS id, target AS other, weight FROM edges
       UNION ALL SELECT target, source, weight FROM edges)"""
 METRICS = WAYS + """,
-    people AS (SELECT DISTINCT researcher_id AS id FROM authorship JOIN researcher USING (researcher_id)),
+    people AS (SELECT DISTINCT researcher_id AS id FROM authorship WHERE researcher_id IS NOT NULL),
     metrics AS (SELECT people.id, count(other) AS degree, CAST(coalesce(sum(weight), 0) AS BIGINT) AS strength
       FROM people LEFT JOIN ways USING (id) GROUP BY 1)"""
 # organizations linked through shared publications: a small, dense graph over the whole table
@@ -79,8 +79,8 @@ def org_lineage(v):
 
 
 def nation_aliases(v):
-    """Alias dictionary made of the nation and region names; each is one code."""
-    orgs = v.organization().where(F.col("organization_type") != "supplier")
+    """Alias dictionary made of the nation names; each is one code."""
+    orgs = v.organization().where(F.col("organization_type") == "nation")
     return orgs.select(
         F.col("organization_id").alias("code"), "name", F.lit(None).cast("string").alias("country_code"),
         F.col("name").alias("alias"),
@@ -90,7 +90,7 @@ def nation_aliases(v):
 
 NORMAL = "trim(regexp_replace(replace(lower(strip_accents({0})), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'))"
 WORDS = f"""words AS (SELECT organization_id AS code, {NORMAL.format('name')} AS alias FROM organization
-      WHERE organization_type <> 'supplier'),
+      WHERE organization_type = 'nation'),
     named AS (SELECT organization_id, {NORMAL.format('name')} AS name FROM organization),
     scored AS (SELECT n.organization_id, n.name, w.code, max(CASE WHEN n.name = w.alias THEN 120
         WHEN contains(n.name, w.alias) THEN 100

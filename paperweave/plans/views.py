@@ -53,6 +53,7 @@ class Views:
         )
 
     def researcher_affiliation(self) -> DataFrame:
+        """A made-up table: people belong to the suppliers of their large first lines, so some have none and some several."""
         return (
             self.table("lineitem")
             .where((F.col("l_linenumber") == 1) & (F.col("l_quantity") > 30))
