@@ -19,6 +19,7 @@ HEADLINE = (
     "country_network", "subject_cooccurrence", "publication_duplicates", "author_positions", "subgraph_ego",
     "relation_counts", "citations_in", "results_by_type_per_org", "access_per_country", "org_paper_pairs",
     "normalize_text", "embedding_plan", "coauthor_nodes", "exact_duplicates", "source_record_dedupe",
+    "knn_lsh",
 )
 
 
