@@ -181,11 +181,9 @@ def merged_tables(v):
     found = resolve.exact_duplicates(docs, "doi", "publication_id", authorship=v.authorship())
     mapping = rounds.cut(found.where("auto_applied").select(
         F.col("candidate_entity_id").alias("loser"), F.col("entity_id").alias("survivor")))
-    ids = docs.select("publication_id")
     return resolve.merge_entities({
         "publication": docs,
-        "publication_author": v.authorship().join(ids, "publication_id", "left_semi"),
-        "publication_organization": v.publication_organization().join(ids, "publication_id", "left_semi"),
+        "publication_author": v.authorship(), "publication_organization": v.publication_organization(),
     }, mapping, resolve.PUBLICATION_MERGE)
 
 
@@ -205,8 +203,7 @@ def merge_entities(v):
 
 @query("merge_links", DOCS + " authorship publication_organization", """
     SELECT DISTINCT coalesce(survivor, publication_id) AS publication_id, organization_id
-    FROM publication_organization LEFT JOIN mapping ON loser = publication_id
-    WHERE publication_id IN (SELECT publication_id FROM docs)""", MERGED)
+    FROM publication_organization LEFT JOIN mapping ON loser = publication_id""", MERGED)
 def merge_links(v):
     return merged_tables(v)["publication_organization"].select("publication_id", "organization_id")
 
