@@ -23,7 +23,7 @@ from paperweave.llm.common import fold_of, small_batches, table
 from paperweave.session import Rounds
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 RANGE_TOKENS = 1 << 20
 ASKS, TUNES, FITS = 0, 1, 2
 STEP = 8
