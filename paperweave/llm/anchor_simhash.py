@@ -18,9 +18,9 @@ from paperweave.session import Rounds
 
 SEED = 42
 THRESHOLD = 4
-BLOCK = 30_000
-BUNDLE = 16
-BATCH_TOKENS = 1_000_000
+BLOCK = 16_384
+BUNDLE = 4
+BATCH_TOKENS = 250_000
 COMPARE_AT_ONCE = 2_000_000
 
 # Two perfect codes: (bits, covering radius, syndrome bits). Golay's generator polynomial, as bits.
