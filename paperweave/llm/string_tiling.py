@@ -20,20 +20,19 @@ MIN_COVERAGE = 0.5
 FILTER_BITS = 22
 TOKEN = re.compile(r"\w+")
 BASE = 0x9E3779B97F4A7C15 | 1
-TOKEN_CACHE = 500_000
-_known: dict[str, int] = {}
+TOKEN_CACHE = 200_000
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """64-bit hash of each lower-cased word."""
+def token_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
+    """64-bit hash of each lower-cased word; `known` remembers words within a task."""
     words = TOKEN.findall((text or "").lower())
-    if len(_known) > TOKEN_CACHE:
-        _known.clear()
+    if len(known) > TOKEN_CACHE:
+        known.clear()
     out = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
-        h = _known.get(w)
+        h = known.get(w)
         if h is None:
-            h = _known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         out[i] = h
     return out
 
@@ -54,9 +53,10 @@ def benchmark_seeds(benchmark: DataFrame, length: int = SEED_TOKENS) -> DataFram
     """(item_id, item_tokens, at, seed): every run of `length` tokens of every item."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {}
         for batch in batches:
             for item, text in zip(batch["item_id"], batch["text"]):
-                tokens = token_hashes(text)
+                tokens = token_hashes(text, known)
                 seeds = rolling(tokens, length).view(np.int64)
                 yield pd.DataFrame({"item_id": item, "item_tokens": len(tokens), "at": np.arange(len(seeds)), "seed": seeds})
 
@@ -86,11 +86,11 @@ def document_seeds(docs: DataFrame, bits: np.ndarray, length: int = SEED_TOKENS)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         listed = np.unpackbits(shared.value).astype(bool)
-        low = np.uint64((1 << FILTER_BITS) - 1)
+        low, known = np.uint64((1 << FILTER_BITS) - 1), {}
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                seeds = rolling(token_hashes(text), length)
+                seeds = rolling(token_hashes(text, known), length)
                 at = np.flatnonzero(listed[(seeds & low).astype(np.int64)])
                 if len(at):
                     out.append(pd.DataFrame({"doc_id": doc, "place": at, "seed": seeds[at].view(np.int64)}))

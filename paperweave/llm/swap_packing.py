@@ -150,6 +150,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                     part = ids[at:at + CAPACITY * 4]
                     rows.append((doc_id or 0, doc_id is None, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_pydict(dict(zip(PIECE_SCHEMA.names, zip(*rows) if rows else [()] * 6)), PIECE_SCHEMA)
+            pa.default_memory_pool().release_unused()  # the worker lives on, beside others
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
