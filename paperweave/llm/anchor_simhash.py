@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -47,16 +47,21 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
 
 
 def simhash(texts: Sequence[str | None], words: int, seed: int) -> np.ndarray:
-    """64-bit fingerprints: a bit is 1 where over half the shingle hashes have it; 0 without words.
+    """64-bit fingerprints: a bit is 1 where over half the shingle hashes have it; 0 without words."""
+    return majority((np.array(shingle_hashes(t, words, seed), np.uint64) for t in texts), len(texts))
+
+
+def majority(hashes: Iterable[np.ndarray], count: int) -> np.ndarray:
+    """For each of `count` arrays of hashes the bits that over half of them have.
 
     Bits are counted through the eight bytes of a hash: one histogram of byte
     values per text and place, times the bits of each value.
     """
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(count, np.uint64)
 
-    def settle(at: int, group: list[list[int]]) -> None:
+    def settle(at: int, group: list[np.ndarray]) -> None:
         n = np.array([len(g) for g in group])
-        flat = np.fromiter((h for g in group for h in g), np.uint64, int(n.sum()))
+        flat = np.concatenate(group)
         owner = np.repeat(np.arange(len(group)), n) * 256
         places = flat.astype(">u8").view(np.uint8).reshape(-1, 8)
         result = np.zeros((len(group), 8), np.uint8)
@@ -66,9 +71,9 @@ def simhash(texts: Sequence[str | None], words: int, seed: int) -> np.ndarray:
         out[at:at + len(group)] = result.reshape(-1).view(">u8")
 
     held, size, start = [], 0, 0
-    for i, text in enumerate(texts):
-        held.append(shingle_hashes(text, words, seed))
-        size += len(held[-1])
+    for i, own in enumerate(hashes):
+        held.append(own)
+        size += len(own)
         if size >= BATCH_TOKENS or len(held) >= 2_000:
             settle(start, held)
             held, size, start = [], 0, i + 1
@@ -196,14 +201,14 @@ def star_edges(links: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.nda
     return root
 
 
-def _linked(of: int, fps: np.ndarray, home: np.ndarray, half: np.ndarray, threshold: int, most: float):
+def _linked(of: int, fps: np.ndarray, home: np.ndarray, half: np.ndarray, reach: int, most: float):
     """Links between the members at home and all members of one block, in chunks."""
     own = np.ascontiguousarray(fps[:, of])
     across = half.min() != half.max()
     homes = np.flatnonzero(home)
     for lo in range(0, len(homes), max(1, COMPARE_AT_ONCE // len(own))):
         rows = homes[lo:lo + max(1, COMPARE_AT_ONCE // len(own))]
-        close = np.bitwise_count(own[rows, None] ^ own[None, :]) <= threshold
+        close = np.bitwise_count(own[rows, None] ^ own[None, :]) <= reach
         if across:
             close &= half[rows, None] != half[None, :]
         a, b = np.nonzero(close)
@@ -214,7 +219,7 @@ def _linked(of: int, fps: np.ndarray, home: np.ndarray, half: np.ndarray, thresh
         yield a[keep], b[keep]
 
 
-def _compare(threshold: int, count: int, most: float):
+def _compare(reach: int, count: int, most: float):
     def compare(members: pd.DataFrame) -> pd.DataFrame:
         """Links of a bundle of blocks as a star per local component; pairs never leave the task."""
         members = members.sort_values(["cell", "block"], kind="stable")
@@ -225,7 +230,7 @@ def _compare(threshold: int, count: int, most: float):
         source, target = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if hi - lo > 1:
-                links = _linked(int(cell[lo] & 7), fps[lo:hi], home[lo:hi], half[lo:hi], threshold, most)
+                links = _linked(int(cell[lo] & 7), fps[lo:hi], home[lo:hi], half[lo:hi], reach, most)
                 root = star_edges(links, hi - lo)
                 off = np.flatnonzero(root != np.arange(hi - lo))
                 source.append(nodes[lo:hi][off])
@@ -236,24 +241,28 @@ def _compare(threshold: int, count: int, most: float):
     return compare
 
 
-def most_bits(similarity: float, bits: int) -> float:
-    """Differing bits of two texts of that Jaccard similarity, plus one standard error of the estimate.
+def most_bits(similarity: float, bits: int, errors: float = 1) -> float:
+    """Differing bits of two texts of that Jaccard similarity, plus so many standard errors of the estimate.
 
     A bit of two SimHashes differs with the angle between the shingle vectors
-    over pi; the cosine of sets of like size is 2 J / (1 + J).
+    over pi; the cosine of sets of like size is 2 J / (1 + J), that of others more.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return bits * share + math.sqrt(bits * share * (1 - share))
+    return bits * share + errors * math.sqrt(bits * share * (1 - share))
 
 
 def link_fingerprints(
-    nodes: DataFrame, count: int, threshold: int, parts: Sequence = GOLAY_PARTS, similarity: float | None = None
+    nodes: DataFrame, count: int, threshold: int, parts: Sequence = GOLAY_PARTS, similarity: float | None = None,
+    reach: int | None = None, errors: float = 1,
 ) -> DataFrame:
     """(id, component_id) of nodes (node, fps: `count` fingerprints each).
 
     Nodes link if, under one of the seeds, their fingerprints differ in at most
     `threshold` bits; with `similarity`, all their bits together must also
-    speak for a Jaccard similarity of that much.
+    speak for a Jaccard similarity of that much, within `errors` standard errors.
+    With `reach`, all that meet at an anchor and differ in at most that many
+    bits of its fingerprint link: within `threshold` all pairs meet, beyond it
+    those that are as close as a part's share in any one part.
 
     Anchors are the words of a covering code in each part of a fingerprint.
     A fingerprint goes to every anchor within the code's covering radius plus
@@ -266,12 +275,12 @@ def link_fingerprints(
     columns = ", ".join(f"f{k} long" for k in range(count))
     placed = nodes.mapInPandas(_place(threshold, parts), f"cell long, node long, home boolean, {columns}")
     placed = meet_in_blocks(placed.withColumn("mixed", F.xxhash64("node")), ["cell"], "mixed", rounds, BLOCK)
-    most = 64 * count if similarity is None else most_bits(similarity, 64 * count)
+    most = 64 * count if similarity is None else most_bits(similarity, 64 * count, errors)
     # Small blocks share a task call; a crowded anchor's blocks are spread.
     bundle = F.when(F.col("parts") > 1, F.xxhash64("cell", "block")).otherwise(F.floor(F.col("cell") / (64 * BUNDLE)))
     edges = (
         placed.withColumn("bundle", bundle).drop("mixed", "parts").groupBy("bundle")
-        .applyInPandas(_compare(threshold, count, most), "source long, target long")
+        .applyInPandas(_compare(threshold if reach is None else reach, count, most), "source long, target long")
     )
     return connected_components(nodes.select(F.col("node").alias("id")), rounds.cut(edges.distinct()))
 
@@ -303,14 +312,139 @@ def near_duplicates(
     )
 
 
+def shingle_set(text: str | None, words: int, seed: int = SEED) -> tuple[bytes, np.ndarray]:
+    """(digest, sorted hashes) of the distinct shingles of a text."""
+    own = np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+    return xxhash.xxh3_128_digest(own.tobytes()), own
+
+
+def _sketches(text: Column, words: int) -> Column:
+    """Digest of the shingle set and its fingerprints, one per seed of the stage."""
+
+    @F.pandas_udf("digest binary, fps array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t if isinstance(t, str) else None for t in batch]
+            digests, each = [], []
+            for seed in STAGE_SEEDS:
+                def sets(seed: int = seed) -> Iterator[np.ndarray]:
+                    for t in texts:
+                        digest, own = shingle_set(t, words, seed)
+                        if seed == STAGE_SEEDS[0]:
+                            digests.append(digest)
+                        yield own
+
+                each.append(majority(sets(), len(texts)).view(np.int64))
+            yield pd.DataFrame({"digest": digests, "fps": list(np.stack(each, axis=1))})
+
+    return run(text)
+
+
+def _shingle_sets(text: Column, words: int) -> Column:
+    """The shingle set itself, with its digest."""
+
+    @F.pandas_udf("digest binary, hashes array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [shingle_set(t if isinstance(t, str) else None, words, STAGE_SEEDS[0]) for t in batch]
+            yield pd.DataFrame({"digest": [d for d, _ in pairs], "hashes": [own.view(np.int64) for _, own in pairs]})
+
+    return run(text)
+
+
+def jaccard_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Smallest reachable index of each set, over links of exact Jaccard similarity `similarity` or more."""
+    n = np.array([len(s) for s in sets])
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    each, owner = np.split(place, np.cumsum(n)[:-1]), np.repeat(np.arange(len(sets)), n)
+    root, alone = np.arange(len(sets)), np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        waiting = [first] if alone[first] else []
+        alone[waiting] = False
+        while waiting:
+            at = waiting.pop()
+            marked = np.zeros(len(names), bool)
+            marked[each[at]] = True
+            common = np.bincount(owner[marked[place]], minlength=len(sets))
+            close = np.flatnonzero(alone & (common / np.maximum(n + n[at] - common, 1) >= similarity))
+            root[close], alone[close] = first, False
+            waiting += close.tolist()
+            if len(close):
+                left = alone[owner]
+                place, owner = place[left], owner[left]
+    return root
+
+
+def _verify(similarity: float):
+    def verify(members: pd.DataFrame) -> pd.DataFrame:
+        """Exact links of a bundle of blocks as a star per local component."""
+        members = members.sort_values(["component_id", "block"], kind="stable")
+        cell, block, nodes = (members[c].to_numpy() for c in ("component_id", "block", "node"))
+        sets = [np.asarray(h, np.int64) for h in members["hashes"]]
+        cuts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]), [True])))
+        out = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            root = jaccard_roots(sets[lo:hi], similarity)
+            off = np.flatnonzero(root != np.arange(hi - lo))
+            out.append(np.stack([nodes[lo:hi][off], nodes[lo:hi][root[off]]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["source", "target"])
+
+    return verify
+
+
+def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id) per row of (doc_id, text): groups linked by exact Jaccard similarity of shingle sets.
+
+    SimHashes of the sets only choose candidates: rows that meet at an anchor and
+    whose bits lie within STAGE_ERRORS standard errors of `similarity` or closer.
+    Members of a group of candidates are then compared by their whole sets, known
+    by 64-bit hashes, and only pairs of `similarity` or more link. Copies are one
+    node from the start, as their sets have one digest. A large group of
+    candidates is cut into blocks that meet two by two.
+    """
+    small_batches(docs.sparkSession)
+    rounds = Rounds(docs.sparkSession, "similar")
+    marked = rounds.cut(docs.select("doc_id", _sketches(F.col("text"), words).alias("of")).select("doc_id", "of.*"))
+    nodes = rounds.cut(
+        marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    near = link_fingerprints(
+        nodes.select("node", "fps"), len(STAGE_SEEDS), STAGE_THRESHOLD, HAMMING_PARTS, similarity, STAGE_REACH, STAGE_ERRORS
+    ).withColumnRenamed("id", "node")
+    crowds = near.groupBy("component_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("component_id")
+    members = rounds.cut(near.join(crowds, "component_id").join(nodes.drop("fps"), "node"))
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(members.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").unionAll(
+        texts.where(F.col("doc_id").isNull()))
+    # other rows may share the doc_id that stands for a node, hence the join by digest
+    sets = rounds.cut(
+        texts.select(_shingle_sets(F.col("text"), words).alias("of")).select("of.*").join(members, "digest")
+        .groupBy("node", "component_id").agg(F.first("hashes").alias("hashes"))
+    )
+    placed = meet_in_blocks(
+        sets.withColumn("mixed", F.xxhash64("node")), ["component_id"], "mixed", rounds, BLOCK_SHINGLES, F.size("hashes"))
+    bundle = F.when(F.col("parts") > 1, F.xxhash64("component_id", "block")).otherwise(
+        F.floor(F.col("component_id") / BUNDLE_NODES))
+    edges = (
+        placed.select("component_id", "block", "node", "hashes", bundle.alias("bundle")).groupBy("bundle")
+        .applyInPandas(_verify(similarity), "source long, target long")
+    )
+    linked = connected_components(members.select(F.col("node").alias("id")), rounds.cut(edges.distinct()))
+    first = nodes.select("node", "digest", "least").join(linked.withColumnRenamed("id", "node"), "node", "left").withColumn(
+        "component_id", F.coalesce("component_id", "node"))
+    lowest = first.groupBy("component_id").agg(F.min("least").alias("lowest"))
+    ids = rounds.cut(first.join(lowest, "component_id").select("digest", F.col("lowest").alias("component_id")))
+    return marked.join(ids, "digest").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; columns as they are.
 
-    Groups are linked over four fingerprints of `words`-word shingles: within
-    STAGE_THRESHOLD bits under one seed, and alike by all 256 bits. Rows without
-    doc_id stay, as nothing can name them; of rows with one doc_id one stays.
+    Groups are those of `similar_groups`. Rows without doc_id stay, as nothing
+    can name them; of rows with one doc_id one stays.
     """
-    found = near_duplicates(docs, words, STAGE_THRESHOLD, STAGE_SEEDS, HAMMING_PARTS, similarity)
+    found = similar_groups(docs, words, similarity)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
     named = docs.select("doc_id", F.struct("*").alias("row")).join(kept, "doc_id")
     single = named.where(F.col("copies") == 1).select("row.*")
@@ -320,6 +454,10 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
 
 STAGE_THRESHOLD = 7
 STAGE_SEEDS = (42, 43, 44, 45)
+STAGE_REACH = 20
+STAGE_ERRORS = 4
+BLOCK_SHINGLES = 500_000
+BUNDLE_NODES = 512
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

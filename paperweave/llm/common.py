@@ -30,7 +30,7 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def meet_in_blocks(members: DataFrame, cell: Sequence[str], spread: str, rounds: Rounds, size: int) -> DataFrame:
+def meet_in_blocks(members: DataFrame, cell: Sequence[str], spread: str, rounds: Rounds, size: int, weight: Column | None = None) -> DataFrame:
     """Copies of the members such that every two members of a cell share a block.
 
     Adds `block`, the pair of halves that meet there, `half`, this row's own
@@ -38,9 +38,10 @@ def meet_in_blocks(members: DataFrame, cell: Sequence[str], spread: str, rounds:
     by `spread` (a column of well mixed integers) into parts of about `size`
     that meet two by two, so no task ever holds more than two parts, whatever
     share of all rows one cell has. Only cells beyond `size` enter the join.
+    With `weight`, sizes are sums of it instead of numbers of members.
     """
     hot = (
-        members.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > size)
+        members.groupBy(*cell).agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).where(F.col("n") > size)
         .select(*cell, F.ceil(F.col("n") / size).cast("int").alias("parts"))
     )
     hot, seen = rounds.measure(hot, rows=F.count("*"))
