@@ -67,22 +67,47 @@ def _edges(sample: pd.DataFrame) -> pd.DataFrame:
 
 
 class Parser:
-    """Dense automata over one shared alphabet; counts the phrases a text needs in each language."""
+    """Automata over one shared alphabet; counts the phrases a text needs in each language.
+
+    The alphabet holds every letter of every automaton. Steps by its commonest
+    letters, the first COLUMNS codes, stand in dense tables; steps by the others
+    are sorted keys of state and code. Only letters that no automaton knows are OTHER.
+    """
 
     def __init__(self, edges: pd.DataFrame):
         self.langs = sorted(edges["lang"].unique())
         common = [c for c, _ in sorted(Counter(edges["symbol"]).items(), key=lambda x: (-x[1], x[0])) if c != " "]
-        self.letters = common[: COLUMNS - 3]
+        self.letters = common
+        self.kind = next(t for t in (np.uint8, np.uint16, np.int32) if len(common) + 3 <= np.iinfo(t).max)
         code = {c: i + 3 for i, c in enumerate(self.letters)} | {" ": GAP}
-        self.tables = []
+        self.tables, self.rare = [], []
         for lang in self.langs:
             own = edges[edges["lang"] == lang]
             n = int(own["target"].max()) + 1
             step = np.full((n, COLUMNS), -1, np.int32)
-            codes = own["symbol"].map(code)
-            known = codes.notna().to_numpy()
-            step[own["state"].to_numpy()[known], codes[known].to_numpy(int)] = own["target"].to_numpy()[known]
+            state, codes, target = own["state"].to_numpy(np.int64), own["symbol"].map(code).to_numpy(np.int64), own["target"].to_numpy(np.int32)
+            dense = codes < COLUMNS
+            step[state[dense], codes[dense]] = target[dense]
             self.tables.append(self._counted(step).ravel())
+            self.rare.append(self._sparse(state[~dense], codes[~dense], target[~dense]))
+
+    def _sparse(self, state: np.ndarray, codes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, next states, next state from the root per code) of steps by letters beyond the dense tables."""
+        root = np.full(max(0, len(self.letters) + 3 - COLUMNS), 1 << COUNT_SHIFT, np.int32)
+        root[codes[state == 0] - COLUMNS] = target[state == 0]
+        keys = state * (len(self.letters) + 3) + codes
+        order = np.argsort(keys)
+        return keys[order], target[order], root
+
+    def _rare_step(self, k: int, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next states, with the phrases that end on the way, as in the dense tables."""
+        keys, target, root = self.rare[k]
+        out = root[codes - COLUMNS] + np.where(state > 0, np.int32(1 << COUNT_SHIFT), np.int32(0))
+        if len(keys):
+            key = state.astype(np.int64) * (len(self.letters) + 3) + codes
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out = np.where(keys[at] == key, target[at], out)
+        return out
 
     @staticmethod
     def _counted(step: np.ndarray) -> np.ndarray:
@@ -98,7 +123,7 @@ class Parser:
 
     def _codes(self) -> np.ndarray:
         """Code of every Unicode code point; anything but a letter is a gap."""
-        lut = np.full(0x110000, GAP, np.uint8)
+        lut = np.full(0x110000, GAP, self.kind)
         lut[[i for i in range(0x110000) if chr(i).isalpha()]] = OTHER
         for i, c in enumerate(self.letters):
             lut[ord(c)] = i + 3
@@ -119,19 +144,25 @@ class Parser:
         chunks = -(-size // CHUNK)
         owner = np.repeat(np.arange(len(parts)), chunks)
         first = np.concatenate(([0], np.cumsum(chunks)))[:-1]
-        grid = np.zeros((int(chunks.sum()), CHUNK + 1), np.uint8)
+        grid = np.zeros((int(chunks.sum()), CHUNK + 1), self.kind)
         for p, at, n in zip(parts, first, chunks):
             for k in range(n):
                 piece = p[k * CHUNK:(k + 1) * CHUNK]
                 grid[at + k, : len(piece)] = piece
         grid = np.ascontiguousarray(grid.T)
+        rare = [()] * len(grid)
+        if len(self.letters) + 3 > COLUMNS:
+            rare = [(at, row[at].astype(np.int64)) if len(at := np.flatnonzero(row >= COLUMNS)) else () for row in grid]
+            grid[grid >= COLUMNS] = OTHER
         found = np.zeros((len(parts), len(self.langs)))
         mask = (1 << COUNT_SHIFT) - 1
         for k, moves in enumerate(self.tables):
             state = np.zeros(grid.shape[1], np.int32)
             count = np.zeros(grid.shape[1], np.int32)
-            for symbols in grid:
-                state = moves[(state << 6) + symbols]
+            for symbols, others in zip(grid, rare):
+                before, state = state, moves[(state << 6) + symbols]
+                if others:
+                    state[others[0]] = self._rare_step(k, before[others[0]], others[1])
                 count += state >> COUNT_SHIFT
                 state &= mask
             found[:, k] = np.bincount(owner, weights=count, minlength=len(parts))
