@@ -190,16 +190,20 @@ def fit(docs: DataFrame) -> Parser:
 
     Fitted on a bounded sample: of each language the SAMPLE_DOCS documents whose
     ids hash lowest, CHARS_PER_DOC symbols of each, so a model's size does not
-    grow with the collection. Automata are built in tasks, one per language;
+    grow with the collection. Rows that repeat a doc_id are one document with
+    the least of their texts. Automata are built in tasks, one per language;
     only their transitions (two per sampled symbol or so) come to the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = (
-        known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= SAMPLE_DOCS).dropDuplicates(["doc_id", "lang"])
+        known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= SAMPLE_DOCS)
+    )
+    sample = (
+        known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
+        .groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))
     )
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
     edges = sample.groupBy("lang").applyInPandas(_edges, "lang string, state long, symbol string, target long")
     return Parser(edges.toPandas())
 

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paperweave.llm import cross_parse
@@ -72,3 +73,13 @@ def test_letters_no_language_knows_cost_a_phrase_each():
     parser, _ = learned({"a1": language(0x4E00, 700, 300, 1), "en": language(0x61, 26, 200, 4)})
     said = parser.judge(["абвгд" * 5])
     assert said["phrase_length"][0] == 1
+
+
+def test_repeats_of_a_document_leave_room_for_others(spark):
+    """A document on hundreds of rows is one of the sample, whatever its id hashes to."""
+    source = language(0x61, 26, 200, 4)
+    docs = spark.createDataFrame([(i, source(40), "en") for i in range(60)], "doc_id long, text string, lang string")
+    lowest = docs.orderBy(F.xxhash64("doc_id"), "doc_id").first()
+    repeats = spark.createDataFrame([tuple(lowest)] * 300, docs.schema)
+    one, many = cross_parse.fit(docs), cross_parse.fit(docs.unionAll(repeats))
+    assert many.letters == one.letters and all((a == b).all() for a, b in zip(one.tables, many.tables, strict=True))
