@@ -20,6 +20,7 @@ from paperweave.session import Rounds
 BLOCK_ROWS = 4_096
 SCORE_DIGITS = 9
 LSH_TABLES = 8
+LSH_TABLES_PER_ROOT = 3
 LSH_BITS = 32
 
 
@@ -116,14 +117,27 @@ def _global_rank(df: DataFrame, by: str, order: list[str], rounds: Rounds) -> Da
     ).drop("part", "lies", "first", "start")
 
 
-def _lsh_hits(vectors: DataFrame, m: int, threshold: float, block_rows: int, tables: int) -> DataFrame:
+def _lsh_tables(rows: int, block_rows: int) -> int:
+    """Tables that keep the recall of `_lsh_hits` as rows grow.
+
+    A window is a smaller share of a longer order, and the chance that two
+    neighbours share one falls with about the root of the number of blocks.
+    """
+    blocks = math.ceil(rows / block_rows)
+    return 1 if blocks <= 2 else max(LSH_TABLES, math.ceil(LSH_TABLES_PER_ROOT * math.sqrt(blocks)))
+
+
+def _lsh_hits(vectors: DataFrame, m: int, threshold: float, block_rows: int, tables: int | None) -> DataFrame:
     """Best m targets of each vector among its neighbours in several hash orders.
 
     Each table signs the vectors with hyperplanes and ranks them by the signature
     over all partitions; a vector meets all rows less than `block_rows` ranks away,
-    in windows that overlap their successors. Work is linear in the rows whatever
-    their distribution, and the result does not depend on how they are partitioned.
+    in windows that overlap their successors. Work is linear in the rows of a table
+    whatever their distribution, and the result does not depend on how they are
+    partitioned. Without `tables`, their number grows with the root of the blocks.
     """
+    if tables is None:
+        tables = _lsh_tables(vectors.count(), block_rows)
     kind = vectors.schema["id"].dataType
     arrow = pa.int64() if isinstance(kind, T.LongType) else pa.string()
     id_type = kind.simpleString()
@@ -164,7 +178,7 @@ def _lsh_hits(vectors: DataFrame, m: int, threshold: float, block_rows: int, tab
 
 def knn(vectors: DataFrame, k: int = 5, threshold: float | None = 0.75, candidate_limit: int | str | None = "auto",
         method: str = "exact", selected: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
-        tables: int = LSH_TABLES) -> DataFrame:
+        tables: int | None = None) -> DataFrame:
     """(source, target, score, rank): up to k nearest vectors by cosine, at or above the threshold.
 
     The nearest `candidate_limit` points of the whole collection, the vector
@@ -172,7 +186,8 @@ def knn(vectors: DataFrame, k: int = 5, threshold: float | None = 0.75, candidat
     itself and unselected points are dropped and the first k kept, so a narrow
     selection can leave fewer than k. `selected` is a frame of ids. Scores carry
     nine decimals; equal scores rank by id. Rows without a vector have no
-    neighbours; vectors of different lengths are an error.
+    neighbours; vectors of different lengths are an error. `tables` is the number
+    of hash orders of method "lsh"; by default as many as the size asks for.
     """
     vectors = vectors.where(F.col("embedding").isNotNull())
     if candidate_limit == "auto":

@@ -75,6 +75,35 @@ def knn_recall(v):
     return both.agg(F.count("*").alias("exact_edges"), F.count("found").alias("found_edges"))
 
 
+# the operator's own block and number of tables, for the SQL of any size
+WIDE = f"""(SELECT CASE WHEN blocks <= 2 THEN 1 ELSE greatest({semantic.LSH_TABLES}, ceil({semantic.LSH_TABLES_PER_ROOT} * sqrt(blocks))::BIGINT) END
+      FROM (SELECT ceil(count(*) / {semantic.BLOCK_ROWS}) AS blocks FROM vectors))"""
+WIDE_LSH = (LSH.replace(f"range({LSH_TABLES}) a(t)", f"range({WIDE}) a(t)").replace(f"// {LSH_BLOCK}", f"// {semantic.BLOCK_ROWS}")
+            .replace(f">= {LSH_BLOCK}", f">= {semantic.BLOCK_ROWS}"))
+
+
+def knn_wide(v):
+    return semantic.knn(v.vectors(), K, THRESHOLD, method="lsh")
+
+
+@query("knn_lsh_wide", "vectors", "SELECT source, target, round(score, 6) AS score, rank FROM knn",
+       WIDE_LSH + "," + KNN.split("CROSS JOIN vectors b),", 1)[1])
+def knn_lsh_wide(v):
+    return knn_wide(v).withColumn("score", F.round("score", 6))
+
+
+@query("knn_recall_wide", "vectors", f"""
+    SELECT (SELECT count(*) FROM exact) AS exact_edges, count(*) AS found_edges FROM exact SEMI JOIN approx USING (source, target)""",
+       WIDE_LSH.replace("hits AS", "met_hits AS") + ", " + KNN.split("CROSS JOIN vectors b),", 1)[1].split("pairs AS")[0].rstrip().rstrip(",")
+       .replace("FROM hits", "FROM met_hits").replace("near AS", "near_some AS").replace("FROM near ", "FROM near_some ").replace("knn AS", "approx AS")
+       + ", " + KNN.split("pairs AS")[0].rstrip().rstrip(",").replace("knn AS", "exact AS"))
+def knn_recall_wide(v):
+    """`knn_recall` of the operator's own block and number of tables."""
+    both = knn(v).select("source", "target").join(
+        knn_wide(v).select("source", "target", F.lit(True).alias("found")), ["source", "target"], "left")
+    return both.agg(F.count("*").alias("exact_edges"), F.count("found").alias("found_edges"))
+
+
 @query("semantic_edges", "vectors", f"SELECT {EDGE_COLS} FROM pairs", KNN)
 def semantic_edges(v):
     return shown(semantic.symmetrize(knn(v)))
