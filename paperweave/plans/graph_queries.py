@@ -347,10 +347,19 @@ def betweenness(v):
 CENTER = 17
 
 
-@query("ego_network", USES, f"""
-    SELECT source, target, weight FROM edges
-    WHERE (source = {CENTER} OR source IN (SELECT other FROM ways WHERE id = {CENTER}))
-      AND (target = {CENTER} OR target IN (SELECT other FROM ways WHERE id = {CENTER}))""", WAYS)
+# from the node's own publications outwards, each step once, so that no plan needs all edges of the graph
+AROUND = f"""members AS MATERIALIZED (SELECT DISTINCT publication_id, researcher_id FROM authorship),
+    around AS MATERIALIZED (SELECT r.researcher_id AS id, count(*) AS weight FROM members r
+      SEMI JOIN (SELECT publication_id FROM members WHERE researcher_id = {CENTER}) own ON r.publication_id = own.publication_id
+      WHERE r.researcher_id <> {CENTER} GROUP BY 1)"""
+INSIDE = """inside AS MATERIALIZED (SELECT m.publication_id, m.researcher_id FROM members m SEMI JOIN chosen ON m.researcher_id = chosen.id)"""
+INSIDE_EDGES = """SELECT l.researcher_id AS source, r.researcher_id AS target, count(*) AS weight
+    FROM inside l JOIN inside r ON l.publication_id = r.publication_id AND l.researcher_id < r.researcher_id GROUP BY 1, 2"""
+
+
+@query("ego_network", "authorship", INSIDE_EDGES, AROUND + f""",
+    chosen AS MATERIALIZED (SELECT CAST({CENTER} AS BIGINT) AS id UNION ALL SELECT id FROM around),
+    """ + INSIDE)
 def ego_network(v):
     return graph.ego_edges(v.authorship(), v.publication(), CENTER).select("source", "target", "weight")
 
@@ -447,16 +456,10 @@ def subgraph_summary(v):
     return subgraph.subgraph(nodes, edges, min_edge_weight=2, max_nodes=500)[2]
 
 
-EGO = EDGES + f""",
-    near AS (SELECT CASE WHEN source = {CENTER} THEN target ELSE source END AS id FROM edges
-      WHERE source = {CENTER} OR target = {CENTER}
-      ORDER BY weight DESC, shared_publication_count DESC, target DESC, source DESC LIMIT 49),
-    chosen AS (SELECT {CENTER} AS id UNION SELECT id FROM near)"""
-
-
-@query("subgraph_ego", USES, """
-    SELECT source, target, weight FROM edges
-    WHERE source IN (SELECT id FROM chosen) AND target IN (SELECT id FROM chosen)""", EGO)
+@query("subgraph_ego", "authorship", INSIDE_EDGES, AROUND + f""",
+    best AS (SELECT id FROM around ORDER BY weight DESC, greatest(id, {CENTER}) DESC, least(id, {CENTER}) DESC LIMIT 49),
+    chosen AS MATERIALIZED (SELECT CAST({CENTER} AS BIGINT) AS id UNION ALL SELECT id FROM best),
+    """ + INSIDE)
 def subgraph_ego(v):
     nodes = people_of(v).withColumns({"component_id": F.lit(0), "community_id": F.lit(0)})
     edges = graph.ego_edges(v.authorship(), v.publication(), CENTER)
