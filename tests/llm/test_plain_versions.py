@@ -16,6 +16,7 @@ import corpus_pipeline
 import oracle
 from paperweave.llm import anchor_simhash as sim
 from paperweave.llm.registered import QUERIES
+from test_exact_links import brute
 
 SF_DIR = f"{oracle.ROOT}/sf0.001"
 LARGER = f"{oracle.ROOT}/sf0.01"
@@ -201,11 +202,8 @@ def test_pipeline(spark, docs):
         keep = [x for x in d.text.split("\n") if len(sites[x.strip(" \t\r")]) < 10 or first[x.strip(" \t\r")] == i]
         assert cleaned[i].text == "\n".join(keep)
 
-    ids = sorted(cleaned)
-    each = np.stack([sim.simhash([cleaned[i].text for i in ids], 5, s) for s in sim.STAGE_SEEDS], axis=1)
-    most = sim.most_bits(0.8, 256)
-    want = groups(ids, lambda i, j: (lambda d: d.min() <= sim.STAGE_THRESHOLD and d.sum() <= most)(np.bitwise_count(each[i] ^ each[j])))
-    assert set(single) == {i for i in ids if want[i] == i}
+    want, _ = brute({i: d.text for i, d in cleaned.items()})
+    assert set(single) == {i for i in want if want[i] == i}
 
     leaked = {r.doc_id for r in QUERIES["op1_string_tiling"](spark, sf_dir).collect()}
     assert set(single) - set(fair) <= leaked and all(fair[i] == single[i] for i in fair)
