@@ -8,6 +8,7 @@ from paperweave.llm import (
     cross_parse,
     deleted_lm,
     line_spread,
+    merkle_manifest,
     pivot_index,
     string_tiling,
     swap_packing,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_deleted_lm": deleted_lm.query,
     "op9_cross_parse": cross_parse.query,
     "op10_line_spread": line_spread.query,
+    "op12_merkle_manifest": merkle_manifest.query,
 }
 ORACLE = {
     "op3_url_rules": url_rules.SQL,
     "op6_warc_index": warc_index.SQL,
     "op10_line_spread": line_spread.SQL,
+    "op12_merkle_manifest": merkle_manifest.SQL,
 }
