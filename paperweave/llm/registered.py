@@ -12,6 +12,7 @@ from paperweave.llm import (
     pivot_index,
     string_tiling,
     swap_packing,
+    token_files,
     url_rules,
     warc_index,
 )
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_cross_parse": cross_parse.query,
     "op10_line_spread": line_spread.query,
     "op12_merkle_manifest": merkle_manifest.query,
+    "op13_token_files": token_files.query,
 }
 ORACLE = {
     "op3_url_rules": url_rules.SQL,
