@@ -10,6 +10,7 @@ from paperweave.llm import (
     line_spread,
     merkle_manifest,
     pivot_index,
+    spelling_variants,
     string_tiling,
     swap_packing,
     token_files,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_deleted_lm": deleted_lm.query,
     "op9_cross_parse": cross_parse.query,
     "op10_line_spread": line_spread.query,
+    "op11_spelling_variants": spelling_variants.query,
     "op12_merkle_manifest": merkle_manifest.query,
     "op13_token_files": token_files.query,
 }
@@ -35,5 +37,6 @@ ORACLE = {
     "op3_url_rules": url_rules.SQL,
     "op6_warc_index": warc_index.SQL,
     "op10_line_spread": line_spread.SQL,
+    "op11_spelling_variants": spelling_variants.SQL,
     "op12_merkle_manifest": merkle_manifest.SQL,
 }
