@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import ASCII_LOWER, ASCII_UPPER, meet_in_blocks, table
+from paperweave.llm.common import ASCII_LOWER, ASCII_UPPER, meet_in_blocks, small_batches, table
 from paperweave.llm.merkle_manifest import CRC_TABLE, crc32_sql
 from paperweave.session import Rounds
 
@@ -21,25 +23,57 @@ RATIO = 2
 BLOCK = 8_192
 OUT_ROWS = 50_000
 ONE_IN = 97
-BREAK = "[^A-Za-zÀ-ÿ]+"
+LETTERS = "A-Za-zÀ-ÿ"
+BREAK = re.compile(f"[^{LETTERS}]")
+PIECE_CHARS = 1_000_000
 FOUND = pa.schema([("word", pa.string()), ("near", pa.int64()), ("best_n", pa.int64()), ("best", pa.string())])
 
 
-def runs_of(text: Column) -> Column:
-    """Maximal runs of letters, A-Z lower-cased; the array may hold empty strings."""
-    return F.split(F.translate(text, ASCII_UPPER, ASCII_LOWER), BREAK, -1)
+def misspelled(run: str, h: int) -> str:
+    """The run, without one of its code points where ONE_IN divides the checksum."""
+    return run if h % ONE_IN else run[:h % len(run)] + run[h % len(run) + 1:]
 
 
-def misspelled(doc_id: Column, run: Column) -> Column:
-    """The run, without one of its code points where 97 divides the checksum of `<doc_id>:<run>`."""
-    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
-    at = (h % F.char_length(run)).cast("int")
-    return F.when(h % ONE_IN == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))).otherwise(run)
+def pieces_of(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
+    """The text in pieces of about `size` characters, none cut within a run of letters."""
+    start = 0
+    while len(text) - start > size:
+        cut = BREAK.search(text, start + size)
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
+def words_of(docs: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(word, n): numbers of occurrences of the runs of letters, each task's added up per batch of texts.
+
+    A-Z are lower-cased, runs of fewer than `min_letters` letters left out, and
+    one in ONE_IN (by the crc32 of `<doc_id>:<run>`) lacks a letter, which may
+    leave it shorter than that. Null and empty texts have none; a null doc_id is
+    written as nothing. Repeated rows count each. Other columns are ignored.
+    """
+    run = re.compile(f"[{LETTERS}]{{{min_letters},}}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: Counter[str] = Counter()
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                own: Counter[str] = Counter()
+                for piece in pieces_of((text.as_py() or "").encode().lower().decode()):  # bytes: A-Z only
+                    own.update(run.findall(piece))
+                start = zlib.crc32(f"{'' if doc_id.as_py() is None else doc_id.as_py()}:".encode())
+                for word, n in own.items():
+                    words[misspelled(word, zlib.crc32(word.encode(), start))] += n
+            yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(count, "word string, n long")
 
 
 def vocabulary(words: DataFrame, min_letters: int = MIN_LETTERS, min_count: int = MIN_COUNT) -> DataFrame:
-    """(word, n): how often each word of at least `min_letters` code points occurs, from `min_count` on."""
-    return words.where(F.char_length("word") >= min_letters).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    """(word, n): the words of at least `min_letters` code points that occur at least `min_count` times."""
+    return words.where(F.char_length("word") >= min_letters).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
 class PositionIndex:
@@ -198,16 +232,6 @@ def group_variants(words: DataFrame, ratio: int = RATIO, block: int = BLOCK) ->
     return rows
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """(word): every run of at least MIN_LETTERS letters as it occurs, one in ONE_IN with a letter left out.
-
-    Null and empty texts have none; a null doc_id is written as nothing. Repeated
-    rows count each. Other columns are ignored.
-    """
-    runs = docs.select("doc_id", F.explode(runs_of(F.col("text"))).alias("run")).where(F.char_length("run") >= MIN_LETTERS)
-    return runs.select(misspelled(F.col("doc_id"), F.col("run")).alias("word"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(vocabulary(words_of(table(spark, sf_dir, "documents"))))
 
