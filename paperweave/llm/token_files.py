@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from paperweave.llm.common import small_batches, table
 from paperweave.session import checkpoint_root
@@ -24,13 +24,13 @@ END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-PIECES = 300_000
-BYTES_AT_ONCE = 12_000_000
+PIECES = 400_000
+BYTES_AT_ONCE = 4_000_000
 PIECES_AT_ONCE = 20_000
-SPACE = "Ġ"
+WHITE = ("Ġ", "Ċ")
 LARGE = pa.large_string()
-PLAIN = re.compile("([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]{1,3})")
-ODD = "  | \n|\n |\n\n|[ \n]$|[\\t\\x0b\\f\\r\\x1c-\\x1f]|[\\x{0085}\\x{00a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{200b}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+PLAIN = "^(?P<head>\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,!?;:]{1,3})$"
+ODD = "^$|^[ \n]|  | \n|\n |\n\n|[ \n]$|[\\t\\x0b\\f\\r\\x1c-\\x1f]|[\\x{0085}\\x{00a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{200b}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 LIST = pa.list_(pa.field("element", pa.int32()))
 CODED = pa.schema([("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids", LIST)])
 TOKENS = "doc_id long, local long, n_tokens long, ids array<int>"
@@ -40,7 +40,8 @@ class PieceEncoder:
     """Ids of whole texts from a byte-level tokenizer that parts them before blanks, as the usual pattern does.
 
     A blank or line feed between two other characters always begins a piece, so
-    a text's ids are those of its pieces in order, and each piece is encoded
+    a text's ids are those of its pieces in order, and those of a piece of letters
+    and marks are its letters' and its marks'. Each run of letters is encoded
     once by the tokenizer and kept, in bounded memory. Texts that hold other or
     repeated white space, and those that hold a special token, are encoded as a
     whole. A tokenizer of another kind is refused.
@@ -48,50 +49,54 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        kind = json.loads(self.tokenizer.to_str())
-        parts = kind["pre_tokenizer"] or {}
-        if parts.get("type") != "ByteLevel" or parts["add_prefix_space"] or not parts["use_regex"] or kind["normalizer"]:
+        parts = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer or not isinstance(parts, ByteLevel) or parts.add_prefix_space or not parts.use_regex:
             raise ValueError(f"{path}: not a byte-level tokenizer without normalization")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.known: list[bytes] = []
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that begin with their only blank, many in one call."""
-        out = []
-        for lo in range(0, len(pieces), PIECES_AT_ONCE):
-            part = pieces[lo:lo + PIECES_AT_ONCE]
-            ids = self.whole(["".join(part)])[0]
-            cuts = (np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")]) * 4).tolist()
-            out += map(ids.__getitem__, map(slice, cuts, [*cuts[1:], len(ids)])) if len(cuts) == len(part) else self.whole(part)
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Pieces of letters and marks are two: the marks are few, the letters shared."""
-        parts = [m.groups() if (m := PLAIN.fullmatch(piece)) else (piece, "") for piece in new]
-        number = self.number
-        heads = list({h for h, _ in parts} - number.keys())
-        spaced = [h for h in heads if h.startswith(" ")]
-        others = [h for h in heads if not h.startswith(" ")] + list({m for _, m in parts if m} - number.keys())
-        for piece, ids in zip(spaced + others, self._spaced(spaced) + self.whole(others)):
-            number[piece] = len(self.known)
-            self.known.append(ids)
-        for piece, (head, mark) in zip(new, parts):
-            if mark:
-                number[piece] = len(self.known)
-                self.known.append(self.known[number[head]] + self.known[number[mark]])
-
-    def encode(self, texts: pa.Array) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(WHITE)]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _forget(self, but: list[str]) -> None:
+        """Keep only these pieces. Piece 0 is nothing; piece k has the ids from `at[k]`, `size[k]` of them."""
+        kept = [p for p in but if p in self.number and p]
+        own = np.fromiter(map(self.number.__getitem__, kept), np.int64, len(kept))
+        size = self.size[own]
+        ids = self.flat[np.repeat(self.at[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self._clear()
+        self._keep(kept, [ids], size)
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, pieces: list[str], ids: list[np.ndarray], size: np.ndarray) -> None:
+        """Number the pieces; `ids` are theirs one after the other, `size` how many each has."""
+        self.number.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pieces, new ones encoded many in one call and parted where a token begins with white space."""
+        new = [p for p in pieces if p not in self.number]
+        for lo in range(0, len(new), PIECES_AT_ONCE):
+            part = new[lo:lo + PIECES_AT_ONCE]
+            ids = self.whole(["".join(part)])
+            cuts = np.flatnonzero(self.opens[ids[0]])
+            if len(cuts) == len(part):
+                self._keep(part, ids, np.diff(np.append(cuts, len(ids[0]))))
+            else:  # marks, which begin with themselves
+                ids = self.whole(part)
+                self._keep(part, ids, np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null is empty."""
         total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < len(texts):
@@ -100,63 +105,57 @@ class PieceEncoder:
             yield from self._encode(texts.slice(start, end - start))
             start = end
 
-    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
+    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Texts are parted and their distinct pieces numbered by Arrow, and the ids put together by array indexing."""
         texts = pc.fill_null(texts, "").cast(LARGE)
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        odd |= pc.equal(texts, "").to_numpy(zero_copy_only=False) | pc.starts_with(texts, " ").to_numpy(zero_copy_only=False)
-        odd |= pc.starts_with(texts, "\n").to_numpy(zero_copy_only=False)
         for special in self.special:
             odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         # a piece is what begins with a blank or, behind a line feed, with that; the first one begins as if behind one
         plain = pc.replace_substring(pc.if_else(pa.array(odd), pa.scalar("", LARGE), texts), "\n", " \n")
         parted = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(" \n", LARGE), plain, pa.scalar("", LARGE)), " ")
         coded = parted.flatten().dictionary_encode()
-        pieces = [p if p[:1] == "\n" else " " + p for p in coded.dictionary.to_pylist()]
-        new = [p for p in pieces if p not in self.number]
-        if new:
-            if len(self.number) + len(new) > PIECES:
-                self._forget()
-                new = pieces
-            self._learn(new)
-        own = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        ids = [self.known[k] for k in own.tolist()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        at = np.cumsum(size) - size
-        number = coded.indices.to_numpy(zero_copy_only=False)
-        ends = np.concatenate(([0], np.cumsum(size[number])))
-        offsets = parted.offsets.to_numpy() - parted.offsets[0].as_py()
-        for k, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
-            if odd[k]:
-                yield self.whole([texts[k].as_py()])[0]
-                continue
-            lo += 1  # the empty piece before the first mark, and below the line feed that was put there
-            mine = number[lo:hi]
-            first = np.repeat(at[mine] - (ends[lo:hi] - ends[lo]), size[mine])
-            yield flat[first + np.arange(len(first))][1:].tobytes()
+        found = pc.extract_regex(coded.dictionary, PLAIN)
+        heads = pc.coalesce(pc.struct_field(found, "head"), coded.dictionary).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(found, "mark"), "").dictionary_encode()
+        names = [("" if p in ("", "\n") else p if p[0] == "\n" else " " + p) for p in heads.dictionary.to_pylist()]
+        if len(self.number) + len(names) > PIECES:
+            self._forget(names)
+        number = self.numbers(names)[heads.indices.to_numpy()], self.numbers(marks.dictionary.to_pylist())[marks.indices.to_numpy()]
+        pairs = np.stack(number, axis=1)[coded.indices.to_numpy()].ravel()  # letters and marks of each piece in turn
+        size = self.size[pairs]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.at[pairs] - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[2 * (parted.offsets.to_numpy() - parted.offsets[0].as_py())]
+        for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            yield self.whole([texts[k].as_py()])[0] if odd[k] else ids[lo + 1:hi]  # the first id is the line feed put there
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> PieceEncoder:
+    """One while a Python worker lives, so its next tasks know the commonest pieces already."""
+    return PieceEncoder(path)
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, local, n_tokens, ids) in order of doc_id over all partitions; `local` counts the ids before, within a partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, local = PieceEncoder(tokenizer), 0  # its memory of pieces ends with the task
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, local = encoder_of(tokenizer), 0
+        end = np.array([end_id], np.uint32)
         for batch in batches:
-            rows, held, starts, ids = batch.column("doc_id"), 0, [local], []
+            rows, starts, ids = batch.column("doc_id"), [local], []
             for k, own in enumerate(encoder.encode(batch.column("text"))):
-                ids.append(own + end)
-                held += len(own) + 4
-                starts.append(starts[-1] + len(own) // 4 + 1)
-                if held >= BYTES_AT_ONCE or k + 1 == len(rows):
+                ids += (own, end)
+                starts.append(starts[-1] + len(own) + 1)
+                if 4 * (starts[-1] - starts[0]) >= BYTES_AT_ONCE or k + 1 == len(rows):
                     n = np.diff(starts)
-                    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                    column = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), flat)
+                    column = pa.ListArray.from_arrays(
+                        np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
                         [rows.slice(k + 1 - len(n), len(n)), pa.array(np.array(starts[:-1])), pa.array(n), column.cast(LIST)],
                         schema=CODED)
-                    held, starts, ids = 0, starts[-1:], []
+                    starts, ids = starts[-1:], []
             local = starts[-1]
             pa.default_memory_pool().release_unused()  # the worker lives on, beside others
 
