@@ -32,6 +32,14 @@ TABLES = {
     "source_record": "record_id string, ingestion_run_id string, entity_type string, source_identifier string, "
                      "raw_payload string, checksum string",
 }
+TABLE_KEYS = {
+    "publication": ["publication_id"], "organization": ["organization_id"], "researcher": ["researcher_id"],
+    "publication_author": ["publication_id", "researcher_id"],
+    "publication_organization": ["publication_id", "organization_id", "relation_type"],
+    "researcher_affiliation": ["researcher_id", "organization_id"],
+    "external_identifier": ["identifier_type", "identifier_value"],
+    "source_record": ["record_id"],
+}
 RECORD_KEY = ["ingestion_run_id", "entity_type", "source_identifier"]
 KINDS = {"datasources": "datasource", "organizations": "organization", "publications": "publication",
          "projects": "project", "relations": "relation"}
@@ -85,7 +93,7 @@ def stage_counts(inputs: Mapping[str, DataFrame], tables: Mapping[str, DataFrame
 
 
 def run_load(spark: SparkSession, inputs: Mapping[str, DataFrame], tables: Mapping[str, DataFrame] | None = None,
-             rule: str = "solo", run: str = "load", aliases: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+             rule: str = "solo", run: str = "load", aliases: DataFrame | None = None, waiting: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(canonical tables, row-count change per table) after loading raw inputs.
 
     `inputs` holds raw `datasources`, `organizations`, `publications`, `projects`
@@ -94,7 +102,8 @@ def run_load(spark: SparkSession, inputs: Mapping[str, DataFrame], tables: Mappi
     publication record are matched or created and linked to it, told apart with
     the alias dictionary. `rule` decides affiliations: "solo" (single-author
     publications with an affiliation relation) or "single_org" (publications with
-    one organization). Every stage is written once, so later stages read tables
+    one organization). `waiting` are mapped relations of earlier loads that are
+    tried again; they leave no source records. Every stage is written once, so later stages read tables
     instead of replaying earlier ones.
     """
     rounds = Rounds(spark, "load")
@@ -146,11 +155,13 @@ def run_load(spark: SparkSession, inputs: Mapping[str, DataFrame], tables: Mappi
                 _new_links(out["publication_organization"], links, ["publication_id", "organization_id", "relation_type"]))
             records.append(embedded_records(known, run))
 
-    if "relations" in inputs or "publications" in inputs:
+    if waiting is not None or "relations" in inputs or "publications" in inputs:
         resolved = None
-        if "relations" in inputs:
+        mapped = [ingest.map_relations(inputs["relations"]).drop("arrival")] if "relations" in inputs else []
+        mapped += [waiting] if waiting is not None else []
+        if mapped:
             resolved = rounds.cut(ingest.resolve_relations(
-                ingest.map_relations(inputs["relations"]), out["organization"], out["publication"]))
+                reduce(DataFrame.unionByName, mapped), out["organization"], out["publication"]))
             links = ingest.publication_org_links(resolved)
             out["publication_organization"] = rounds.cut(
                 _new_links(out["publication_organization"], links, ["publication_id", "organization_id", "relation_type"]))

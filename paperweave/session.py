@@ -52,6 +52,18 @@ def _root_of(spark: SparkSession, configured: str, application: str) -> str:
     return re.sub("^file:/+", "file:///", where.toString())
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder and what is in it; nothing happens where there is none."""
+    fs, where = _filesystem(spark, path)
+    fs.delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    fs, where = _filesystem(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """This application's folder for round tables, below a place that driver and executors share.
 
@@ -104,5 +116,4 @@ class Rounds:
         """Delete the files of an earlier round that no later frame reads."""
         path = getattr(df, "_round_path", "")
         if path.startswith(self.base):
-            fs, where = _filesystem(self.spark, path)
-            fs.delete(where, True)
+            delete_path(self.spark, path)
