@@ -284,10 +284,19 @@ def graph_version(v):
 @query("top_nodes", MEASURED_USES, """
     SELECT id, label, degree, strength FROM nodes ORDER BY degree DESC, strength DESC, label DESC, id DESC LIMIT 10""", MEASURED)
 def top_nodes(v):
+    return catalog.top_nodes(labelled(v), "degree").select("id", "label", "degree", "strength")
+
+
+@query("top_nodes_strength", MEASURED_USES, """
+    SELECT id, label, degree, strength FROM nodes ORDER BY strength DESC, degree DESC, label DESC, id DESC LIMIT 10""", MEASURED)
+def top_nodes_strength(v):
+    return catalog.top_nodes(labelled(v), "strength").select("id", "label", "degree", "strength")
+
+
+def labelled(v):
     people = people_of(v).join(
         v.researcher().select(F.col("researcher_id").alias("id"), F.col("full_name").alias("label")), "id")
-    nodes = people.join(graph.degree_strength(people, edges_of(v)), "id")
-    return catalog.top_nodes(nodes, "degree").select("id", "label", "degree", "strength")
+    return people.join(graph.degree_strength(people, edges_of(v)), "id")
 
 
 @query("clustering_coefficient", "publication_organization", """

@@ -42,24 +42,29 @@ def knn_edges_directed(v):
     return knn(v).withColumn("score", F.round("score", 6))
 
 
-LSH_BLOCK, LSH_TABLES = 64, 4
+# as many hash orders as the operator takes for this number of vectors
+TABLES = f"""(SELECT CASE WHEN blocks <= 2 THEN 1 ELSE greatest({semantic.LSH_TABLES}, ceil({semantic.LSH_TABLES_PER_ROOT} * sqrt(blocks))::BIGINT) END
+      FROM (SELECT ceil(count(*) / {semantic.BLOCK_ROWS}) AS blocks FROM vectors))"""
 LSH = f"""planes AS MATERIALIZED (SELECT t, bit, list(CASE WHEN md5(t || ':' || bit || ':' || d)[1] >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS plane
-      FROM range({LSH_TABLES}) a(t), range({semantic.LSH_BITS}) b(bit), range((SELECT len(any_value(embedding)) FROM vectors)) c(d) GROUP BY 1, 2),
+      FROM range({TABLES}) a(t), range({semantic.LSH_BITS}) b(bit), range((SELECT len(any_value(embedding)) FROM vectors)) c(d) GROUP BY 1, 2),
     unit AS MATERIALIZED (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM vectors),
     ranked AS MATERIALIZED (SELECT t, id, CAST(row_number() OVER (PARTITION BY t ORDER BY signature, id) - 1 AS BIGINT) AS place FROM (
       SELECT t, id, sum(CASE WHEN list_dot_product(e, plane) > 0 THEN 1::BIGINT << bit::INT ELSE 0 END)::BIGINT AS signature
       FROM unit CROSS JOIN planes GROUP BY 1, 2)),
-    spans AS (SELECT t, id, place // {LSH_BLOCK} AS w FROM ranked UNION ALL SELECT t, id, place // {LSH_BLOCK} - 1 FROM ranked WHERE place >= {LSH_BLOCK}),
+    spans AS (SELECT t, id, place // {semantic.BLOCK_ROWS} AS w FROM ranked UNION ALL SELECT t, id, place // {semantic.BLOCK_ROWS} - 1 FROM ranked WHERE place >= {semantic.BLOCK_ROWS}),
     met AS (SELECT DISTINCT a.id AS source, b.id AS target FROM spans a JOIN spans b ON a.t = b.t AND a.w = b.w),
     hits AS MATERIALIZED (SELECT source, target, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS raw
       FROM met JOIN unit a ON a.id = source JOIN unit b ON b.id = target)"""
 
 
+def knn_near(v):
+    return semantic.knn(v.vectors(), K, THRESHOLD, method="lsh")
+
+
 @query("knn_lsh", "vectors", "SELECT source, target, round(score, 6) AS score, rank FROM knn",
        LSH + "," + KNN.split("CROSS JOIN vectors b),", 1)[1])
 def knn_lsh(v):
-    return semantic.knn(v.vectors(), K, THRESHOLD, method="lsh", block_rows=LSH_BLOCK, tables=LSH_TABLES).withColumn(
-        "score", F.round("score", 6))
+    return knn_near(v).withColumn("score", F.round("score", 6))
 
 
 @query("knn_recall", "vectors", f"""
@@ -69,38 +74,8 @@ def knn_lsh(v):
        + ", " + KNN.split("pairs AS")[0].rstrip().rstrip(",").replace("knn AS", "exact AS"))
 def knn_recall(v):
     """How many edges of the exact neighbour graph the approximate one has."""
-    exact = knn(v).select("source", "target")
-    near = semantic.knn(v.vectors(), K, THRESHOLD, method="lsh", block_rows=LSH_BLOCK, tables=LSH_TABLES)
-    both = exact.join(near.select("source", "target", F.lit(True).alias("found")), ["source", "target"], "left")
-    return both.agg(F.count("*").alias("exact_edges"), F.count("found").alias("found_edges"))
-
-
-# the operator's own block and number of tables, for the SQL of any size
-WIDE = f"""(SELECT CASE WHEN blocks <= 2 THEN 1 ELSE greatest({semantic.LSH_TABLES}, ceil({semantic.LSH_TABLES_PER_ROOT} * sqrt(blocks))::BIGINT) END
-      FROM (SELECT ceil(count(*) / {semantic.BLOCK_ROWS}) AS blocks FROM vectors))"""
-WIDE_LSH = (LSH.replace(f"range({LSH_TABLES}) a(t)", f"range({WIDE}) a(t)").replace(f"// {LSH_BLOCK}", f"// {semantic.BLOCK_ROWS}")
-            .replace(f">= {LSH_BLOCK}", f">= {semantic.BLOCK_ROWS}"))
-
-
-def knn_wide(v):
-    return semantic.knn(v.vectors(), K, THRESHOLD, method="lsh")
-
-
-@query("knn_lsh_wide", "vectors", "SELECT source, target, round(score, 6) AS score, rank FROM knn",
-       WIDE_LSH + "," + KNN.split("CROSS JOIN vectors b),", 1)[1])
-def knn_lsh_wide(v):
-    return knn_wide(v).withColumn("score", F.round("score", 6))
-
-
-@query("knn_recall_wide", "vectors", f"""
-    SELECT (SELECT count(*) FROM exact) AS exact_edges, count(*) AS found_edges FROM exact SEMI JOIN approx USING (source, target)""",
-       WIDE_LSH.replace("hits AS", "met_hits AS") + ", " + KNN.split("CROSS JOIN vectors b),", 1)[1].split("pairs AS")[0].rstrip().rstrip(",")
-       .replace("FROM hits", "FROM met_hits").replace("near AS", "near_some AS").replace("FROM near ", "FROM near_some ").replace("knn AS", "approx AS")
-       + ", " + KNN.split("pairs AS")[0].rstrip().rstrip(",").replace("knn AS", "exact AS"))
-def knn_recall_wide(v):
-    """`knn_recall` of the operator's own block and number of tables."""
     both = knn(v).select("source", "target").join(
-        knn_wide(v).select("source", "target", F.lit(True).alias("found")), ["source", "target"], "left")
+        knn_near(v).select("source", "target", F.lit(True).alias("found")), ["source", "target"], "left")
     return both.agg(F.count("*").alias("exact_edges"), F.count("found").alias("found_edges"))
 
 

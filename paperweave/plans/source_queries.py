@@ -11,7 +11,7 @@ from paperweave.plans.catalog_queries import DOC_CATALOG, PEOPLE, doc_catalog, p
 from paperweave.plans.registry import query
 from paperweave.plans.resolve_queries import LINKS, shops
 from paperweave.plans.semantic_queries import TEXT_USES, TEXTS, texts
-from paperweave.session import checkpoint_root
+from paperweave.session import Rounds, checkpoint_root
 from paperweave.sources import builds, readers
 
 DUMP = "id string, title string, venue string"
@@ -21,12 +21,12 @@ def folder(v, name):
     return f"{checkpoint_root(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def dump_lines(v):
+def dump_lines(v, papers=None):
     """Documents as lines of a JSON dump; every thirteenth is cut short."""
     line = F.to_json(F.struct(
         F.concat(F.lit("d"), F.col("publication_id").cast("string")).alias("id"), "title", F.col("venue_name").alias("venue")))
     broken = F.col("publication_id") % 13 == 0
-    return v.document_publication().select(F.when(broken, F.substring(line, 1, 9)).otherwise(line).alias("value"))
+    return (papers or v.document_publication()).select(F.when(broken, F.substring(line, 1, 9)).otherwise(line).alias("value"))
 
 
 @query("read_entities", "document_publication", """
@@ -48,6 +48,22 @@ def malformed_report(v):
     return readers.malformed_report(rejects).select("bad_lines", "sample")
 
 
+@query("malformed_lines", "document_publication", """
+    SELECT place AS line_number, left('{"id":"d' || publication_id || '"', 9) AS line
+    FROM (SELECT *, row_number() OVER (ORDER BY publication_id) AS place FROM document_publication) WHERE publication_id % 13 = 0""")
+def malformed_lines(v):
+    """Bad lines of one file in the order of the documents, which Spark reads in blocks of 64 KB."""
+    path, key = folder(v, "dump"), "spark.sql.files.maxPartitionBytes"
+    dump_lines(v, v.document_publication().coalesce(1).sortWithinPartitions("publication_id")).write.text(path)
+    before = v.spark.conf.get(key)
+    v.spark.conf.set(key, str(1 << 16))
+    try:
+        lines = readers.malformed_lines(v.spark, path, DUMP).select("line_number", "line")
+        return Rounds(v.spark, "lines").cut(lines)
+    finally:
+        v.spark.conf.set(key, before)
+
+
 @query("limit_per_input", "publication researcher", """
     SELECT 'publication' AS input, least(count(*), 700) AS row_count FROM publication
     UNION ALL SELECT 'researcher', least(count(*), 700) FROM researcher""")

@@ -12,12 +12,16 @@ PARTS = ("nodes", "edges", "summary")
 
 def write_build(nodes: DataFrame, edges: DataFrame, summary: DataFrame, path: str, build_id: str,
                 as_json: bool = False) -> None:
-    """Write one build as three partitioned tables (and, on request, as JSON lines)."""
+    """Write one build as three partitioned tables (and, on request, as JSON lines).
+
+    A build that is written again replaces its own partitions and no others, so a
+    failed writing can be repeated; the summary comes last, and without it there
+    is no build to load.
+    """
     for name, df in zip(PARTS, (nodes, edges, summary), strict=True):
         tagged = df.withColumn("build_id", F.lit(build_id))
-        tagged.write.mode("append").partitionBy("build_id").parquet(f"{path}/{name}")
-        if as_json:
-            tagged.write.mode("append").partitionBy("build_id").json(f"{path}/{name}_json")
+        for kind, folder in (("json", f"{path}/{name}_json"), ("parquet", f"{path}/{name}"))[0 if as_json else 1:]:
+            tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("build_id").format(kind).save(folder)
 
 
 def load_active_build(spark: SparkSession, registry: DataFrame, path: str, graph_type: str) -> tuple[DataFrame, ...]:

@@ -9,7 +9,7 @@ from functools import reduce
 
 import pandas as pd
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperweave.operators.grouping import top_k_per_key
@@ -45,18 +45,49 @@ def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def malformed_report(rejects: DataFrame) -> DataFrame:
-    """(source_file, bad_lines, sample) per file with rejected lines."""
-    return rejects.groupBy("source_file").agg(F.count("*").alias("bad_lines"), F.min("line").alias("sample"))
+    """(source_file, bad_lines, sample) per file with rejected lines; of numbered ones the first is the sample, with its `first_line`."""
+    per_file = rejects.groupBy("source_file")
+    if "line_number" not in rejects.columns:
+        return per_file.agg(F.count("*").alias("bad_lines"), F.min("line").alias("sample"))
+    return per_file.agg(F.count("*").alias("bad_lines"), F.min("line_number").alias("first_line"), F.min_by("line", "line_number").alias("sample"))
 
 
-def read_archives(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source_file, line_number, line) of every line of text files, numbers from 1 in the whole file.
+
+    Files are read in blocks as Spark splits them; a row per block, its number of
+    lines, turns a line's place in the block into its place in the file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"), F.monotonically_increasing_id().alias("place"))
+    blocks = lines.groupBy("source_file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("source_file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return lines.join(starts, ["source_file", "block"]).select(
+        "source_file", (F.col("start") + F.col("place") - F.col("first") + 1).alias("line_number"), "line")
+
+
+def malformed_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """(source_file, line_number, line) of the lines that are not JSON of the schema; blank lines are no records."""
+    read = F.from_json("line", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    bad = (F.trim("line") != "") & read[CORRUPT].isNotNull()
+    return numbered_lines(spark, path).where(bad)
+
+
+def read_archives(spark: SparkSession, paths: list[str], schema: str, mode: str = "FAILFAST") -> DataFrame:
     """Records of tar archives whose members are (gzipped) newline-JSON parts.
 
     One task per archive lists its members; each member is then one row of work
     that a task streams line by line from its own offset, so the parts of one big
     archive are read in parallel and none is held in memory. Paths are URIs of any
     store that Arrow's file systems reach, or absolute paths of a shared mount.
+    FAILFAST stops at the first bad line. QUARANTINE keeps bad lines in a
+    `_corrupt_record` column beside their archive, member and line number, for
+    `split_members`.
     """
+    if mode not in ("FAILFAST", "QUARANTINE"):
+        raise ValueError("mode must be 'FAILFAST' or 'QUARANTINE'")
     archives = spark.createDataFrame([(p,) for p in paths], "path string")
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,6 +101,8 @@ def read_archives(spark: SparkSession, paths: list[str], schema: str) -> DataFra
         members, "path string, member string, start bigint, size bigint"
     )
 
+    errors = "strict" if mode == "FAILFAST" else "replace"
+
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -77,19 +110,29 @@ def read_archives(spark: SparkSession, paths: list[str], schema: str) -> DataFra
                     batch = []
                     for number, line in enumerate(_member_lines(raw, row.member, row.start, row.size), start=1):
                         if line.strip():
-                            batch.append((row.member, number, line.decode("utf-8")))
+                            batch.append((row.path, row.member, number, line.decode("utf-8", errors)))
                         if len(batch) == 10_000:
-                            yield pd.DataFrame(batch, columns=["member", "line_number", "line"])
+                            yield pd.DataFrame(batch, columns=["archive", "member", "line_number", "line"])
                             batch = []
-                    yield pd.DataFrame(batch, columns=["member", "line_number", "line"])
+                    yield pd.DataFrame(batch, columns=["archive", "member", "line_number", "line"])
 
     text = work.repartition("path", "member").mapInPandas(
-        lines, "member string, line_number bigint, line string"
+        lines, "archive string, member string, line_number bigint, line string"
     )
+    if mode == "QUARANTINE":
+        read = F.from_json("line", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        return text.select("archive", "member", "line_number", read.alias("r")).select("archive", "member", "line_number", "r.*")
     parsed = text.select("member", "line_number", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("member", "line_number", "r.*")
 
 
+def split_members(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected lines) of a QUARANTINE read of archives; `source_file` of a rejected line is archive and member."""
+    rejects = df.where(F.col(CORRUPT).isNotNull()).select(
+        F.concat_ws("!", "archive", "member").alias("source_file"), "line_number", F.col(CORRUPT).alias("line"))
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "archive"), rejects
+
+
 def _open(path: str):
     """A seekable file of a URI or an absolute path."""
     store, inner = FileSystem.from_uri(path if "://" in path else f"file://{path}")

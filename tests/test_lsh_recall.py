@@ -21,5 +21,5 @@ def test_recall_in_tables_of_many_blocks(spark, block_rows):
 
 
 def test_recall_of_the_registered_query(spark):
-    got = QUERIES["knn_recall_wide"](spark, f"{oracle.ROOT}/sf0.1").first()
+    got = QUERIES["knn_recall"](spark, f"{oracle.ROOT}/sf0.1").first()
     assert got.exact_edges > 9_000 and got.found_edges >= 0.9 * got.exact_edges
