@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperweave.functions.text import normalize_text
-from paperweave.operators import attribution, catalog, centrality, components, graph, subgraph
+from paperweave.operators import attribution, blocks, catalog, centrality, components, graph, subgraph
 from paperweave.operators.grouping import pair_counts
 from paperweave.plans.registry import query
 from paperweave.session import Rounds
@@ -222,6 +222,12 @@ def communities_lpa(v):
     return components.label_propagation(people_of(v), edges_of(v), LPA_ROUNDS)
 
 
+@query("communities_multilevel", USES)
+def communities_multilevel(v):
+    """Rounds of moves have no SQL; tests hold the partition against planted ones and against label propagation."""
+    return blocks.multilevel_communities(people_of(v), edges_of(v))
+
+
 def measured(v, rounds_of_labels: int = 2):
     """Nodes with degree, strength, component and community; edges of the same graph."""
     table = Rounds(v.spark, "measured")
