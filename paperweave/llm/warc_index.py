@@ -20,6 +20,7 @@ from paperweave.session import Rounds
 MIN_REVISIT_BYTES = 1000
 GAP = 64 * 1024
 READ = 4 * 1024 * 1024
+TASK_BYTES = 16 * 1024 * 1024
 LEVEL = 3
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,6 +49,11 @@ def _one_line(value: str) -> str:
     return (value or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
+def _from_line(value: str) -> str:
+    """The value that `_one_line` wrote."""
+    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
 def _record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
@@ -166,11 +172,13 @@ def coalesced(rows: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, int,
 def read_records(selected: DataFrame, folder: str) -> DataFrame:
     """The records that index rows name, parsed from the archives, with their payload.
 
-    Rows are sorted by file and offset over all tasks, so neighbours meet in one
-    read; a task holds one read at a time.
+    Rows are sorted by file and offset over as many tasks as there are TASK_BYTES
+    of archives to read, so neighbours meet in one read and one archive may be
+    read by many tasks; a task holds one read at a time.
     """
     names = ["file", "offset", "length"]
-    ordered = selected.select(names).sort("file", "offset")
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    ordered = selected.select(names).repartitionByRange(max(1, -(-size // TASK_BYTES)), "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
@@ -186,7 +194,7 @@ def read_records(selected: DataFrame, folder: str) -> DataFrame:
                 r = parse(block[offset - start:offset - start + length])
                 refers = r.get("WARC-Refers-To")
                 held.append({
-                    "page_id": _page(r["WARC-Record-ID"]), "url": r["WARC-Target-URI"], "payload": r["payload"],
+                    "page_id": _page(r["WARC-Record-ID"]), "url": _from_line(r["WARC-Target-URI"]), "payload": r["payload"],
                     "payload_bytes": int(r["WARC-Payload-Length"]),
                     "payload_digest": r["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": r["WARC-Type"],
                     "refers_to": _page(refers) if refers else None,
@@ -211,23 +219,30 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
     return Rounds(pages.sparkSession, "warc-index").cut(write_archives(mark_revisits(pages), folder))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all pages, reads all records back, and tells what the archives hold.
+def verified(records: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), measured on the payloads of records read back.
 
-    Bytes and digest are measured on the payload read back; those of a revisit, which holds
-    none, are the stated ones, checked against the response that it names.
+    A revisit holds no payload: its figures are the stated ones, and there must be
+    a response of the page that it names with just these; if one has none, an
+    error tells how many.
     """
+    is_response = F.col("record_type") == "response"
+    rows = Rounds(records.sparkSession, "warc-records").cut(records.select(
+        "page_id", F.when(is_response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(is_response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to"))
+    held = rows.where(is_response).select(
+        F.col("page_id").alias("of"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest")).distinct()
+    same = F.col("refers_to").eqNullSafe(F.col("of")) & (F.col("payload_bytes") == F.col("bytes")) & (F.col("payload_digest") == F.col("digest"))
+    lost = rows.where(~is_response).join(held, same, "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} revisit records name no response of their payload")
+    return rows
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages, reads all records back, and tells what the archives hold."""
     folder = f"{Rounds(spark, 'warc').base}/archives"
-    index = archive(table(spark, sf_dir, "pages"), folder)
-    records = read_records(index, folder)
-    measured = records.select(
-        "page_id", "record_type", "refers_to",
-        F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes"))
-        .cast("long").alias("payload_bytes"),
-        F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("payload_digest"))
-        .alias("payload_digest"),
-    )
-    return measured.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return verified(read_records(archive(table(spark, sf_dir, "pages"), folder), folder))
 
 
 SQL = """

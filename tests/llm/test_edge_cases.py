@@ -240,12 +240,28 @@ def test_warc(spark):
     assert [(by[i].record_type, by[i].refers_to, bytes(by[i].payload)) for i in (1, 2, None)] == [("revisit", 3, b"")] * 3
     assert by[1].payload_bytes == len(html.encode()) and by[1].payload_digest == hashlib.sha1(html.encode()).hexdigest()
     assert by[5].record_type == by[6].record_type == "response" and by[4].payload_bytes == 0
-    assert by[2].url == "http://b%0D%0AX: y"
+    assert {i: by[i].url for i in (1, 2, 3, 5)} == {1: "http://a", 2: "http://b\r\nX: y", 3: "", 5: ""}
+    shown = {r.page_id: r for r in warc_index.verified(warc_index.read_records(index, folder)).collect()}
+    assert shown[1].payload_bytes == by[1].payload_bytes and shown[9].payload_bytes == 3_000_000
+    without = index.where("page_id IS DISTINCT FROM 3")
+    with pytest.raises(ValueError, match="3 revisit"):
+        warc_index.verified(warc_index.read_records(without, folder))
     one = warc_index.read_records(index.where("page_id = 5"), folder).collect()
     assert [bytes(r.payload) for r in one] == [b"short"]
     assert warc_index.archive(pages.limit(0), folder).count() == 0
 
 
+def test_many_tasks_read_one_archive(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://a/%2F%0A%25?{i}", f"<p>{i}" * 400) for i in range(200)], "page_id long, url string, html string")
+    folder = f"{warc_index.Rounds(spark, 'warc-test').base}/archives"
+    index = warc_index.archive(pages.coalesce(1), folder)
+    assert index.select("file").distinct().count() == 1
+    monkeypatch.setattr(warc_index, "TASK_BYTES", 4_000)
+    records = warc_index.read_records(index, folder)
+    assert records.rdd.getNumPartitions() > 3
+    assert {(r.page_id, r.url) for r in records.collect()} == {(i, f"http://a/%2F%0A%25?{i}") for i in range(200)}
+
+
 def test_coalesced_ranges():
     near = [("a", 0, 10), ("a", 10, 10), ("a", 10**6, 5), ("b", 0, 5)]
     reads = list(warc_index.coalesced(near))
