@@ -45,32 +45,39 @@ def widespread_lines(lines: DataFrame, min_sites: int = MIN_SITES, band: float =
     return sure.unionByName(near.join(exact, "key", "left_semi")).select("key", "first_doc")
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the positions `gone`; one pass, whatever the numbers of lines and positions."""
+    def rest(parts: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+        return F.array_join(F.transform(kept, lambda at: F.get(parts, at)), "\n")
+
+    # The split text is a variable of the outer function, so it is split once and not once a line.
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), rest), F.lit(0))
+
+
 def _cleaned(docs: DataFrame, min_sites: int, site: str) -> DataFrame:
     """(row, text, n_lines, n_removed): each row as it came, and its text without widespread lines."""
     rounds = Rounds(docs.sparkSession, "lines")
+    version = F.xxhash64("text")  # rows of one doc_id may hold different texts
     lines = rounds.cut(
         docs.select(
-            "doc_id", F.coalesce(F.concat(F.lit("="), F.col(site)), F.lit("-")).alias("site"),
-            F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"),
-        ).where(~_is_blank(F.col("line"))).select("doc_id", "site", _key(F.col("line")).alias("key"))
+            "doc_id", version.alias("version"), F.coalesce(F.concat(F.lit("="), F.col(site)), F.lit("-")).alias("site"),
+            F.posexplode(F.split("text", "\n", -1)).alias("at", "line"),
+        ).where(~_is_blank(F.col("line"))).select("doc_id", "version", "site", "at", _key(F.col("line")).alias("key"))
     )
-    wide = rounds.cut(widespread_lines(lines, min_sites))
+    wide = rounds.cut(widespread_lines(lines.select("doc_id", "site", "key"), min_sites))
     gone = (
-        lines.join(wide, "key").where(F.col("doc_id") != F.col("first_doc"))
-        .groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+        lines.select("doc_id", "version", "at", "key").join(wide, "key").where(F.col("doc_id") != F.col("first_doc"))
+        .groupBy("doc_id", "version").agg(F.collect_set("at").alias("gone"))
     )
-    parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda line: _is_blank(line) | ~F.array_contains(F.col("gone"), _key(line)))
     line_feeds = F.length("text") - F.length(F.translate("text", "\n", ""))
     return (
-        docs.select("doc_id", "text", F.struct("*").alias("row")).join(gone, "doc_id", "left")
-        .withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+        docs.select("doc_id", version.alias("version"), "text", F.struct("*").alias("row")).join(gone, ["doc_id", "version"], "left")
         .select(
-            "row", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+            "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"),
             F.coalesce(line_feeds + 1, F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(line_feeds + 1 - F.size("kept"), F.lit(0)).cast("long").alias("lost"), "kept",
+            F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         )
-        .select("row", "text", "n_lines", F.when(F.col("kept").isNull(), 0).otherwise(F.col("lost")).cast("long").alias("n_removed"))
     )
 
 
