@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
+import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperweave.llm.common import small_batches, table
+from paperweave.llm.token_files import encoder_of
+from paperweave.session import Rounds
 
+TOKENIZER = "byte_bpe_50k.json"
 BUDGET = 2048
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 512
 BLOCK_TURNS = 256
+SYSTEM, HISTORY, OWN = 0, 1, 2
 
 SPECIAL = re.compile(r"[\\<|\[]")
 ESCAPED = re.compile(r"\\(.)", re.S)
@@ -46,9 +54,23 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
-def words(text: Column) -> Column:
-    """Tokens of a turn, counted as words and marks of the template."""
-    return F.regexp_count(text, F.lit(r"\S+")) + 3
+class Turn(NamedTuple):
+    turn: int
+    role: str
+    text: str
+    tokens: int
+
+
+def turn_tokens(tokenizer: str):
+    """Column function of (role, text): tokens of the formatted turn, each turn encoded by itself."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for roles, texts in batches:
+            turns = pa.array([f"<|{escape(r)}|>{escape(t)}</s>" for r, t in zip(roles, texts)], pa.large_string())
+            yield pd.Series(np.fromiter(map(len, encoder_of(tokenizer).encode(turns)), np.int64, len(turns)))
+
+    return count
 
 
 def _window(turns: list[tuple], fresh: int) -> tuple[str, list[dict]]:
@@ -63,19 +85,43 @@ def _window(turns: list[tuple], fresh: int) -> tuple[str, list[dict]]:
     return "".join(out), spans
 
 
-def _spans(tokens: list[int], heads: list[int], budget: int) -> Iterator[tuple[int, int, int]]:
-    """(first history turn, first new turn, end) of each window, by prefix sums of tokens."""
-    total = np.concatenate(([0], np.cumsum(tokens)))
-    start, n = 0, len(tokens)
-    while start < n:
-        lead = int(np.searchsorted(total, total[start] - HISTORY_TOKENS))
-        lead = max(lead, start - HISTORY_TURNS, 0)
-        while lead < start and total[start + 1] - total[lead] + heads[start] > budget:
-            lead += 1
-        end = int(np.searchsorted(total, total[lead] + budget - heads[start], side="right")) - 1
-        end = max(end, start + 1)
-        yield lead, start, end
-        start = end
+def _cut(rows: Iterable[tuple], budget: int) -> Iterator[tuple[list[Turn], list[Turn]]]:
+    """(repeated turns, new turns) of each window of one block, from (kind, turn, role, text, tokens) in order.
+
+    Running sums of tokens choose the spans while the turns stream by, so no more
+    than one window is held, whatever the number of turns.
+    """
+    system, past = None, deque(maxlen=HISTORY_TURNS)
+    lead, new, used = [], [], 0
+    for kind, *rest in rows:
+        turn = Turn(*rest)
+        if kind == SYSTEM:
+            system = turn
+            continue
+        if kind == OWN:
+            if new and used + turn.tokens > budget:
+                yield lead, new
+                new = []
+            if not new:
+                lead = list(past)
+                while lead and sum(t.tokens for t in lead) > HISTORY_TOKENS:
+                    lead.pop(0)
+                head = [system] if system else []
+                while lead and sum(t.tokens for t in _headed(head, lead)) + turn.tokens > budget:
+                    lead.pop(0)
+                lead = _headed(head, lead)
+                used = sum(t.tokens for t in lead)
+            new.append(turn)
+            used += turn.tokens
+            system = system or (turn if turn.role == "system" else None)
+        past.append(turn)
+    if new:
+        yield lead, new
+
+
+def _headed(system: list[Turn], history: list[Turn]) -> list[Turn]:
+    """The history behind the system turn, which stands once."""
+    return history if system and system[0] in history else system + history
 
 
 def _rows(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
@@ -94,7 +140,29 @@ def _batched(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def chat_windows(turns: DataFrame, tokens=words, budget: int = BUDGET) -> DataFrame:
+def _history(rows: DataFrame) -> DataFrame:
+    """The turns that a block's first window may repeat, as rows of kind HISTORY of that block.
+
+    A block hands its last HISTORY_TURNS turns on. As it has one at least, the
+    blocks that many places before hold all that a block may repeat. Turns too
+    long to be repeated travel without their text.
+    """
+    spare = F.col("tokens") > HISTORY_TOKENS
+    last = Window.partitionBy("conv_id", "block").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    tails = (
+        rows.withColumn("back", F.row_number().over(last)).where(F.col("back") <= HISTORY_TURNS)
+        .withColumn("text", F.when(spare, "").otherwise(F.col("text")))
+        .groupBy("conv_id", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("back", "turn", "role", "text", "tokens"))).alias("tail"))
+    )
+    order = Window.partitionBy("conv_id").orderBy("block")
+    empty = F.array().cast(tails.schema["tail"].dataType)
+    before = F.concat(*[F.coalesce(F.lag("tail", k).over(order), empty) for k in range(1, HISTORY_TURNS + 1)])
+    near = tails.withColumn("before", F.slice(before, 1, HISTORY_TURNS)).select("conv_id", "block", F.explode("before").alias("t"))
+    return near.select("conv_id", "block", F.lit(HISTORY).alias("kind"), "t.turn", "t.role", "t.text", "t.tokens")
+
+
+def chat_windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET) -> DataFrame:
     """Windows (conv_id, block, window, text, repeated, loss) of conversations given by turn.
 
     Turns of a conversation stand in order of (turn, role, text); null text and
@@ -104,49 +172,43 @@ def chat_windows(turns: DataFrame, tokens=words, budget: int = BUDGET) -> DataFr
     to HISTORY_TURNS turns of at most HISTORY_TOKENS tokens before its new ones,
     and as many whole new turns as the budget allows, one at least: a longer
     turn is never cut. `repeated` counts its leading turns that other windows
-    hold as new; `loss` spans the text of new assistant turns only.
+    hold as new; `loss` spans the text of new assistant turns only. Tokens are
+    those of `tokenizer` (a file of a byte-level one) for the formatted turn.
 
-    A conversation is cut every BLOCK_TURNS turn numbers, where history starts
-    anew, so the windows of a very long one are built by many tasks.
+    A conversation is cut every BLOCK_TURNS turn numbers, where a window ends,
+    so the windows of a very long one are built by many tasks. The system turn
+    and the history before a cut are carried over it. Rows that share one turn
+    number, or have none, stream through one task a window at a time.
     """
-    rows = turns.select(
+    spark = turns.sparkSession
+    small_batches(spark)
+    count = turn_tokens(tokenizer or public_tokenizers.path(TOKENIZER))
+    rows = Rounds(spark, "chat").cut(turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)).withColumn("carried", F.lit(False))
+    ).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)).withColumn("tokens", count("role", "text")))
     heads = (
         rows.where(F.col("role") == "system").groupBy("conv_id")
-        .agg(F.min(F.struct("turn", "text")).alias("first"), F.min("block").alias("from_block"))
+        .agg(F.min(F.struct("turn", "text", "tokens")).alias("first"), F.min("block").alias("from_block"))
     )
     later = (
         rows.select("conv_id", "block").distinct().join(heads.withColumnRenamed("conv_id", "of"),
                                                         F.col("conv_id").eqNullSafe(F.col("of")))
         .where(F.col("block") > F.col("from_block"))
-        .select("conv_id", "block", F.col("first.turn").alias("turn"), F.lit("system").alias("role"),
-                F.col("first.text").alias("text"), F.lit(True).alias("carried"))
+        .select("conv_id", "block", F.lit(SYSTEM).alias("kind"), F.col("first.turn").alias("turn"),
+                F.lit("system").alias("role"), F.col("first.text").alias("text"), F.col("first.tokens").alias("tokens"))
     )
-    small_batches(turns.sparkSession)
-    names = ["conv_id", "block", "turn", "role", "text", "carried", "tokens"]
+    names = ["conv_id", "block", "kind", "turn", "role", "text", "tokens"]
     dealt = (
-        rows.unionByName(later).withColumn("tokens", tokens(F.col("text")))
-        .repartition("conv_id", "block").sortWithinPartitions(
-            "conv_id", "block", F.desc("carried"), "turn", "role", "text").select(names)
+        rows.withColumn("kind", F.lit(OWN)).select(names).unionByName(later).unionByName(_history(rows))
+        .repartition("conv_id", "block").sortWithinPartitions(names[:-1])
     )
 
     def build(rows: Iterable[tuple]) -> Iterator[dict]:
         for (conv, block), group in groupby(rows, key=lambda r: r[:2]):
-            group = list(group)
-            system = next(((r[3], r[4], r[6]) for r in group if r[5]), None)
-            new = [r for r in group if not r[5]]
-            at = -1 if system else next((i for i, r in enumerate(new) if r[3] == "system"), None)
-            if at is not None and at >= 0:
-                system = (new[at][3], new[at][4], new[at][6])
-            sizes = [0 if at is None or i <= at else system[2] for i in range(len(new))]
-            for k, (lead, start, end) in enumerate(_spans([r[6] for r in new], sizes, budget)):
-                kept = [system[:2]] if sizes[start] and not lead <= at < end else []
-                held = kept + [(r[3], r[4]) for r in new[lead:end]]
-                text, loss = _window(held, len(kept) + start - lead)
-                yield {"conv_id": conv, "block": block, "window": k, "text": text,
-                       "repeated": len(kept) + start - lead, "loss": loss}
+            for k, (lead, new) in enumerate(_cut((r[2:] for r in group), budget)):
+                text, loss = _window([(t.role, t.text) for t in lead + new], len(lead))
+                yield {"conv_id": conv, "block": block, "window": k, "text": text, "repeated": len(lead), "loss": loss}
 
     return dealt.mapInArrow(lambda batches: _batched(build(_rows(batches, names)), WINDOW_SCHEMA), WINDOWS)
 
