@@ -2,8 +2,11 @@
 
 Counts travel as sorted arrays instead of a row per n-gram. The tokens of some
 thousand documents make a block. Each block asks for the counts of its distinct
-n-grams: the sorted keys are cut into ranges, one range of all blocks meets in
-one task, which adds the counts up and answers every block in its own order.
+n-grams: the sorted keys are cut into ranges, one range of up to FAN million
+tokens of blocks meets in one task, which adds the counts up and answers every
+block in its own order. Beyond that many blocks the sums of a group of blocks
+are cut into finer ranges and ask in their turn, level by level, so a block
+asks at most FAN ranges and a task hears a bounded number of blocks at any size.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from paperweave.session import Rounds
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 BLOCK_TOKENS = 1_000_000
 RANGE_TOKENS = 1 << 20
+FAN = 256
 ASKS, TUNES, FITS = 0, 1, 2
 STEP = 8
 UNSEEN = -10_000
@@ -34,8 +38,9 @@ END = xxhash.xxh64_intdigest(b"\n")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCKS = ("block string, kind int, tokens long, doc_ids binary, sizes binary, words binary, stream binary")
-KEYS = "block string, kind int, n int, bucket int, keys binary, counts binary"
-ANSWERS = "block string, n int, bucket int, fits binary, tunes binary, total long, fit_total long, types long"
+KEYS = "block string, n int, bucket long, keys binary, fits binary, tunes binary"
+COUNTS = "block string, n int, bucket long, fits binary, tunes binary"
+ANSWERS = COUNTS + ", total long, fit_total long, types long"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -51,6 +56,16 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Nothing where all are zero."""
+    top = counts.max(initial=0)
+    return _pack(counts.astype("<u4" if top < 1 << 32 else "<u8")) if top else b""
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return _unpack(data).astype(np.int64) if data else np.zeros(n, np.int64)
+
+
 def _block(doc_ids: list, sizes: list, words: dict, stream: list, kind: int) -> dict:
     """One block; words are numbered by falling frequency, so high bytes are mostly zero."""
     stream = np.array(stream, np.int64)
@@ -68,7 +83,7 @@ def _block(doc_ids: list, sizes: list, words: dict, stream: list, kind: int) ->
     }
 
 
-def token_blocks(docs: DataFrame) -> DataFrame:
+def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Documents (doc_id, text, kind) as blocks of one kind: ids, sizes, distinct words, token stream."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +97,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
                 stream.append(0)
                 ids.append(None if no_id else doc_id)
                 sizes.append(len(tokens) + 1)
-                if len(stream) >= BLOCK_TOKENS:
+                if len(stream) >= block_tokens:
                     yield pd.DataFrame([_block(*held.pop(kind), kind)])
         for kind, rest in sorted(held.items()):
             yield pd.DataFrame([_block(*rest, kind)])
@@ -122,16 +137,24 @@ class Block:
         self.pair_keys = keys[self.pair_order]
         self.pair_count = self.pair_count[self.pair_order]
 
-    def answered(self, order: int, packed: list[bytes]) -> np.ndarray:
+    def answered(self, order: int, got: np.ndarray) -> np.ndarray:
         """Per token the answered count of its word (order 1) or of its pair (order 2)."""
-        got = np.concatenate([_unpack(p) for p in packed]).astype(np.int64)
         by_key, place = np.empty_like(got), self.word_order if order == 1 else self.pair_order
         by_key[place] = got
         return by_key if order == 1 else by_key[self.pair_of]
 
 
-def ask(blocks: DataFrame, bits: int) -> DataFrame:
-    """(block, kind, n, bucket, keys, counts): the block's distinct n-grams by ranges of their keys."""
+def _cut(block: str, n: int, keys: np.ndarray, fits: np.ndarray, tunes: np.ndarray, width: int) -> Iterator[tuple]:
+    """Sorted keys and their counts as a row per range: keys with equal first `width` bits."""
+    bucket = (keys >> np.uint64(64 - width)).astype(np.int64) if width else np.zeros(len(keys), np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        steps = np.concatenate((keys[lo:lo + 1], keys[lo + 1:hi] - keys[lo:hi - 1]))
+        yield block, n, int(bucket[lo]), _pack(steps), _pack_counts(fits[lo:hi]), _pack_counts(tunes[lo:hi])
+
+
+def ask(blocks: DataFrame, width: int) -> DataFrame:
+    """(block, n, bucket, keys, fits, tunes): the block's distinct n-grams by ranges of their keys."""
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,45 +162,95 @@ def ask(blocks: DataFrame, bits: int) -> DataFrame:
                 b = Block(row)
                 out = []
                 for n, keys, counts in ((1, b.word_keys, b.word_count), (2, b.pair_keys, b.pair_count)):
-                    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                    for k in np.flatnonzero(edges[1:] > edges[:-1]):
-                        part = keys[edges[k]:edges[k + 1]]
-                        steps = np.concatenate((part[:1], part[1:] - part[:-1]))
-                        out.append((row["block"], row["kind"], n, int(k), _pack(steps),
-                                    _pack(counts[edges[k]:edges[k + 1]].astype("<u4"))))
-                yield pd.DataFrame(out, columns=["block", "kind", "n", "bucket", "keys", "counts"])
+                    own = [counts if row["kind"] == kind else np.zeros_like(counts) for kind in (FITS, TUNES)]
+                    out += _cut(row["block"], n, keys, *own, width)
+                yield pd.DataFrame(out, columns=["block", "n", "bucket", "keys", "fits", "tunes"])
 
     return blocks.mapInPandas(asked, KEYS)
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """Adds one range up and answers each block that asked, in its order."""
-    rows = rows.sort_values("block")
+def _keys(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Keys of each row, all distinct ones in order, and the place of each row's keys among those."""
     parts = [np.cumsum(_unpack(k), dtype=np.uint64) for k in rows["keys"]]
     keys = np.concatenate(parts)
-    counts = [_unpack(c).astype(np.int64) for c in rows["counts"]]
     order = np.argsort(keys, kind="stable")
-    new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+    ordered = keys[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     group = np.empty(len(keys), np.int64)
     group[order] = np.cumsum(new) - 1
-    del order, keys
-    n = int(new.sum())
+    return parts, ordered[new], group
 
-    def summed(kind: int) -> np.ndarray:
-        weights = np.concatenate([c if k == kind else np.zeros(len(c), np.int64) for k, c in zip(rows["kind"], counts)])
-        return np.bincount(group, weights=weights, minlength=n).astype(np.int64)
 
-    fits, tunes = summed(FITS), summed(TUNES)
-    out, at = [], 0
-    for k, (block, order_, bucket, part) in enumerate(zip(rows["block"], rows["n"], rows["bucket"], parts)):
+def _summed(column: pd.Series, parts: list[np.ndarray], group: np.ndarray, n: int) -> np.ndarray:
+    weights = np.concatenate([_unpack_counts(c, len(p)) for c, p in zip(column, parts)])
+    return np.bincount(group, weights=weights, minlength=n).astype(np.int64)
+
+
+def _replies(rows: pd.DataFrame, parts: list, group: np.ndarray, fits: np.ndarray, tunes: np.ndarray) -> Iterator[tuple]:
+    """Each row's counts, in its order."""
+    at = 0
+    for block, n, bucket, part in zip(rows["block"], rows["n"], rows["bucket"], parts):
         own = group[at:at + len(part)]
         at += len(part)
-        both = fits + tunes if k == 0 else None
-        out.append((block, order_, bucket, _pack(fits[own].astype("<u4")), _pack(tunes[own].astype("<u4")),
-                    int(both.sum()) if k == 0 else 0, int(fits.sum()) if k == 0 else 0,
-                    int((both > 0).sum()) if k == 0 else 0))
-    return pd.DataFrame(out, columns=["block", "n", "bucket", "fits", "tunes", "total", "fit_total", "types"])
+        # always packed, so an answer tells its length
+        yield block, n, bucket, *(_pack(c[own].astype("<u4" if c.max(initial=0) < 1 << 32 else "<u8")) for c in (fits, tunes))
+
+
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """Adds one range up and answers each block that asked, in its order; totals go with the first."""
+    rows = rows.sort_values("block")
+    parts, keys, group = _keys(rows)
+    fits, tunes = (_summed(rows[c], parts, group, len(keys)) for c in ("fits", "tunes"))
+    out = pd.DataFrame(_replies(rows, parts, group, fits, tunes), columns=["block", "n", "bucket", "fits", "tunes"])
+    first = np.arange(len(out)) == 0
+    both = fits + tunes
+    return out.assign(total=first * both.sum(), fit_total=first * fits.sum(), types=first * (both > 0).sum())
+
+
+def _merge(width: int):
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One group's sums of one range, cut into finer ranges."""
+        parts, keys, group = _keys(rows)
+        sums = (_summed(rows[c], parts, group, len(keys)) for c in ("fits", "tunes"))
+        return pd.DataFrame(_cut(str(key[2]), int(key[0]), keys, *sums, width),
+                            columns=["block", "n", "bucket", "keys", "fits", "tunes"])
+
+    return merge
+
+
+def _hand_down(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """The answers to a group's sums, dealt to each of its members in the member's order."""
+    columns = ["block", "n", "bucket", "fits", "tunes"]
+    if not len(rows):
+        return pd.DataFrame(columns=columns)
+    parts, _, group = _keys(rows)
+    answers = answers.sort_values("bucket")
+    totals = (np.concatenate([_unpack(c) for c in answers[name]]) for name in ("fits", "tunes"))
+    return pd.DataFrame(_replies(rows, parts, group, *totals), columns=columns)
+
+
+def count_ngrams(asked: DataFrame, units: int, width: int, limit: int, fan: int, rounds: Rounds) -> tuple[DataFrame, tuple]:
+    """(block, n, bucket, fits, tunes) for every row of `asked`, and (total, fit_total, types) of all words.
+
+    `units` is how many full blocks `asked` amounts to. Up to `fan` of them meet
+    range by range. More are dealt to groups of about `fan`; the sums of a group
+    are again a block of like size per range, and ask among the groups.
+    """
+    if units <= fan:
+        answers = rounds.cut(asked.groupBy("n", "bucket").applyInPandas(_answer, ANSWERS))
+        known = answers.where(F.col("n") == 1).agg(F.sum("total"), F.sum("fit_total"), F.sum("types")).first()
+        return answers.select("block", "n", "bucket", "fits", "tunes"), tuple(x or 0 for x in known)
+    groups = math.ceil(units / fan)
+    finer = min(limit, width + int(math.log2(fan)))
+    dealt = rounds.cut(asked.withColumn("into", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("string")))
+    sums = dealt.groupBy("n", "bucket", "into").applyInPandas(_merge(finer), KEYS)
+    above, known = count_ngrams(sums, groups, finer, limit, fan, rounds)
+    of = above.select(F.col("block").alias("into"), "n", F.shiftright("bucket", finer - width).alias("of"), "bucket", "fits", "tunes")
+    down = (
+        dealt.select("block", "n", "bucket", "into", "keys").groupBy("n", "bucket", "into")
+        .cogroup(of.groupBy("n", "of", "into")).applyInPandas(_hand_down, COUNTS)
+    )
+    return rounds.cut(down), known
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -191,8 +264,8 @@ def _joined(answers: pd.DataFrame, b: Block, tuned: bool) -> tuple[np.ndarray, n
     out = []
     for n in (1, 2):
         own = answers[answers["n"] == n]
-        got = b.answered(n, own["fits"].tolist())
-        out.append(got + b.answered(n, own["tunes"].tolist()) if tuned else got)
+        got = sum(np.concatenate([_unpack(c) for c in own[name]]).astype(np.int64) for name in ("fits", "tunes")[:1 + tuned])
+        out.append(b.answered(n, got))
     return out[0], out[1]
 
 
@@ -264,7 +337,9 @@ def _score(weights: np.ndarray, total: int, types: int):
     return score
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(
+    docs: DataFrame, block_tokens: int = BLOCK_TOKENS, range_tokens: int = RANGE_TOKENS, fan: int = FAN,
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of (doc_id, text).
 
     Tokens are A-Z lower-cased words between ASCII blanks, then one end. The
@@ -276,19 +351,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Training rows are those whose crc32(doc_id) modulo FOLDS is not HELD_OUT.
     Null text is empty: an end alone. A row without doc_id is scored but not
     learned from. Repeated rows count and are scored each; other columns are
-    ignored. An untrained model scores every token as uniform.
+    ignored. An untrained model scores every token as uniform. Sizes of blocks
+    and ranges and the number of blocks that meet in a task change no result.
     """
     spark = docs.sparkSession
     rounds = Rounds(spark, "deleted-lm")
     fold = fold_of(F.col("doc_id"), FOLDS)
     kind = F.when(fold.isNull() | (fold == HELD_OUT), ASKS).when(fold == TUNING, TUNES).otherwise(FITS)
-    blocks = rounds.cut(token_blocks(docs.select("doc_id", "text", kind.alias("kind"))))
+    blocks = rounds.cut(token_blocks(docs.select("doc_id", "text", kind.alias("kind")), block_tokens))
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(tokens, 1) / RANGE_TOKENS)))
-    answers = rounds.cut(ask(blocks, bits).groupBy("n", "bucket").applyInPandas(_answer, ANSWERS))
-    known = answers.where(F.col("n") == 1).agg(F.sum("total"), F.sum("fit_total"), F.sum("types")).first()
-    total, fit_total, types = (x or 0 for x in known)
-    counts = answers.select("block", "n", "bucket", "fits", "tunes")
+    limit = max(0, math.ceil(math.log2(max(tokens, 1) / range_tokens)))
+    width = min(limit, int(math.log2(fan)))
+    units = math.ceil(tokens / block_tokens)
+    counts, (total, fit_total, types) = count_ngrams(ask(blocks, width), units, width, limit, fan, rounds)
     held = blocks.where(F.col("kind") == TUNES)
     tuning = (
         held.groupBy("block").cogroup(counts.join(held.select("block"), "block", "left_semi").groupBy("block"))
