@@ -16,6 +16,7 @@ SAMPLE_DOCS = 96
 CHARS_PER_DOC = 168
 CHUNK = 512
 COLUMNS = 64
+TASKS_AT_ONCE = 64
 PAD, GAP, OTHER = 0, 1, 2
 COUNT_SHIFT = 24
 BATCH_CHARS = 2_000_000
@@ -59,11 +60,12 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 def _edges(sample: pd.DataFrame) -> pd.DataFrame:
     """One language's automaton as a row per transition."""
     texts = [_plain(t)[:CHARS_PER_DOC] for t in sample.sort_values(["rank", "text"])["text"]]
-    step = suffix_automaton(" " + " ".join(texts) + " ")
+    model = " " + " ".join(texts) + " "
+    step = suffix_automaton(model)
     rows = [(s, c, t) for s, out in enumerate(step) for c, t in out.items()]
     frame = pd.DataFrame(rows, columns=["state", "symbol", "target"])
     frame.insert(0, "lang", sample["lang"].iloc[0])
-    return frame
+    return frame.assign(symbols=len(model))
 
 
 class Parser:
@@ -81,6 +83,8 @@ class Parser:
         self.kind = next(t for t in (np.uint8, np.uint16, np.int32) if len(common) + 3 <= np.iinfo(t).max)
         code = {c: i + 3 for i, c in enumerate(self.letters)} | {" ": GAP}
         self.tables, self.rare = [], []
+        # A phrase found in a longer model names a place in it at a higher cost: its logarithm in symbols.
+        self.cost = np.array([np.log2(edges.loc[edges["lang"] == lang, "symbols"].iloc[0]) for lang in self.langs])
         for lang in self.langs:
             own = edges[edges["lang"] == lang]
             n = int(own["target"].max()) + 1
@@ -174,13 +178,15 @@ class Parser:
         if not self.langs or not texts:
             return out
         found, size, letters = self.phrases([t or "" for t in texts])
-        best = found.argmin(axis=1)
-        least = found.min(axis=1)
-        rival = np.sort(found, axis=1)[:, 1] if len(self.langs) > 1 else size.astype(float)
+        bits = found * self.cost
+        best = bits.argmin(axis=1)
+        least = bits.min(axis=1)
+        rival = np.sort(bits, axis=1)[:, 1] if len(self.langs) > 1 else size * self.cost[0]
         ok = letters > 0
+        phrases = found.min(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             out["score"] = np.where(ok & (rival > 0), np.clip((rival - least) / rival, 0, 1), 0.0)
-            out["phrase_length"] = np.where(ok & (least > 0), size / least, 0.0)
+            out["phrase_length"] = np.where(ok & (phrases > 0), size / phrases, 0.0)
         out["lang_pred"] = np.where(ok, np.array(self.langs, object)[best], "und")
         return out
 
@@ -195,25 +201,32 @@ def fit(docs: DataFrame) -> Parser:
     only their transitions (two per sampled symbol or so) come to the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # Ranked among the rows of some tasks first, so the task that ranks a language hears few of each.
+    near = Window.partitionBy("lang", "tasks").orderBy(*order)
     picked = (
-        known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= SAMPLE_DOCS)
+        known.select("doc_id", "lang").distinct()
+        .withColumn("tasks", F.floor(F.spark_partition_id() / TASKS_AT_ONCE))
+        .withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= SAMPLE_DOCS)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+        .where(F.col("rank") <= SAMPLE_DOCS).drop("tasks")
     )
     sample = (
         known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
         .groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))
     )
-    edges = sample.groupBy("lang").applyInPandas(_edges, "lang string, state long, symbol string, target long")
+    edges = sample.groupBy("lang").applyInPandas(_edges, "lang string, state long, symbol string, target long, symbols long")
     return Parser(edges.toPandas())
 
 
 def judged(docs: DataFrame, parser: Parser) -> DataFrame:
     """(row, lang_pred, score, phrase_length): each row as it came, judged by its whole text.
 
-    The language whose automaton needs the fewest phrases wins, the first by
-    name on a tie. `score` is the share of phrases it saves against the runner
-    up, 0 to 1; `phrase_length` its mean phrase in symbols. `und` with score 0
+    Phrases are normalised by what one costs: the logarithm of the labelled
+    text's length, since a longer one holds longer matches of anything. The
+    language whose automaton needs the fewest normalised phrases wins, the first
+    by name on a tie. `score` is the share that it saves against the runner up,
+    0 to 1; `phrase_length` the longest mean phrase of any language in symbols. `und` with score 0
     for null text, text without a letter, or when nothing was learned.
     """
     small_batches(docs.sparkSession)
