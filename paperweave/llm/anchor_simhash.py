@@ -222,7 +222,7 @@ def _linked(of: int, fps: np.ndarray, home: np.ndarray, half: np.ndarray, reach:
 def _compare(reach: int, count: int, most: float):
     def compare(members: pd.DataFrame) -> pd.DataFrame:
         """Links of a bundle of blocks as a star per local component; pairs never leave the task."""
-        members = members.sort_values(["cell", "block"], kind="stable")
+        members = members.sort_values(["cell", "block", "node"], kind="stable")
         cell, block = members["cell"].to_numpy(), members["block"].to_numpy()
         nodes, half, home = members["node"].to_numpy(), members["half"].to_numpy(), members["home"].to_numpy(bool)
         fps = np.stack([members[f"f{k}"].to_numpy(np.int64).view(np.uint64) for k in range(count)], axis=1)
@@ -378,7 +378,7 @@ def jaccard_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def _verify(similarity: float):
     def verify(members: pd.DataFrame) -> pd.DataFrame:
         """Exact links of a bundle of blocks as a star per local component."""
-        members = members.sort_values(["component_id", "block"], kind="stable")
+        members = members.sort_values(["component_id", "block", "node"], kind="stable")
         cell, block, nodes = (members[c].to_numpy() for c in ("component_id", "block", "node"))
         sets = [np.asarray(h, np.int64) for h in members["hashes"]]
         cuts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]), [True])))
