@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,10 @@ from paperweave.llm.common import meet_in_blocks, small_batches, table
 from paperweave.operators.components import connected_components
 from paperweave.session import Rounds
 
-PIVOTS = 1024
+PIVOTS, MOST_PIVOTS, PIVOTS_PER_ROOT = 1024, 16_384, 4
 NEAREST = 8
 MIN_SHARED = 2
-SAMPLE = 4096
+SAMPLE_PER_PIVOT = 4
 MAX_PIVOT_COSINE = 0.7
 MIN_COSINE = 0.93
 BLOCK = 8_192
@@ -29,17 +30,23 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
+def pivots_for(vectors: int) -> int:
+    """A number that grows with the root of the vectors, so lists do too and not in proportion; bounded, as the driver holds it."""
+    return min(MOST_PIVOTS, max(PIVOTS, PIVOTS_PER_ROOT * math.isqrt(vectors)))
+
+
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
     """Unit reference points per dimension, spread out, from a bounded sample.
 
-    The sample are the SAMPLE distinct vectors with the lowest hashes. A vector
+    The sample are the distinct vectors with the lowest hashes, SAMPLE_PER_PIVOT
+    for each point. A vector
     becomes a reference point if it is no closer than MAX_PIVOT_COSINE to an
     earlier one, so a crowd of near copies has one, and agrees on its others.
     """
     order = Window.partitionBy("dim").orderBy("a", "b")
     rows = (
         vectors.select("dim", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_PIVOT * pivots)
     )
     found = vectors.join(F.broadcast(rows.select(F.struct("a", "b").alias("key"))), "key", "left_semi")
     sample = found.select("dim", "key.a", "key.b", "embedding").toPandas()
@@ -81,6 +88,7 @@ def describe(vectors: DataFrame, pivots: dict[int, np.ndarray], nearest: int = N
 def _compare(min_shared: int, min_cosine: float):
     def compare(members: pd.DataFrame) -> pd.DataFrame:
         """Link counts and a star per local component of one pivot's list, or of two parts of it."""
+        members = members.sort_values("node", kind="stable")  # so roots of stars are smallest nodes
         pivot = int(members["pivot"].iloc[0])
         n = len(members)
         vectors = _unit(members["embedding"])
@@ -119,7 +127,7 @@ def _compare(min_shared: int, min_cosine: float):
 
 def near_vectors(
     embeddings: DataFrame, min_cosine: float = MIN_COSINE, nearest: int = NEAREST, min_shared: int = MIN_SHARED,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of (vec_id, label, embedding).
 
@@ -128,7 +136,8 @@ def near_vectors(
     all where there are fewer (equal vectors always link). Retrieval goes through one list per label and
     reference point; a pair is verified and counted in the list of its first
     shared point only, so counts need no list of pairs. Equal vectors are one
-    entry with its number of copies. Long lists are cut into blocks.
+    entry with its number of copies. Long lists are cut into blocks. The number
+    of reference points follows `pivots_for` unless given.
 
     Null label, and vectors that are null, empty, zero or hold null or
     non-finite values, link with nothing and are their own component. Vectors
@@ -149,14 +158,14 @@ def near_vectors(
     # Doubles are scaled by the largest value, so neither norms nor products leave their range; floats cannot.
     scaled = F.col("embedding") if narrow else F.transform(
         "embedding", lambda x: x / F.array_max(F.transform("embedding", F.abs)))
-    distinct = rounds.cut(
+    distinct, seen = rounds.measure(
         rows.where(F.col("key").isNotNull()).groupBy("key").agg(
             F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"),
             F.first("embedding").alias("embedding"),
         ).select("key", "least", "copies", "label", scaled.alias("embedding"), F.size("embedding").alias("dim"))
-        .withColumn("node", F.monotonically_increasing_id())
+        .withColumn("node", F.monotonically_increasing_id()), rows=F.count("*"),
     )
-    points = choose_pivots(distinct, pivots)
+    points = choose_pivots(distinct, pivots or pivots_for(seen["rows"]))
     listed = (
         describe(distinct, points, nearest)
         .select("node", "copies", "label", "dim", "embedding", "near", F.explode("near").alias("pivot"))
