@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import count
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from paperweave.functions.text import normalize_text
 from paperweave.session import Rounds
 
 GRAM = 3
+DICTIONARY_CHARS = 1_000_000
 
 
 def alliance_aliases(spark: SparkSession) -> DataFrame:
@@ -102,20 +106,62 @@ def _containing(outer: DataFrame, column: str, inner: DataFrame, inner_column: s
     return grams.join(_rarest_gram(inner, inner_column, counted), "gram").drop("gram")
 
 
-def alias_match(names: DataFrame, aliases: DataFrame, min_alias_len: int = 0) -> DataFrame:
-    """(name, country_code, code, score) for each normalized name and every dictionary code it matches.
+def _automaton(words: Sequence[str]) -> ahocorasick.Automaton | None:
+    found = ahocorasick.Automaton()
+    for word in words:
+        found.add_word(word, word)
+    found.make_automaton()
+    return found if words else None
+
+
+def _by_automaton(texts: DataFrame, entries: Sequence[str]) -> DataFrame:
+    """Pairs (name, alias) of which one contains the other, for a dictionary of checked size.
+
+    One automaton of the dictionary runs over the names, and one of each Arrow
+    batch of names over the dictionary: every character is read a bounded number
+    of times, and only true pairs become rows.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(list(entries))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _automaton(shared.value)
+        for batch in batches:
+            names = batch["name"].tolist()
+            inside = _automaton([n for n in names if len(n) >= fv.MIN_NAME_IN_ALIAS])
+            pairs = {(n, alias) for n in names for _, alias in words.iter(n)} if words else set()
+            if inside:
+                pairs |= {(n, alias) for alias in shared.value for _, n in inside.iter(alias)}
+            yield pd.DataFrame(sorted(pairs), columns=["name", "alias"])
+
+    return texts.mapInPandas(match, "name string, alias string")
+
+
+def _by_grams(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same pairs for a dictionary of any size.
 
-    `names` has name (normalized) and country_code; equal rows are matched once.
     If one text lies inside the other, every substring of the inner one is one of
     the outer; pairs meet by an equi-join on the substring of the inner text that
     fewest outer texts have, so common beginnings bring nothing together.
     """
+    short = texts.where(F.length("name") >= fv.MIN_NAME_IN_ALIAS)
+    return _containing(texts, "name", entries, "alias").unionByName(_containing(entries, "alias", short, "name")).distinct()
+
+
+def alias_match(names: DataFrame, aliases: DataFrame, min_alias_len: int = 0, dictionary_chars: int = DICTIONARY_CHARS) -> DataFrame:
+    """(name, country_code, code, score) for each normalized name and every dictionary code it matches.
+
+    `names` has name (normalized) and country_code; equal rows are matched once.
+    A dictionary of at most `dictionary_chars` characters goes to all tasks as an
+    automaton, a larger one meets the names by joins; the rows are the same.
+    """
     distinct = names.select("name", "country_code").where(F.coalesce("name", F.lit("")) != "").distinct()
     words = _dictionary(aliases, min_alias_len).withColumnRenamed("country_code", "code_country")
     texts = distinct.select("name").distinct()
-    short = texts.where(F.length("name") >= fv.MIN_NAME_IN_ALIAS)
     entries = words.select("alias").distinct()
-    pairs = _containing(texts, "name", entries, "alias").unionByName(_containing(entries, "alias", short, "name")).distinct()
+    if (entries.agg(F.sum(F.length("alias"))).first()[0] or 0) <= dictionary_chars:
+        pairs = _by_automaton(texts, [r[0] for r in entries.collect()])
+    else:
+        pairs = _by_grams(texts, entries)
     scored = pairs.withColumn("base", _score(F.col("name"), F.col("alias"))).where(F.col("base") > 0)
     out = distinct.join(scored, "name").join(words, "alias")
     adjust = (
