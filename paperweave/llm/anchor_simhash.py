@@ -318,24 +318,25 @@ def shingle_set(text: str | None, words: int, seed: int = SEED) -> tuple[bytes,
     return xxhash.xxh3_128_digest(own.tobytes()), own
 
 
+def reseeded(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes as of the k-th of a family of functions, the 0th being themselves: SplitMix64's mixing of their sum with k steps."""
+    if not k:
+        return hashes
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
 def _sketches(text: Column, words: int) -> Column:
-    """Digest of the shingle set and its fingerprints, one per seed of the stage."""
+    """Digest of the shingle set and its fingerprints, each from another mixing of the same hashes."""
 
     @F.pandas_udf("digest binary, fps array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch]
-            digests, each = [], []
-            for seed in STAGE_SEEDS:
-                def sets(seed: int = seed) -> Iterator[np.ndarray]:
-                    for t in texts:
-                        digest, own = shingle_set(t, words, seed)
-                        if seed == STAGE_SEEDS[0]:
-                            digests.append(digest)
-                        yield own
-
-                each.append(majority(sets(), len(texts)).view(np.int64))
-            yield pd.DataFrame({"digest": digests, "fps": list(np.stack(each, axis=1))})
+            pairs = [shingle_set(t if isinstance(t, str) else None, words) for t in batch]
+            each = [majority((reseeded(own, k) for _, own in pairs), len(pairs)).view(np.int64) for k in range(STAGE_PRINTS)]
+            yield pd.DataFrame({"digest": [d for d, _ in pairs], "fps": list(np.stack(each, axis=1))})
 
     return run(text)
 
@@ -346,7 +347,7 @@ def _shingle_sets(text: Column, words: int) -> Column:
     @F.pandas_udf("digest binary, hashes array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [shingle_set(t if isinstance(t, str) else None, words, STAGE_SEEDS[0]) for t in batch]
+            pairs = [shingle_set(t if isinstance(t, str) else None, words) for t in batch]
             yield pd.DataFrame({"digest": [d for d, _ in pairs], "hashes": [own.view(np.int64) for _, own in pairs]})
 
     return run(text)
@@ -410,7 +411,7 @@ def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id())
     )
     near = link_fingerprints(
-        nodes.select("node", "fps"), len(STAGE_SEEDS), STAGE_THRESHOLD, HAMMING_PARTS, similarity, STAGE_REACH, STAGE_ERRORS
+        nodes.select("node", "fps"), STAGE_PRINTS, STAGE_THRESHOLD, HAMMING_PARTS, similarity, STAGE_REACH, STAGE_ERRORS
     ).withColumnRenamed("id", "node")
     crowds = near.groupBy("component_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("component_id")
     members = rounds.cut(near.join(crowds, "component_id").join(nodes.drop("fps"), "node"))
@@ -453,7 +454,7 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
 
 
 STAGE_THRESHOLD = 7
-STAGE_SEEDS = (42, 43, 44, 45)
+STAGE_PRINTS = 4
 STAGE_REACH = 20
 STAGE_ERRORS = 4
 BLOCK_SHINGLES = 500_000
