@@ -277,7 +277,8 @@ def link_fingerprints(
     placed = meet_in_blocks(placed.withColumn("mixed", F.xxhash64("node")), ["cell"], "mixed", rounds, BLOCK)
     most = 64 * count if similarity is None else most_bits(similarity, 64 * count, errors)
     # Small blocks share a task call; a crowded anchor's blocks are spread.
-    bundle = F.when(F.col("parts") > 1, F.xxhash64("cell", "block")).otherwise(F.floor(F.col("cell") / (64 * BUNDLE)))
+    bundle = F.when(F.col("parts") > 1, F.xxhash64("cell", "block")).otherwise(
+        F.floor(F.col("cell") / (64 * max(1, BUNDLE // count))))
     edges = (
         placed.withColumn("bundle", bundle).drop("mixed", "parts").groupBy("bundle")
         .applyInPandas(_compare(threshold if reach is None else reach, count, most), "source long, target long")
@@ -334,9 +335,24 @@ def _sketches(text: Column, words: int) -> Column:
     @F.pandas_udf("digest binary, fps array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [shingle_set(t if isinstance(t, str) else None, words) for t in batch]
-            each = [majority((reseeded(own, k) for _, own in pairs), len(pairs)).view(np.int64) for k in range(STAGE_PRINTS)]
-            yield pd.DataFrame({"digest": [d for d, _ in pairs], "fps": list(np.stack(each, axis=1))})
+            digests, prints, held, size = [], [], [], 0
+
+            def settle() -> None:
+                each = [majority((reseeded(own, k) for own in held), len(held)).view(np.int64) for k in range(STAGE_PRINTS)]
+                prints.extend(np.stack(each, axis=1))
+                held.clear()
+
+            for t in batch:
+                digest, own = shingle_set(t if isinstance(t, str) else None, words)
+                digests.append(digest)
+                held.append(own)
+                size += len(own)
+                if size >= BATCH_TOKENS:
+                    settle()
+                    size = 0
+            if held:
+                settle()
+            yield pd.DataFrame({"digest": digests, "fps": prints})
 
     return run(text)
 
@@ -419,14 +435,14 @@ def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     texts = texts.join(members.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").unionAll(
         texts.where(F.col("doc_id").isNull()))
     # other rows may share the doc_id that stands for a node, hence the join by digest
-    sets = rounds.cut(
+    sets, seen = rounds.measure(
         texts.select(_shingle_sets(F.col("text"), words).alias("of")).select("of.*").join(members, "digest")
-        .groupBy("node", "component_id").agg(F.first("hashes").alias("hashes"))
+        .groupBy("node", "component_id").agg(F.first("hashes").alias("hashes")), shingles=F.sum(F.size("hashes")),
     )
     placed = meet_in_blocks(
         sets.withColumn("mixed", F.xxhash64("node")), ["component_id"], "mixed", rounds, BLOCK_SHINGLES, F.size("hashes"))
     bundle = F.when(F.col("parts") > 1, F.xxhash64("component_id", "block")).otherwise(
-        F.floor(F.col("component_id") / BUNDLE_NODES))
+        F.pmod(F.xxhash64("component_id"), F.lit((seen["shingles"] or 0) // BUNDLE_SHINGLES + 1)))
     edges = (
         placed.select("component_id", "block", "node", "hashes", bundle.alias("bundle")).groupBy("bundle")
         .applyInPandas(_verify(similarity), "source long, target long")
@@ -458,7 +474,7 @@ STAGE_PRINTS = 4
 STAGE_REACH = 20
 STAGE_ERRORS = 4
 BLOCK_SHINGLES = 500_000
-BUNDLE_NODES = 512
+BUNDLE_SHINGLES = 100_000
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
