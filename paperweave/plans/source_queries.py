@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperweave.functions import payload as px
@@ -52,14 +53,18 @@ def malformed_report(v):
     SELECT place AS line_number, left('{"id":"d' || publication_id || '"', 9) AS line
     FROM (SELECT *, row_number() OVER (ORDER BY publication_id) AS place FROM document_publication) WHERE publication_id % 13 = 0""")
 def malformed_lines(v):
-    """Bad lines of one file in the order of the documents, which Spark reads in blocks of 64 KB."""
+    """Bad lines of a dump in the order of the documents, numbered over its files, which Spark reads in blocks of 64 KB."""
     path, key = folder(v, "dump"), "spark.sql.files.maxPartitionBytes"
-    dump_lines(v, v.document_publication().coalesce(1).sortWithinPartitions("publication_id")).write.text(path)
+    dump_lines(v, v.document_publication().orderBy("publication_id")).write.text(path)
     before = v.spark.conf.get(key)
     v.spark.conf.set(key, str(1 << 16))
     try:
-        lines = readers.malformed_lines(v.spark, path, DUMP).select("line_number", "line")
-        return Rounds(v.spark, "lines").cut(lines)
+        # the files of a sort follow each other in the order of their names
+        files = readers.numbered_lines(v.spark, path).groupBy("source_file").agg(F.max("line_number").alias("n"))
+        earlier = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+        starts = files.select("source_file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+        lines = readers.malformed_lines(v.spark, path, DUMP).join(starts, "source_file")
+        return Rounds(v.spark, "lines").cut(lines.select((F.col("start") + F.col("line_number")).alias("line_number"), "line"))
     finally:
         v.spark.conf.set(key, before)
 
