@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +31,8 @@ BYTES_AT_ONCE = 4_000_000
 PIECES_AT_ONCE = 20_000
 WHITE = ("Ġ", "Ċ")
 LARGE = pa.large_string()
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+WORD = re.compile(f"[ \n][{LETTERS}]+")
 PLAIN = "^(?P<head>\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,!?;:]{1,3})$"
 ODD = "^$|^[ \n]|  | \n|\n |\n\n|[ \n]$|[\\t\\x0b\\f\\r\\x1c-\\x1f]|[\\x{0085}\\x{00a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{200b}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 LIST = pa.list_(pa.field("element", pa.int32()))
@@ -42,7 +46,8 @@ class PieceEncoder:
     A blank or line feed between two other characters always begins a piece, so
     a text's ids are those of its pieces in order, and those of a piece of letters
     and marks are its letters' and its marks'. Each run of letters is encoded
-    once by the tokenizer and kept, in bounded memory. Texts that hold other or
+    once, a blank and letters by the tokenizer's model as the one piece that they
+    are to it, and kept, in bounded memory. Texts that hold other or
     repeated white space, and those that hold a special token, are encoded as a
     whole. A tokenizer of another kind is refused.
     """
@@ -55,6 +60,10 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(WHITE)]] = True
+        bare = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {i: bare.pre_tokenize_str(chr(i))[0][0] for i in range(256) if WORD.fullmatch(f" {chr(i)}") or i == 32}
+        self.shown[10] = ""  # a line feed before letters is a piece of its own
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -83,9 +92,17 @@ class PieceEncoder:
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """Numbers of pieces, new ones encoded many in one call and parted where a token begins with white space."""
-        new = [p for p in pieces if p not in self.number]
-        for lo in range(0, len(new), PIECES_AT_ONCE):
-            part = new[lo:lo + PIECES_AT_ONCE]
+        found = list(map(self.number.get, pieces))
+        new = [p for p, k in zip(pieces, found) if k is None]
+        words = [p for p in new if WORD.fullmatch(p)]
+        if words:
+            model = self.tokenizer.model
+            ids = [[*(self.feed if p[0] == "\n" else ()), *(t.id for t in model.tokenize(p.translate(self.shown)))] for p in words]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._keep(words, [np.fromiter(chain.from_iterable(ids), np.uint32, size.sum())], size)
+        rest = [p for p in new if p not in self.number] if len(words) < len(new) else []
+        for lo in range(0, len(rest), PIECES_AT_ONCE):
+            part = rest[lo:lo + PIECES_AT_ONCE]
             ids = self.whole(["".join(part)])
             cuts = np.flatnonzero(self.opens[ids[0]])
             if len(cuts) == len(part):
@@ -93,7 +110,7 @@ class PieceEncoder:
             else:  # marks, which begin with themselves
                 ids = self.whole(part)
                 self._keep(part, ids, np.fromiter(map(len, ids), np.int64, len(ids)))
-        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        return np.fromiter((self.number[p] if k is None else k for p, k in zip(pieces, found)), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; null is empty."""
@@ -118,7 +135,9 @@ class PieceEncoder:
         found = pc.extract_regex(coded.dictionary, PLAIN)
         heads = pc.coalesce(pc.struct_field(found, "head"), coded.dictionary).dictionary_encode()
         marks = pc.fill_null(pc.struct_field(found, "mark"), "").dictionary_encode()
-        names = [("" if p in ("", "\n") else p if p[0] == "\n" else " " + p) for p in heads.dictionary.to_pylist()]
+        begun, lined = pc.starts_with(heads.dictionary, "\n"), pc.binary_join_element_wise(pa.scalar("", LARGE), heads.dictionary, pa.scalar(" ", LARGE))
+        names = pc.if_else(begun, heads.dictionary, lined).to_numpy(zero_copy_only=False).tolist()
+        names = [p if len(p) > 1 else "" for p in names]  # a line feed or blank alone is the next piece's
         if len(self.number) + len(names) > PIECES:
             self._forget(names)
         number = self.numbers(names)[heads.indices.to_numpy()], self.numbers(marks.dictionary.to_pylist())[marks.indices.to_numpy()]
