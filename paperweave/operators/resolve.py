@@ -21,7 +21,7 @@ from paperweave.functions import fixed_values as fv
 from paperweave.functions.text import clean_text, normalize_text
 from paperweave.operators.components import connected_components
 from paperweave.operators.grouping import member_overlap, top_k_per_key
-from paperweave.session import Rounds
+from paperweave.session import Rounds, partitions_for
 
 
 @dataclass(frozen=True)
@@ -208,17 +208,22 @@ def researcher_candidates(researcher: DataFrame, authorship: DataFrame, created:
     pairs = rounds.cut(
         star_candidates(researcher, ["normalized_name"], "researcher_id", created, ["primary_organization_id"])
     )
-    shared = member_overlap(
-        authorship, pairs.withColumnsRenamed({"entity_id": "left", "candidate_entity_id": "right"}),
-        "researcher_id", "publication_id",
-    ).withColumnsRenamed({"left": "entity_id", "right": "candidate_entity_id", "overlap": "shared_publications"})
-    same_org = F.coalesce(F.col("t_primary_organization_id") == F.col("c_primary_organization_id"), F.lit(False))
-    strong = same_org | (F.col("shared_publications") > 0)
-    return with_safety(shared, unsafe_researchers(pairs, authorship)).select(
-        *PAIR, same_org.alias("same_primary_organization"), "shared_publications",
-        F.when(strong, fv.STRONG_MATCH).otherwise(fv.POSSIBLE_MATCH).alias("confidence"),
-        (same_org & F.col("mergeable")).alias("auto_applied"),
-    )
+    links = authorship.select("researcher_id", "publication_id", "author_position")
+    with partitions_for(rounds.spark, links.count()) as count:
+        # rows are dealt before they are grouped: a partial aggregate over a scan would hold the keys of a whole input split
+        links = links.repartition(count, "researcher_id", "publication_id")
+        shared = member_overlap(
+            links, pairs.withColumnsRenamed({"entity_id": "left", "candidate_entity_id": "right"}),
+            "researcher_id", "publication_id",
+        ).withColumnsRenamed({"left": "entity_id", "right": "candidate_entity_id", "overlap": "shared_publications"})
+        same_org = F.coalesce(F.col("t_primary_organization_id") == F.col("c_primary_organization_id"), F.lit(False))
+        strong = same_org | (F.col("shared_publications") > 0)
+        found = with_safety(shared, unsafe_researchers(pairs, links)).select(
+            *PAIR, same_org.alias("same_primary_organization"), "shared_publications",
+            F.when(strong, fv.STRONG_MATCH).otherwise(fv.POSSIBLE_MATCH).alias("confidence"),
+            (same_org & F.col("mergeable")).alias("auto_applied"),
+        )
+        return rounds.cut(found)
 
 
 def organization_candidates(organization: DataFrame, created: str = "created_at") -> DataFrame:
