@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import meet_in_blocks, small_batches, table
+from paperweave.llm.common import give_back, meet_in_blocks, small_batches, table
 from paperweave.operators.components import connected_components
 from paperweave.session import Rounds
 
@@ -353,6 +353,7 @@ def _sketches(text: Column, words: int) -> Column:
             if held:
                 settle()
             yield pd.DataFrame({"digest": digests, "fps": prints})
+        give_back()
 
     return run(text)
 
@@ -365,6 +366,7 @@ def _shingle_sets(text: Column, words: int) -> Column:
         for batch in batches:
             pairs = [shingle_set(t if isinstance(t, str) else None, words) for t in batch]
             yield pd.DataFrame({"digest": [d for d, _ in pairs], "hashes": [own.view(np.int64) for _, own in pairs]})
+        give_back()
 
     return run(text)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, since its Python worker lives on, idle beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo `folds`."""
     return F.crc32(key.cast("string").cast("binary")) % folds

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import fold_of, small_batches, table
+from paperweave.llm.common import fold_of, give_back, small_batches, table
 
 SAMPLE_DOCS = 96
 CHARS_PER_DOC = 168
@@ -244,6 +244,7 @@ def judged(docs: DataFrame, parser: Parser) -> DataFrame:
                     start, held = i + 1, 0
             out.append(shared.value.judge(texts[start:]))
             yield pd.concat(out, ignore_index=True)
+        give_back()
 
     return docs.select(F.struct("*").alias("row"), judge("text").alias("said")).select("row", "said.*")
 

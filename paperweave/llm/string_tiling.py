@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import small_batches, table
+from paperweave.llm.common import give_back, small_batches, table
 from paperweave.session import Rounds
 
 SEED_TOKENS = 5
@@ -96,6 +96,8 @@ def document_seeds(docs: DataFrame, bits: np.ndarray, length: int = SEED_TOKENS)
                     out.append(pd.DataFrame({"doc_id": doc, "place": at, "seed": seeds[at].view(np.int64)}))
             if out:
                 yield pd.concat(out, ignore_index=True)
+        known.clear()
+        give_back()
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(
         cut, "doc_id long, place long, seed long"

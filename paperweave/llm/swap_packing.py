@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paperweave.llm.common import small_batches, table
+from paperweave.llm.common import give_back, small_batches, table
 from paperweave.session import Rounds
 
 CAPACITY = 4096
@@ -24,8 +24,8 @@ END_ID = 1
 CHUNK_PIECES = 20_000
 FULL = 0.995
 WORD_CACHE = 400_000
-BYTES_AT_ONCE = 12_000_000
-WORDS_AT_ONCE = 20_000
+BYTES_AT_ONCE = 4_000_000
+WORDS_AT_ONCE = 8_000
 WORD_END = "</w>"
 PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$#&*]{0,3})")
 BINS_PER_CHUNK = 1 << 24
@@ -96,7 +96,7 @@ class WordEncoder:
                 known.update(fresh)
         for mark in set(marks) - self.marks.keys():
             self.marks[mark] = self._bytes([mark])[0]
-        others = iter(self._bytes(odd))
+        others = (ids for lo in range(0, len(odd), WORDS_AT_ONCE) for ids in self._bytes(odd[lo:lo + WORDS_AT_ONCE]))
         return [next(others) if c is None else known[c] + self.marks[m] for c, m in zip(letters, marks)]
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
@@ -151,6 +151,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                     rows.append((doc_id or 0, doc_id is None, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_pydict(dict(zip(PIECE_SCHEMA.names, zip(*rows) if rows else [()] * 6)), PIECE_SCHEMA)
             pa.default_memory_pool().release_unused()  # the worker lives on, beside others
+        del encoder
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
