@@ -1,6 +1,7 @@
 """Betweenness by blocks of nodes and sources."""
 
 import random
+import re
 
 import pytest
 
@@ -29,3 +30,22 @@ def test_betweenness_never_writes_pairs_of_a_source_and_an_edge(spark, monkeypat
     want = {i: x * (len(ids) - 1) * (len(ids) - 2) / 2 for i, x in plain_betweenness(ids, pairs).items()}
     assert {r.id: r.betweenness for r in rows} == pytest.approx({**want, "alone": 0.0, None: 0.0}) and max(want.values()) > scale / 100
     assert max(sizes) <= 4 * len(pairs)
+
+
+def test_source_records_are_sorted_by_a_number(spark):
+    """Keys begin alike; the aggregate's sort goes by their hash, and a checksum is the kept payload's."""
+    import hashlib
+
+    from paperweave.operators.provenance import dedupe_source_records
+
+    recs = spark.createDataFrame(
+        [(2, "r", "p", None, "b"), (1, "r", "p", None, "a"), (4, "r", "p", "x", "c"), (3, "r", "p", "x", "c"), (5, "r", "q", "x", None)],
+        "record_id long, ingestion_run_id string, entity_type string, source_identifier string, raw_payload string")
+    out = dedupe_source_records(recs)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r.record_id, r.checksum, r.arrivals, r.payload_changed) for r in out.collect()) == [
+        (1, sha("a"), 2, True), (3, sha("c"), 2, False), (5, None, 1, None)]
+    assert out.columns == ["ingestion_run_id", "entity_type", "source_identifier", "record_id", "raw_payload", "checksum",
+                           "arrivals", "payload_changed"]
+    sorts = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortAggregate" in line]
+    assert sorts and all(re.search(r"key=\[_\w+#\d+L, ", line) for line in sorts)
