@@ -49,3 +49,19 @@ def test_source_records_are_sorted_by_a_number(spark):
                            "arrivals", "payload_changed"]
     sorts = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortAggregate" in line]
     assert sorts and all(re.search(r"key=\[_\w+#\d+L, ", line) for line in sorts)
+
+
+def test_packing_encodes_odd_words_in_bounded_calls(monkeypatch):
+    """Words that are not letters and marks go to the tokenizer a bounded number at a time, with the ids of single calls."""
+    import public_tokenizers
+
+    from paperweave.llm import swap_packing
+
+    encoder = swap_packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    odd = [f"{i}x{i * 7}" for i in range(50)] + ["a-b", "", "ein-zwei"]
+    one_by_one = [encoder._bytes([w])[0] for w in odd]
+    calls, plain = [], encoder._bytes
+    monkeypatch.setattr(swap_packing, "WORDS_AT_ONCE", 8)
+    monkeypatch.setattr(encoder, "_bytes", lambda texts: calls.append(len(texts)) or plain(texts))
+    assert encoder.words(odd) == one_by_one
+    assert max(calls) <= 8
