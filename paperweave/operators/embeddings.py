@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paperweave.functions.payload import content_hash, point_id
 from paperweave.functions.text import nonblank
 from paperweave.operators.semantic import author_names
+from paperweave.session import Rounds
 
 TEXT_FIELDS = ("title", "abstract")
 CONFIG_KEYS = ("embedding_provider", "embedding_model", "embedding_version")
@@ -28,7 +29,9 @@ def embedding_text(publication: DataFrame, authorship: DataFrame, researcher: Da
         raise ValueError(f"unsupported embedding fields {unknown}")
     base = publication
     if "authors" in fields:
-        base = base.join(author_names(authorship, researcher), "publication_id", "left")
+        # names of these publications only: there may be many times more authors than texts
+        theirs = authorship.join(publication.select("publication_id"), "publication_id", "left_semi")
+        base = base.join(author_names(theirs, researcher), "publication_id", "left")
     blocks = []
     for name in fields:
         if name == "authors":
@@ -134,10 +137,11 @@ def tfidf_weights(texts: DataFrame, dim: int = 64) -> DataFrame:
 
     Words are lower-case runs of ASCII word characters. A word counts once per
     occurrence; a bucket's inverse document frequency is ln((n + 1) / (df + 1)).
+    Counts per bucket are written once, so each text is split once.
     """
     rows = texts.where(F.col("content_text").isNotNull()).select("publication_id", "content_text")
     words = rows.select("publication_id", F.explode(F.split(F.lower("content_text"), "[^a-z0-9_]+")).alias("word"))
-    tf = (
+    tf = Rounds(texts.sparkSession, "tfidf").cut(
         words.where(F.col("word") != "").groupBy("publication_id", word_bucket(F.encode("word", "UTF-8"), dim).alias("bucket"))
         .agg(F.count("*").alias("tf"))
     )
@@ -152,9 +156,10 @@ def tfidf_weights(texts: DataFrame, dim: int = 64) -> DataFrame:
     )
 
 
-def tfidf_vectors(texts: DataFrame, dim: int = 64) -> DataFrame:
-    """(publication_id, embedding): `tfidf_weights` as dense vectors, the offline default; zero without a weight."""
-    per = tfidf_weights(texts, dim).groupBy("publication_id").agg(
+def tfidf_vectors(texts: DataFrame, dim: int = 64, weights: DataFrame | None = None) -> DataFrame:
+    """(publication_id, embedding): `tfidf_weights`, which may be given, as dense vectors, the offline default; zero without a weight."""
+    weights = weights if weights is not None else tfidf_weights(texts, dim)
+    per = weights.groupBy("publication_id").agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("weights")  # at most `dim` entries
     )
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(

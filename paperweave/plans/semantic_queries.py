@@ -11,7 +11,7 @@ from paperweave.plans import load
 from paperweave.plans.catalog_queries import NORMAL
 from paperweave.plans.registry import query
 from paperweave.plans.resolve_queries import raw_organizations, raw_publications
-from paperweave.session import checkpoint_root
+from paperweave.session import Rounds, checkpoint_root
 from paperweave.streaming.ingest import RECORD, read_records, stream_ingest
 
 K, THRESHOLD = 5, 0.30
@@ -239,9 +239,12 @@ TFIDF = TEXTS + """, tokens AS (SELECT publication_id, unnest(regexp_split_to_ar
     SELECT publication_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY publication_id)), 6) AS weight
     FROM weighted QUALIFY w > 0""", TFIDF)
 def embed_documents(v):
-    """The offline vectors, a row per entry that is not zero."""
-    entries = em.tfidf_vectors(texts(v)).select("publication_id", F.posexplode("embedding").alias("bucket", "x"))
-    return em.tfidf_weights(texts(v)).join(
+    """The offline vectors, a row per entry that is not zero; texts and weights are made once."""
+    rounds = Rounds(v.spark, "embed")
+    written = rounds.cut(texts(v))
+    weights = rounds.cut(em.tfidf_weights(written))
+    entries = em.tfidf_vectors(written, weights=weights).select("publication_id", F.posexplode("embedding").alias("bucket", "x"))
+    return weights.join(
         entries.where(F.col("x") > 0).select("publication_id", F.col("bucket").cast("bigint").alias("bucket")), ["publication_id", "bucket"]
     ).select("publication_id", "bucket", F.round("weight", 6).alias("weight"))
 
