@@ -59,3 +59,19 @@ def test_dense_cells_are_closed_by_bits(trio, monkeypatch):
     assert len(used) == 2 and twice["triangles"].to_pylist() == [8 * n for n in found["triangles"].to_pylist()]
     monkeypatch.setattr(graph, "_closed_by_bits", lambda *a: None)
     assert graph._closed(dense, trio) == found
+
+
+def test_arcs_travel_packed(spark):
+    """Cells get the arcs of two colours as one row, in a few bytes an arc, and unpack what was packed."""
+    r = np.random.default_rng(1)
+    ends = r.integers(0, 5_000, (100_000, 2)) + (r.integers(0, 3, (100_000, 2)) << 33)
+    table = pa.table({"tail": ends.min(axis=1), "head": ends.max(axis=1)})
+    one = graph._packed((pa.scalar(4), pa.scalar(2)), table)
+    assert len(one["tails"][0].as_py()) + len(one["heads"][0].as_py()) < 5 * len(ends)
+    back = graph._unpacked(pa.concat_tables([one, one.slice(0, 0), one]))
+    assert back["tail_colour"].unique().to_pylist() == [4] and back["head_colour"].unique().to_pylist() == [2]
+    got = list(zip(back["tail"].to_pylist(), back["heads"].combine_chunks().flatten().to_pylist()))
+    assert sorted(got) == sorted(2 * list(zip(table["tail"].to_pylist(), table["head"].to_pylist())))
+    edges = spark.createDataFrame([(a, b, 1) for a, b in itertools.combinations(range(30), 2)], "source long, target long, weight long")
+    plan = graph.clustering_coefficient(graph.edge_ends(edges).distinct(), edges, 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2 and "collect_list" not in plan
