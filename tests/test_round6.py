@@ -89,3 +89,20 @@ def test_a_first_batch_searches_nothing(spark, tmp_path):
     none = Rounds(spark, "t").kept(spark.range(5).where("id > 9"))
     assert has_none(none) and none.columns == ["id"] and none.count() == 0 and "Relation" in plan(none)
     assert not has_none(Rounds(spark, "t").kept(spark.range(5)))
+
+
+def test_a_batch_of_one_file_is_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
+    read, run = {}, load.run_load
+
+    def kept(session, inputs, *rest, **more):
+        read.update({n: len([f for f in children(spark, df._round_path) if f.endswith(".parquet")]) for n, df in inputs.items()})
+        return run(session, inputs, *rest, **more)
+
+    monkeypatch.setattr(load, "run_load", kept)
+    raw = spark.range(2_000).coalesce(1).select(
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.lit("t").alias("target"),
+        F.lit("organization").alias("sourceType"), F.lit("result").alias("targetType"), F.lit("affiliation").alias("reltype"))
+    log = stream.table_log(spark, str(tmp_path / "t"))
+    at = stream.load_batch(log, {"relations": raw}, "solo", {"s": 0})
+    assert read["relations"] >= spark.sparkContext.defaultParallelism > 1
+    assert log.table("source_record", at).count() == log.table(stream.WAITING, at).count() == 2_000
